@@ -192,8 +192,8 @@ GRID_VALUES = ", ".join(f"({i * len(SMALLS) + j}, CAST({a} AS DOUBLE), CAST({b}
 # One unit per (supplier, slice); a unit is positive when it holds a ground-truth box.
 TOPS_SQL = """ub AS (SELECT unit * 20 + slice_y AS unit, CAST(unit % 5 AS INT) AS fold, x1, z1, x2, z2, CAST(score AS FLOAT) AS s, is_pred FROM boxes),
 lab AS (SELECT unit, fold, CAST(max(CASE WHEN NOT is_pred AND s > 0.9::FLOAT THEN 1 ELSE 0 END) AS INT) AS label FROM ub GROUP BY 1, 2)"""
-SCORED_SQL = f"""grid(pos, lt, st) AS (VALUES {GRID_VALUES}),
-scored AS (SELECT u.unit, u.fold, u.label, g.pos, g.lt, g.st, coalesce(max(b.s), 0) AS score
+SCORED_SQL = f"""grid(cell, lt, st) AS (VALUES {GRID_VALUES}),
+scored AS (SELECT u.unit, u.fold, u.label, g.cell, g.lt, g.st, coalesce(max(b.s), 0) AS score
   FROM lab u CROSS JOIN grid g LEFT JOIN ub b ON b.unit = u.unit AND b.is_pred
    AND b.s >= CAST(CASE WHEN greatest(b.x2 - b.x1, b.z2 - b.z1) * 0.82e0 >= 10 THEN g.lt ELSE g.st END AS FLOAT)
   GROUP BY ALL)"""
@@ -208,7 +208,7 @@ def unit_tops(spark, d):
     return M.size_threshold_scores(b.filter("is_pred"), units)
 
 
-@query("m18_grid_search", f"""{with_('boxes')}, {TOPS_SQL}, {SCORED_SQL}, {curve_sql('scored', 'pos, lt, st', unit='unit')}
+@query("m18_grid_search", f"""{with_('boxes')}, {TOPS_SQL}, {SCORED_SQL}, {curve_sql('scored', 'cell, lt, st', unit='unit')}
 SELECT lt AS large_thr, st AS small_thr, round(coalesce(max(CASE WHEN fp / CAST(p + n AS DOUBLE) <= 0.2 THEN tp / CAST(p AS DOUBLE) END), 0), 6) AS sens FROM curve GROUP BY lt, st""")
 def _(spark, d):
     g = M.grid_search(unit_tops(spark, d), LARGES, SMALLS, 0.2)
@@ -216,9 +216,9 @@ def _(spark, d):
 
 
 TUNE_SQL = f"""{with_('boxes')}, {TOPS_SQL}, {SCORED_SQL}, pool AS (SELECT s.*, f AS tune_fold FROM scored s JOIN range(5) r(f) ON f <> s.fold),
-{curve_sql('pool', 'tune_fold, pos, lt, st', unit='unit')},
-cell AS (SELECT tune_fold, pos, lt, st, coalesce(max(CASE WHEN fp / CAST(p + n AS DOUBLE) <= 0.2 THEN tp / CAST(p AS DOUBLE) END), 0) AS sens FROM curve GROUP BY 1, 2, 3, 4),
-tuned AS (SELECT * FROM cell QUALIFY row_number() OVER (PARTITION BY tune_fold ORDER BY sens DESC, pos) = 1)"""
+{curve_sql('pool', 'tune_fold, cell, lt, st', unit='unit')},
+cells2 AS (SELECT tune_fold, cell, lt, st, coalesce(max(CASE WHEN fp / CAST(p + n AS DOUBLE) <= 0.2 THEN tp / CAST(p AS DOUBLE) END), 0) AS sens FROM curve GROUP BY 1, 2, 3, 4),
+tuned AS (SELECT * FROM cells2 QUALIFY row_number() OVER (PARTITION BY tune_fold ORDER BY sens DESC, cell) = 1)"""
 
 
 @query("m19_tune_cross_fold", f"{TUNE_SQL} SELECT CAST(tune_fold AS INT) AS tune_fold, lt AS large_thr, st AS small_thr, round(sens, 6) AS sens FROM tuned")
