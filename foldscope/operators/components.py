@@ -65,29 +65,57 @@ def run_edges(runs: DataFrame, connectivity: int = 26) -> DataFrame:
     a = a.select("unit", "a", "a0", "a1", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("z") + F.col("s.dz")).alias("z"))
     b = runs.select(*ROW, F.col("vid").alias("b"), "x0", "x1")
     meet = (F.col("a0") <= F.col("x1")) & (F.col("x0") <= F.col("a1")) if touch else (F.col("a0") < F.col("x1")) & (F.col("x0") < F.col("a1"))
-    return a.join(b, ROW).filter(meet).select("a", "b")
-
-
-def graph_labels(edges: DataFrame, salts: int = 8) -> DataFrame:
-    """Smallest reachable vertex id ``(v, lab)`` for every vertex of an edge list.
-
-    Each round takes the least label among neighbours, then jumps to the label of the
-    label. Jumps go through the distinct labels, salted, because late in the run one
-    label may belong to most vertices. Only a convergence flag reaches the driver.
+    return a.join(b, ROW).filter(meet).select("a", "b", *ROW)
+
+
+def _contract(batches):
+    """Replace each Arrow batch of edges by the star edges of its own components."""
+    import numpy as np
+    import pandas as pd
+
+    for pdf in batches:
+        ids, inv = np.unique(np.concatenate([pdf["a"].to_numpy(), pdf["b"].to_numpy()]), return_inverse=True)
+        a, b = inv[: len(pdf)], inv[len(pdf):]
+        lab = np.arange(len(ids))
+        while True:
+            low = np.minimum(lab[a], lab[b])
+            new = lab.copy()
+            for side in (a, b):
+                np.minimum.at(new, side, low)
+                np.minimum.at(new, lab[side], low)
+            new = new[new]
+            if (new == lab).all():
+                break
+            lab = new
+        yield pd.DataFrame({"a": ids, "b": ids[lab]})
+
+
+def graph_labels(edges: DataFrame, near: Sequence[str] = (), salts: int = 8) -> DataFrame:
+    """Smallest reachable vertex id ``(v, lab)`` for every vertex of an edge list ``(a, b)``.
+
+    Edges sorted by the ``near`` columns first shrink batch by batch to stars, which
+    settles most components locally. The rest converges in a few rounds: every vertex
+    offers its neighbours' grandparent to itself and to its parent, then jumps to its
+    grandparent. Jumps go through the distinct parents, salted, because late in the run
+    one parent may serve most vertices. Only a convergence flag reaches the driver.
     """
-    sym = runtime.cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    lab = runtime.cut(sym.groupBy(F.col("a").alias("v")).agg(F.least(F.col("a"), F.min("b")).alias("lab")))
+    if near:
+        edges = edges.repartitionByRange(*near).sortWithinPartitions(*near).select("a", "b").mapInPandas(_contract, "a long, b long")
+    edges = runtime.cut(edges.select("a", "b"))
+    sym = edges.filter("a <> b").unionByName(edges.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b")))
+    verts = edges.select(F.col("a").alias("v")).unionByName(edges.select(F.col("b").alias("v"))).distinct()
+    f = runtime.cut(verts.select("v", F.col("v").alias("f"), F.col("v").alias("g")))
     while True:
-        near = sym.join(lab.select(F.col("v").alias("b"), "lab"), "b").groupBy(F.col("a").alias("v")).agg(F.min("lab").alias("m"))
-        hook = runtime.cut(lab.join(near, "v").select("v", F.col("lab").alias("old"), F.least("lab", "m").alias("lab")))
-        heads = hook.select(F.col("lab").alias("v")).distinct().join(hook.select("v", F.col("lab").alias("up")), "v")
-        heads = heads.select(F.col("v").alias("lab"), "up", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_s"))
-        salt = F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int")
-        nxt = hook.withColumn("_s", salt).join(heads, ["lab", "_s"]).select("v", "old", F.least("lab", "up").alias("lab"))
-        nxt = runtime.cut(nxt)
-        lab = nxt.select("v", "lab")
-        if nxt.filter("lab <> old").isEmpty():
-            return lab
+        offer = sym.join(f.select(F.col("v").alias("b"), "g"), "b").groupBy(F.col("a").alias("v")).agg(F.min("g").alias("m"))
+        base = f.join(offer, "v", "left").withColumn("m", F.coalesce("m", "g"))
+        hooks = base.groupBy(F.col("f").alias("v")).agg(F.min("m").alias("h"))
+        nxt = runtime.cut(base.join(hooks, "v", "left").select("v", F.col("g").alias("old"), F.least("f", "m", "g", "h").alias("f")))
+        heads = nxt.select(F.col("f").alias("v")).distinct().join(nxt.select("v", F.col("f").alias("g")), "v")
+        heads = heads.select(F.col("v").alias("f"), "g", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_s"))
+        salted = nxt.withColumn("_s", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int"))
+        f = runtime.cut(salted.join(heads, ["f", "_s"]).select("v", "f", "g", (F.col("old") != F.col("g")).alias("moved")))
+        if f.filter("moved").isEmpty():
+            return f.select("v", F.col("g").alias("lab"))
 
 
 def connected_components(runs: DataFrame, connectivity: int = 26) -> DataFrame:
@@ -97,7 +125,7 @@ def connected_components(runs: DataFrame, connectivity: int = 26) -> DataFrame:
     """
     flat = connectivity in (4, 8)
     base = runtime.cut(merge_runs(runs).withColumn("vid", F.monotonically_increasing_id()))
-    lab = graph_labels(run_edges(base, connectivity))
+    lab = graph_labels(run_edges(base, connectivity), ROW)
     comp = base.join(lab.select(F.col("v").alias("vid"), "lab"), "vid", "left").withColumn("comp", F.coalesce("lab", "vid"))
     keys = ["unit", "y"] if flat else ["unit"]
     first = comp.groupBy(*keys, "comp").agg(F.min(F.struct("y", "z", "x0")).alias("_f"))

@@ -136,10 +136,11 @@ rec AS (SELECT {k}, rn, [{new}] AS cl FROM b WHERE rn = 1
   FROM (SELECT *, list_max(vs) AS v, list_position(vs, list_max(vs)) AS pos FROM (SELECT {', '.join('b.' + c for c in key)}, b.rn, b.s, b.x1, b.z1, b.x2, b.z2, r.cl, {new} AS nw,
     list_transform(r.cl, lambda c: {iou_sql('c', 'b')}) AS vs FROM rec r JOIN b ON {same} AND b.rn = r.rn + 1) q) q2),
 fin AS (SELECT {k}, unnest(arg_max(cl, rn)) AS c FROM rec GROUP BY {k})
-SELECT {k}, round(c.x1, 5) AS x1, round(c.z1, 5) AS z1, round(c.x2, 5) AS x2, round(c.z2, 5) AS z2, round(c.sw / c.n * least(c.n, {models}) / {models}e0, 5) AS score, CAST(c.n AS BIGINT) AS n_boxes FROM fin"""
+SELECT {k}, round(c.x1 + 1e-9, 5) AS x1, round(c.z1 + 1e-9, 5) AS z1, round(c.x2 + 1e-9, 5) AS x2, round(c.z2 + 1e-9, 5) AS z2, round(c.sw / c.n * least(c.n, {models}) / {models}e0 + 1e-9, 5) AS score, CAST(c.n AS BIGINT) AS n_boxes FROM fin"""
 
 
-r5 = lambda c: F.round(c, 5).alias(c)
+# A nudge below the printed precision keeps exact half-way values from rounding apart.
+r5 = lambda c: F.round(F.col(c) + 1e-9, 5).alias(c)
 
 
 @query("c2_wbf", f"{with_('boxes', recursive=True)}, {SPLIT}, {wbf_sql('pred', ['unit', 'slice_y'], 0.4, 1)}")
@@ -225,10 +226,10 @@ def _(spark, d):
 
 
 @query("j17_rescore", f"""{with_('boxes')}, {SPLIT}, {AUX}, pr AS (SELECT unit, slice_y, aux_max AS prob FROM aux WHERE aux_max < 0.9)
-SELECT unit, slice_y, count(*) AS n, round(sum(score * coalesce(prob, 1)), 6) AS s FROM pred LEFT JOIN pr USING (unit, slice_y) GROUP BY 1, 2""")
+SELECT unit, slice_y, count(*) AS n, round(sum(score * coalesce(prob, 1)) + 1e-9, 6) AS s FROM pred LEFT JOIN pr USING (unit, slice_y) GROUP BY 1, 2""")
 def _(spark, d):
     probs = aux(spark, d).filter("aux_max < 0.9").withColumnRenamed("aux_max", "prob")
-    return B.rescore(pred(spark, d), probs).groupBy("unit", "slice_y").agg(F.count("*").alias("n"), F.round(F.sum("score"), 6).alias("s"))
+    return B.rescore(pred(spark, d), probs).groupBy("unit", "slice_y").agg(F.count("*").alias("n"), F.round(F.sum("score") + 1e-9, 6).alias("s"))
 
 
 INDEX = """idx AS (SELECT s_suppkey AS unit, s_nationkey % 2 AS label, CAST(k AS INT) AS slice_y FROM supplier, range(24) r(k)),

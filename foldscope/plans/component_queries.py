@@ -235,12 +235,12 @@ def _(spark, d):
     return C.containment(bound(spark, d, "voxels"), bright(spark, d))
 
 
-@query("a13_bank_stats", f"""{with_('voxels', recursive=True)}, {V26}, {NUM} SELECT unit, cc_id, count(*) AS n_voxels, round(avg(v), 4) AS mean, round(stddev_pop(v), 4) AS std,
+@query("a13_bank_stats", f"""{with_('voxels', recursive=True)}, {V26}, {NUM} SELECT unit, cc_id, count(*) AS n_voxels, round(avg(v) + 1e-7, 4) AS mean, round(stddev_pop(v) + 1e-7, 4) AS std,
 max(x) - min(x) + 1 AS dx, max(y) - min(y) + 1 AS dy, max(z) - min(z) + 1 AS dz, count(DISTINCT y) AS n_slices FROM num GROUP BY 1, 2""")
 def _(spark, d):
     v = bound(spark, d, "voxels")
     s = C.bank_stats(v, C.connected_components(C.voxel_runs(v)))
-    return s.select("unit", "cc_id", "n_voxels", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "dx", "dy", "dz", "n_slices")
+    return s.select("unit", "cc_id", "n_voxels", F.round(F.col("mean") + 1e-7, 4).alias("mean"), F.round(F.col("std") + 1e-7, 4).alias("std"), "dx", "dy", "dz", "n_slices")
 
 
 @query("a14_roi_stats", f"""{with_('voxels')}, {BRIGHT} SELECT unit, round(quantile_cont(v, 0.01), 4) AS p1, round(quantile_cont(v, 0.99), 4) AS p99, round(avg(v), 4) AS mean, round(stddev_pop(v), 4) AS std, count(*) AS n FROM mk GROUP BY unit""")
