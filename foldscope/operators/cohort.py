@@ -455,7 +455,7 @@ def progress_rate(df: DataFrame, ts="ts", ok: Column | None = None, expected: in
     from foldscope.operators.ordering import prefix_sum
 
     good = ok if ok is not None else F.lit(True)
-    s = df.groupBy(F.col(ts).cast("long").alias("sec")).agg(F.sum(good.cast("long")).alias("done"), F.sum((~good).cast("long")).alias("failed"))
+    s = df.groupBy(F.unix_timestamp(F.col(ts).cast("timestamp")).alias("sec")).agg(F.sum(good.cast("long")).alias("done"), F.sum((~good).cast("long")).alias("failed"))
     marks = s.select("sec", "done", "failed", F.lit(1).alias("own")).unionByName(
         s.select((F.col("sec") + seconds).alias("sec"), F.lit(0).cast("long").alias("done"), F.lit(0).cast("long").alias("failed"), F.lit(0).alias("own"), F.col("done").alias("gone")),
         allowMissingColumns=True)
@@ -474,7 +474,7 @@ def pad_sequences(df: DataFrame, key: Sequence[str], order: str, value: str, len
     Positions come from a ranked order; nothing is gathered into arrays.
     """
     r = ranked(df, [F.col(order)], key, "_i").filter(F.col("_i") <= length)
-    grid = df.select(*key).distinct().select(*key, F.explode(F.sequence(F.lit(1), F.lit(length))).cast("long").alias("_i"))
+    grid = df.select(*key).distinct().select(*key, F.explode(F.sequence(F.lit(1).cast("long"), F.lit(length).cast("long"))).alias("_i"))
     j = grid.join(r.select(*key, "_i", F.col(value).alias("_v")), [*key, "_i"], "left")
     return j.select(*key, (F.col("_i") - 1).alias("pos"), F.coalesce("_v", F.lit(0)).alias(value), F.col("_v").isNotNull().alias("valid"))
 

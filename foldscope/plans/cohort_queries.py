@@ -326,9 +326,9 @@ def ema(spark, d):
     return C.score_ema(s, ["unit", "slice_y"], ["step"])
 
 
-@query("a22_score_ema", f"{with_('steps', recursive=True)}, {EMA} SELECT unit, slice_y, round(ema, 6) AS ema, n_updates FROM fin")
+@query("a22_score_ema", f"{with_('steps', recursive=True)}, {EMA} SELECT unit, slice_y, round(ema + 1e-9, 6) AS ema, n_updates FROM fin")
 def _(spark, d):
-    return ema(spark, d).select("unit", "slice_y", r6("ema"), "n_updates")
+    return ema(spark, d).select("unit", "slice_y", F.round(F.col("ema") + 1e-9, 6).alias("ema"), "n_updates")
 
 
 @query("a24_gap_pool", "SELECT label, CAST(ch - 1 AS INT) AS channel, round(avg(CAST(embedding[ch] AS DOUBLE)), 6) AS value FROM embeddings, range(1, 65) r(ch) GROUP BY 1, 2")
@@ -457,7 +457,7 @@ def _(spark, d):
 
 @query("w14_progress_rate", """WITH s AS (SELECT CAST(floor(epoch(ts)) AS BIGINT) AS sec, CAST(sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) AS BIGINT) AS d, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS f FROM events GROUP BY 1),
 w AS (SELECT sec, sum(d) OVER (ORDER BY sec) AS total_done, sum(f) OVER (ORDER BY sec) AS total_failed, sum(d) OVER (ORDER BY sec RANGE BETWEEN 600 PRECEDING AND CURRENT ROW) AS recent FROM s)
-SELECT sec, total_done, total_failed, recent, round(recent / 1e1, 6) AS rate_per_min, round((20000 - total_done) / (recent / 1e1 / 6e1), 4) AS eta_sec FROM w""")
+SELECT sec, total_done, total_failed, recent, round(recent / 1e1, 6) AS rate_per_min, round((20000 - total_done) / nullif(recent / 1e1 / 6e1, 0), 4) AS eta_sec FROM w""")
 def _(spark, d):
     p = C.progress_rate(table(spark, d, "events"), ok=F.col("event_type") != "error", expected=20000)
     return p.select("sec", "total_done", "total_failed", "recent", r6("rate_per_min"), F.round("eta_sec", 4).alias("eta_sec"))
