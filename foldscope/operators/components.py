@@ -31,25 +31,30 @@ def rasterize(boxes: DataFrame, canvas: Sequence[int] = CANVAS) -> DataFrame:
     return b.select("unit", "y", F.explode(F.sequence(F.col("z0"), F.col("z1") - 1)).alias("z"), "x0", "x1", "score")
 
 
+def _as_runs(voxels: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    i = lambda c: F.col(c).cast("int")
+    return voxels.select("unit", *keep, i("y").alias("y"), i("z").alias("z"), i("x").alias("x0"), (i("x") + 1).alias("x1"))
+
+
 def voxel_runs(voxels: DataFrame) -> DataFrame:
     """Unit-length runs of a voxel table, merged along x."""
-    return merge_runs(voxels.select("unit", F.col("y").cast("int").alias("y"), F.col("z").cast("int").alias("z"),
-                                    F.col("x").cast("int").alias("x0"), (F.col("x") + 1).cast("int").alias("x1")))
+    return merge_runs(_as_runs(voxels))
 
 
-def merge_runs(runs: DataFrame) -> DataFrame:
-    """Union of overlapping or touching runs per row, with the best score if there is one.
+def merge_runs(runs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Union of overlapping or touching runs per row (and ``keep``), with the best score if there is one.
 
     Runs first collapse to one per start column, so a row holds at most canvas-width of them.
     """
+    row = [*keep, *ROW]
     scored = "score" in runs.columns
     best = [F.max("score").alias("score")] if scored else []
-    r = runs.groupBy(*ROW, "x0").agg(F.max("x1").alias("x1"), *best)
-    w = Window.partitionBy(*ROW).orderBy("x0")
+    r = runs.groupBy(*row, "x0").agg(F.max("x1").alias("x1"), *best)
+    w = Window.partitionBy(*row).orderBy("x0")
     reach = F.max("x1").over(w.rowsBetween(Window.unboundedPreceding, -1))
     r = r.withColumn("_new", (reach.isNull() | (F.col("x0") > reach)).cast("int"))
     r = r.withColumn("_g", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return r.groupBy(*ROW, "_g").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), *best).drop("_g")
+    return r.groupBy(*row, "_g").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), *best).drop("_g")
 
 
 def run_edges(runs: DataFrame, connectivity: int = 26) -> DataFrame:
@@ -91,29 +96,47 @@ def _contract(batches):
 
 
 def graph_labels(edges: DataFrame, near: Sequence[str] = (), salts: int = 8) -> DataFrame:
-    """Smallest reachable vertex id ``(v, lab)`` for every vertex of an edge list ``(a, b)``.
+    """Component label ``(v, lab)`` for every vertex of an edge list ``(a, b)``.
 
-    Edges sorted by the ``near`` columns first shrink batch by batch to stars, which
-    settles most components locally. The rest converges in a few rounds: every vertex
-    offers its neighbours' grandparent to itself and to its parent, then jumps to its
-    grandparent. Jumps go through the distinct parents, salted, because late in the run
-    one parent may serve most vertices. Only a convergence flag reaches the driver.
+    Edges sorted by the ``near`` columns first shrink, Arrow batch by Arrow batch, to
+    stars around local roots. A vertex seen by several batches links their roots; only
+    that small root graph goes through the distributed rounds.
     """
     if near:
-        edges = edges.repartitionByRange(*near).sortWithinPartitions(*near).select("a", "b").mapInPandas(_contract, "a long, b long")
-    edges = runtime.cut(edges.select("a", "b"))
-    sym = edges.filter("a <> b").unionByName(edges.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b")))
-    verts = edges.select(F.col("a").alias("v")).unionByName(edges.select(F.col("b").alias("v"))).distinct()
-    f = runtime.cut(verts.select("v", F.col("v").alias("f"), F.col("v").alias("g")))
+        parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        edges = edges.repartitionByRange(parts, *near).sortWithinPartitions(*near)
+    stars = runtime.cut(edges.select("a", "b").mapInPandas(_contract, "a long, b long"))
+    own = stars.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("lab"), F.max("b").alias("_hi"))
+    torn = own.filter("lab <> _hi").select(F.col("v").alias("a"), "lab")
+    links = runtime.cut(stars.join(torn, "a").filter("b <> lab").select(F.col("lab").alias("a"), "b").distinct())
+    own = own.drop("_hi")
+    if links.isEmpty():
+        return own
+    roots = _label_rounds(links, salts).select(F.col("v").alias("lab"), F.col("lab").alias("_top"))
+    return _salted(own, roots, "lab", salts, "left").select("v", F.coalesce("_top", "lab").alias("lab"))
+
+
+def _salted(df: DataFrame, lookup: DataFrame, key: str, salts: int, how="inner") -> DataFrame:
+    """Join a unique ``lookup`` to rows that may share one hot key: the lookup is copied per salt."""
+    copies = lookup.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return df.withColumn("_s", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int")).join(copies, [key, "_s"], how).drop("_s")
+
+
+def _label_rounds(edges: DataFrame, salts: int) -> DataFrame:
+    """Smallest reachable vertex by rounds of hooking and jumping.
+
+    Every vertex offers its neighbours' least grandparent to itself and to its parent, then
+    moves to its grandparent. Only a convergence flag reaches the driver.
+    """
+    sym = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    f = runtime.cut(sym.select(F.col("a").alias("v")).distinct().select("v", F.col("v").alias("f"), F.col("v").alias("g")))
     while True:
         offer = sym.join(f.select(F.col("v").alias("b"), "g"), "b").groupBy(F.col("a").alias("v")).agg(F.min("g").alias("m"))
-        base = f.join(offer, "v", "left").withColumn("m", F.coalesce("m", "g"))
+        base = f.join(offer, "v")
         hooks = base.groupBy(F.col("f").alias("v")).agg(F.min("m").alias("h"))
         nxt = runtime.cut(base.join(hooks, "v", "left").select("v", F.col("g").alias("old"), F.least("f", "m", "g", "h").alias("f")))
         heads = nxt.select(F.col("f").alias("v")).distinct().join(nxt.select("v", F.col("f").alias("g")), "v")
-        heads = heads.select(F.col("v").alias("f"), "g", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_s"))
-        salted = nxt.withColumn("_s", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int"))
-        f = runtime.cut(salted.join(heads, ["f", "_s"]).select("v", "f", "g", (F.col("old") != F.col("g")).alias("moved")))
+        f = runtime.cut(_salted(nxt, heads.select(F.col("v").alias("f"), "g"), "f", salts).withColumn("moved", F.col("old") != F.col("g")).drop("old"))
         if f.filter("moved").isEmpty():
             return f.select("v", F.col("g").alias("lab"))
 
@@ -256,10 +279,21 @@ def stencil(r_mm: float, spacing=SPACING) -> list[tuple[int, int, int]]:
 
 
 def within_mm(points: DataFrame, r_mm: float, spacing=SPACING, keep: Sequence[str] = ()) -> DataFrame:
-    """Distinct grid cells within ``r_mm`` of any point, per unit (and ``keep`` columns)."""
-    offs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i, j, k in stencil(r_mm, spacing)])
-    p = points.select("unit", *keep, "x", "y", "z", F.explode(offs).alias("o"))
-    return p.select("unit", *keep, (F.col("x") + F.col("o.i")).alias("x"), (F.col("y") + F.col("o.j")).alias("y"), (F.col("z") + F.col("o.k")).alias("z")).distinct()
+    """Distinct grid cells within ``r_mm`` of any point, per unit (and ``keep`` columns).
+
+    The ball around a cell is one x-interval per (y, z) offset, so runs are widened and
+    merged per row; single cells appear only in the result.
+    """
+    rows: dict[tuple[int, int], int] = {}
+    for i, j, k in stencil(r_mm, spacing):
+        rows[(j, k)] = max(rows.get((j, k), 0), i)
+    offs = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(k).alias("k"), F.lit(i).alias("i")) for (j, k), i in rows.items()])
+    runs = merge_runs(_as_runs(points, keep), keep)
+    wide = runs.select(*keep, "unit", "y", "z", "x0", "x1", F.explode(offs).alias("o")).select(
+        *keep, "unit", (F.col("y") + F.col("o.j")).alias("y"), (F.col("z") + F.col("o.k")).alias("z"),
+        (F.col("x0") - F.col("o.i")).alias("x0"), (F.col("x1") + F.col("o.i")).alias("x1"))
+    cells = merge_runs(wide, keep)
+    return cells.select("unit", *keep, F.explode(F.sequence(F.col("x0"), F.col("x1") - 1)).alias("x"), "y", "z")
 
 
 XYZ = ["unit", "x", "y", "z"]
