@@ -154,7 +154,7 @@ def connected_components(runs: DataFrame, connectivity: int = 26) -> DataFrame:
     first = comp.groupBy(*keys, "comp").agg(F.min(F.struct("y", "z", "x0")).alias("_f"))
     ids = ranked(first, [F.col("_f")], keys, "cc_id").select("comp", F.col("cc_id").cast("int").alias("cc_id"))
     extra = ["score"] if "score" in base.columns else []
-    return comp.join(ids, "comp").select(*ROW, "x0", "x1", *extra, "cc_id")
+    return runtime.cut(comp.join(ids, "comp").select(*ROW, "x0", "x1", *extra, "cc_id"))
 
 
 def component_stats(cc: DataFrame, spacing=SPACING, by=("unit", "cc_id")) -> DataFrame:
@@ -368,7 +368,7 @@ def ring_contrast(voxels: DataFrame, mask: DataFrame, r_mm=3.0, value="v", conne
 
     The ring is everything within ``r_mm`` outside the component; empty or flat rings are skipped.
     """
-    cc = runtime.cut(connected_components(voxel_runs(mask), connectivity))
+    cc = connected_components(voxel_runs(mask), connectivity)
     lab = runtime.cut(label_voxels(voxels, cc))
     inside = lab.groupBy("unit", "cc_id").agg(F.avg(value).alias("mi"))
     own = [*XYZ, "cc_id"]

@@ -125,6 +125,26 @@ def mean_roc(df, fold="fold", score="score", label="label", grid: int = 100, lim
     ).withColumn("fpr", F.col("k") / F.lit(float(grid)))
 
 
+def coarse_metrics(df, score="score", label="label", by: Sequence[str] = (), limit=None) -> DataFrame:
+    """Monitoring pair per group: AUROC, and sensitivity at the (1 - 2/n_neg) quantile of the negatives.
+
+    Both are NULL when a class is missing.
+    """
+    c = with_totals(score_curve(df, score, label, by, None, (), limit), by)
+    n = F.col("n")
+    pos = F.greatest(F.lit(0.0), 1.0 - 2.0 / n) * (n - 1)
+    at = lambda r: F.max(F.when((n - F.col("fp") <= r) & (r < n - F.col("fp") + F.col("neg")), F.col("score")))
+    frac = F.max(pos - F.floor(pos))
+    lo, hi = at(F.floor(pos)), at(F.ceil(pos))
+    t = c.groupBy(*by).agg(_auroc_expr().alias("auroc"), (lo + (hi - lo) * frac).alias("thr"))
+    if by:
+        j = c.join(t, list(by))
+    else:
+        j = c.withColumns({"auroc": t.select("auroc").scalar(), "thr": t.select("thr").scalar()})
+    sens = F.coalesce(F.max(F.when(F.col("score") >= F.col("thr"), F.col("tp"))), F.lit(0)) / F.max("p")
+    return j.groupBy(*by).agg(F.max("auroc").alias("auroc"), F.when(F.max("auroc").isNotNull(), sens).alias("sens_at_2fp"))
+
+
 def froc_curve(
     df, unit="unit", score="score", label="label", by=(), weight=None, group_ties: bool = False, limit=None
 ) -> DataFrame:

@@ -129,21 +129,31 @@ def place_donors(
     rounds = targets.agg(F.max("n_pastes")).first()[0] or 0
     taken, placed = occupied.select("unit", "x", "y", "z"), None
     nx, ny, nz = frame
+    inside = (F.col("x") >= 0) & (F.col("x") < nx) & (F.col("y") >= 0) & (F.col("y") < ny) & (F.col("z") >= 0) & (F.col("z") < nz)
+    moved = lambda df, *cols: df.join(dv, "donor").select(
+        "unit", *cols, (F.col("sx") + F.col("dx")).alias("x"), (F.col("sy") + F.col("dy")).alias("y"), (F.col("sz") + F.col("dz")).alias("z")).filter(inside)
+
+    def tries(t: DataFrame, lo: int, hi: int) -> DataFrame:
+        """First valid attempt number in [lo, hi] of every unit that has one."""
+        a = t.withColumn("attempt", F.explode(F.sequence(F.lit(lo), F.lit(hi))))
+        a = a.withColumn("_i", hashing.index(F.col("_n"), seed, F.col("unit"), F.col("paste"), F.col("attempt"), "site"))
+        a = runtime.cut(a.join(site, ["unit", "_i"]).select("unit", "paste", "attempt", "donor", F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("z").alias("sz")))
+        hit = taken.distinct().withColumn("_t", F.lit(1))
+        ok = moved(a, "attempt", "donor").join(hit, ["unit", "x", "y", "z"], "left").groupBy("unit", "attempt", "donor").agg(
+            F.count("*").alias("_keep"), F.sum("_t").alias("_hit"))
+        ok = ok.join(total, "donor").filter((1.0 - F.col("_keep") / F.col("_total") <= max_clip) & F.col("_hit").isNull())
+        return a.join(ok.groupBy("unit").agg(F.min("attempt").alias("attempt")), ["unit", "attempt"])
+
     for j in range(1, rounds + 1):
         t = targets.filter(F.col("n_pastes") >= j).join(n_site, "unit").select("unit", "_n", F.lit(j).alias("paste"))
         t = t.withColumn("donor", hashing.index(F.lit(n_donor), seed, F.col("unit"), j, "donor"))
-        t = t.withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(attempts))))
-        t = t.withColumn("_i", hashing.index(F.col("_n"), seed, F.col("unit"), j, F.col("attempt"), "site"))
-        t = runtime.cut(t.join(site, ["unit", "_i"]).select("unit", "paste", "attempt", "donor", F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("z").alias("sz")))
-        cells = t.join(dv, "donor").select("unit", "attempt", "donor", (F.col("sx") + F.col("dx")).alias("x"), (F.col("sy") + F.col("dy")).alias("y"), (F.col("sz") + F.col("dz")).alias("z"))
-        inside = (F.col("x") >= 0) & (F.col("x") < nx) & (F.col("y") >= 0) & (F.col("y") < ny) & (F.col("z") >= 0) & (F.col("z") < nz)
-        hit = taken.distinct().withColumn("_t", F.lit(1))
-        ok = cells.filter(inside).join(hit, ["unit", "x", "y", "z"], "left").groupBy("unit", "attempt", "donor").agg(F.count("*").alias("_keep"), F.sum("_t").alias("_hit"))
-        ok = ok.join(total, "donor").filter((1.0 - F.col("_keep") / F.col("_total") <= max_clip) & F.col("_hit").isNull())
-        first = ok.groupBy("unit").agg(F.min("attempt").alias("attempt"))
-        win = runtime.cut(t.join(first, ["unit", "attempt"]).select("unit", "paste", "attempt", "donor", "sx", "sy", "sz"))
+        # Most units succeed early: only the rest expand their remaining attempts.
+        early = min(4, attempts)
+        win = runtime.cut(tries(t, 1, early))
+        if attempts > early:
+            win = runtime.cut(win.unionByName(tries(t.join(win.select("unit"), "unit", "left_anti"), early + 1, attempts)))
         placed = win if placed is None else placed.unionByName(win)
-        fresh = win.join(dv, "donor").select("unit", (F.col("sx") + F.col("dx")).alias("x"), (F.col("sy") + F.col("dy")).alias("y"), (F.col("sz") + F.col("dz")).alias("z")).filter(inside)
+        fresh = moved(win)
         taken = runtime.cut(taken.unionByName(fresh))
     return placed
 

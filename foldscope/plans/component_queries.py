@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foldscope import runtime
 from foldscope.operators import boxes as B
 from foldscope.operators import components as C
 from foldscope.operators import metrics as M
@@ -41,6 +40,14 @@ def cc_of(spark, d, is_pred):
     return C.connected_components(C.rasterize(hot(spark, d, is_pred)))
 
 
+def cc_both(spark, d):
+    """Components of detections and lesions from one pass over units split by kind."""
+    b = bound(spark, d, "boxes").filter("score >= 0.8").withColumn("unit", F.col("unit") * 2 + F.col("is_pred").cast("int"))
+    cc = C.connected_components(C.rasterize(b))
+    side = lambda k: cc.filter(F.pmod("unit", F.lit(2)) == k).withColumn("unit", F.expr("unit div 2"))
+    return side(1), side(0)
+
+
 @query("c7_rasterize", f"""{with_('boxes')}, {CONF} SELECT unit, slice_y AS y, sum(z2 - z1) AS n_runs, CAST(sum((z2 - z1) * (x2 - x1)) AS BIGINT) AS n_cells FROM hot GROUP BY 1, 2""")
 def _(spark, d):
     r = C.rasterize(bound(spark, d, "boxes").filter("score >= 0.8"))
@@ -120,14 +127,16 @@ m AS (SELECT h.*, w.cc_id IS NOT NULL AS tp FROM hit h LEFT JOIN win w ON w.unit
 
 @query("j16_point_in_component", f"{BASE}, {HITS} SELECT unit, cc_id, les AS hit_cc FROM hit")
 def _(spark, d):
-    p = C.component_stats(cc_of(spark, d, True))
+    calls, lesions = cc_both(spark, d)
+    p = C.component_stats(calls)
     p = p.select("unit", "cc_id", F.rint("cy").cast("int").alias("py"), F.rint("cz").cast("int").alias("pz"), F.rint("cx").cast("int").alias("px"))
-    return C.point_in_component(p, cc_of(spark, d, False)).select("unit", "cc_id", "hit_cc")
+    return C.point_in_component(p, lesions).select("unit", "cc_id", "hit_cc")
 
 
 @query("c3_match_calls", f"{BASE}, {HITS} SELECT unit, cc_id, round(score, 6) AS score, CASE WHEN tp THEN 'tp' ELSE 'fp' END AS call_type, CASE WHEN tp THEN les END AS hit_cc FROM m")
 def _(spark, d):
-    m = C.match_calls(C.component_stats(cc_of(spark, d, True)), cc_of(spark, d, False))
+    calls, lesions = cc_both(spark, d)
+    m = C.match_calls(C.component_stats(calls), lesions)
     return m.select("unit", "cc_id", r6("score"), "call_type", "hit_cc")
 
 
@@ -139,7 +148,8 @@ WHERE NOT s.is_pred AND NOT EXISTS (SELECT 1 FROM m WHERE m.tp AND m.unit = s.un
 
 
 def records(spark, d):
-    return C.call_records(C.component_stats(cc_of(spark, d, True)), cc_of(spark, d, False), large=0.85, small=0.95)
+    calls, lesions = cc_both(spark, d)
+    return C.call_records(C.component_stats(calls), lesions, large=0.85, small=0.95)
 
 
 @query("c4_call_records", f"{RECORDS} SELECT unit, call_id, call_type, round(score, 6) AS score, passes_threshold, round(volume_mm3, 6) AS volume_mm3, voxel_count, gt_lesion_id FROM recs")
@@ -172,7 +182,7 @@ def lf_sql(label):
 @query("m7_lesion_froc", f"{BASE}, {HITS}, {lf_sql('lf AS (SELECT score, CAST(tp AS INT) AS lb FROM m)')}")
 def _(spark, d):
     n = table(spark, d, "supplier").agg(F.count("*").alias("n")).scalar()
-    return C.lesion_froc(cc_of(spark, d, True), cc_of(spark, d, False), n).select(r6("score"), r6("fp_per_unit"), r6("sens"))
+    return C.lesion_froc(*cc_both(spark, d), n).select(r6("score"), r6("fp_per_unit"), r6("sens"))
 
 
 OVL = """ov AS (SELECT a.unit, a.cc_id AS c, b.cc_id AS l, count(*) AS i FROM ccell a JOIN ccell b ON a.is_pred AND NOT b.is_pred AND a.unit = b.unit AND a.y = b.y AND a.z = b.z AND a.x = b.x GROUP BY ALL),
@@ -185,7 +195,7 @@ lf AS (SELECT s.score, CASE WHEN w2.c IS NULL THEN 0 ELSE 1 END AS lb FROM score
 @query("m7_lesion_froc_overlap", f"{BASE}, {lf_sql(OVL)}")
 def _(spark, d):
     n = table(spark, d, "supplier").agg(F.count("*").alias("n")).scalar()
-    f = C.lesion_froc(runtime.cut(cc_of(spark, d, True)), runtime.cut(cc_of(spark, d, False)), n, "overlap")
+    f = C.lesion_froc(*cc_both(spark, d), n, "overlap")
     return f.select(r6("score"), r6("fp_per_unit"), r6("sens"))
 
 

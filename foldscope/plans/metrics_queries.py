@@ -64,6 +64,16 @@ def _(spark, d):
     return M.mean_roc(bound(spark, d, "units")).select("k", r6("mean_tpr"), r6("min_tpr"), r6("max_tpr"))
 
 
+@query("a11_coarse_metrics", f"""{with_('units')}, {curve_sql('units', 'fold')}, au AS (SELECT fold, {AUROC_SQL} AS auroc FROM curve GROUP BY fold),
+neg AS (SELECT fold, score, row_number() OVER (PARTITION BY fold ORDER BY score) - 1 AS r, count(*) OVER (PARTITION BY fold) AS n FROM units WHERE label = 0),
+q AS (SELECT *, greatest(0, 1 - 2e0 / n) * (n - 1) AS pos FROM neg),
+thr AS (SELECT fold, max(CASE WHEN r = floor(pos) THEN score END) AS lo, max(CASE WHEN r = ceil(pos) THEN score END) AS hi, max(pos - floor(pos)) AS f FROM q GROUP BY fold)
+SELECT u.fold, round(max(au.auroc), 6) AS auroc, round(avg(CASE WHEN label = 1 THEN CASE WHEN u.score >= lo + (hi - lo) * f THEN 1e0 ELSE 0e0 END END), 6) AS sens_at_2fp
+FROM units u JOIN thr USING (fold) JOIN au USING (fold) GROUP BY u.fold""")
+def _(spark, d):
+    return M.coarse_metrics(bound(spark, d, "units"), by=["fold"]).select("fold", r6("auroc"), r6("sens_at_2fp"))
+
+
 FROC_SQL = f"""{with_('units')}, {curve_sql('units', 'fold', unit='unit')},
 froc AS (SELECT fold, score, unit, fp / CAST(p + n AS DOUBLE) AS fp_per_unit, tp / CAST(p AS DOUBLE) AS sens FROM curve)"""
 
@@ -170,10 +180,19 @@ def _(spark, d):
     return M.unit_metrics(bound(spark, d, "units"), by=["fold"], targets=PTS).select("fold", "metric", r6("value"))
 
 
-@query("m15_unit_metrics_ci", None)
+CI_PTS = "(VALUES (CAST(0.1 AS DOUBLE)), (CAST(0.5 AS DOUBLE))) t(fp_target)"
+
+
+@query("m15_unit_metrics_ci", boot_sql(50, f"""{curve_sql('rep', 'b', 'wt')}, {curve_sql('rep', 'b', 'wt', 'unit').replace('cells', 'ucells').replace('curve', 'ucurve')},
+bn AS (SELECT b, {BIN_SQL} AS bin, sum(wt) AS c, sum(wt * score) AS ss, sum(wt * label) AS y FROM rep GROUP BY 1, 2),
+st AS (SELECT b, 'auroc' AS metric, {AUROC_SQL} AS s FROM curve GROUP BY b UNION ALL SELECT b, 'ap', {AP_SQL} FROM curve GROUP BY b
+UNION ALL SELECT b, 'brier', sum(wt * (score - label) * (score - label)) / sum(wt) FROM rep GROUP BY b
+UNION ALL SELECT b, 'ece', sum(CASE WHEN bin IS NOT NULL THEN abs(ss - y) ELSE 0 END) / sum(c) FROM bn GROUP BY b
+UNION ALL SELECT b, 'sens@' || printf('%.3f', fp_target) || 'fp', coalesce(max(CASE WHEN fp / CAST(p + n AS DOUBLE) <= fp_target THEN tp / CAST(p AS DOUBLE) END), 0) FROM ucurve, {CI_PTS} GROUP BY b, fp_target)
+SELECT metric, {CI} FROM st GROUP BY metric"""))
 def _(spark, d):
     m = M.unit_metrics(bound(spark, d, "units_small"), targets=[0.1, 0.5], n_boot=50)
-    return m.select("metric", r6("value"), r6("ci_lower"), r6("ci_upper"))
+    return m.select("metric", r6("ci_lower"), r6("ci_upper"))
 
 
 STRATA_SQL = """strata AS (SELECT unit, score, label, 'priority' AS stratum_kind, priority AS stratum_value FROM units

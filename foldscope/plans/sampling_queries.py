@@ -106,7 +106,7 @@ def _(spark, d):
 @query("k9_place_donors")
 def _(spark, d):
     v = bound(spark, d, "voxels")
-    cc = runtime.cut(C.connected_components(C.voxel_runs(v)))
+    cc = C.connected_components(C.voxel_runs(v))
     st = C.component_stats(cc).filter("voxel_count >= 4")
     st = ranked(st, [F.col("unit"), F.col("cc_id")], (), "donor").withColumn("donor", F.col("donor") - 1)
     lab = C.label_voxels(v.select("unit", "x", "y", "z"), cc).join(st.select("unit", "cc_id", "donor", "cx", "cy", "cz"), ["unit", "cc_id"])

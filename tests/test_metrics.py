@@ -139,3 +139,14 @@ def test_seeds(spark):
 
     r = spark.range(1).select(H.fold_seed(42, 7).alias("a"), H.fold_seed(5000000000, 3, -1).alias("b")).collect()[0]
     assert (r.a, r.b) == (want(42, 7), want(5000000000, 3, -1))
+
+
+def test_coarse_metrics(spark):
+    r = np.random.default_rng(9)
+    rows = [(round(float(r.random()), 2), int(r.random() < 0.3)) for _ in range(60)]
+    neg, pos = [s for s, y in rows if not y], np.array([s for s, y in rows if y])
+    thr = np.quantile(neg, 1 - 2 / len(neg))
+    out = M.coarse_metrics(pairs(spark, rows)).collect()[0]
+    assert out.auroc == pytest.approx(brute_auroc(rows)) and out.sens_at_2fp == pytest.approx((pos >= thr).mean())
+    none = M.coarse_metrics(pairs(spark, [(0.4, 1)])).collect()[0]
+    assert none.auroc is None and none.sens_at_2fp is None
