@@ -151,7 +151,7 @@ def proportional_alloc(sizes: DataFrame, target: int, key: Sequence[str], size="
     so one pass in remainder order places it; beyond the total every stratum is full.
     """
     total = sizes.agg(F.sum(size).alias("t")).scalar()
-    raw = F.lit(target) * F.col(size) / total
+    raw = F.coalesce(F.try_divide(F.lit(target) * F.col(size), total), F.lit(0.0))
     f = sizes.withColumns({"_raw": raw, "_floor": F.least(F.floor(raw), F.col(size))}).withColumn("_frac", F.col("_raw") - F.col("_floor"))
     f = ranked(f, [F.col("_frac").desc(), *[F.col(k) for k in key]], (), "_rk", limit)
     left = F.lit(target) - f.agg(F.sum("_floor").alias("s")).scalar()
@@ -346,7 +346,7 @@ def latency_summary(df: DataFrame, col: str, by: Sequence[str] = (), limit=None)
 def run_summary(df: DataFrame, num: str, den: str, status="status", by: Sequence[str] = ()) -> DataFrame:
     """Ratio of sums, mean ratio and count of ok rows."""
     return df.groupBy(*by).agg(
-        (F.sum(num) / F.sum(den)).alias("growth"), F.avg(F.col(num) / F.col(den)).alias("mean_ratio"),
+        F.try_divide(F.sum(num), F.sum(den)).alias("growth"), F.avg(F.try_divide(F.col(num), F.col(den))).alias("mean_ratio"),
         F.sum((F.col(status) == "ok").cast("long")).alias("n_ok"), F.count("*").alias("n"))
 
 

@@ -265,7 +265,7 @@ def lesion_froc(calls_cc: DataFrame, lesions: DataFrame, n_units: int | Column,
     curve = prefix_sum(cells, [F.col("score").desc()], {"tp": F.col("pos"), "fp": F.col("neg")}, (), limit)
     n_les = lesions.select("unit", "cc_id").distinct().agg(F.count("*").alias("n")).scalar()
     n_units = n_units if isinstance(n_units, Column) else F.lit(n_units)
-    return curve.select("score", (F.col("fp") / n_units).alias("fp_per_unit"), (F.col("tp") / n_les).alias("sens"))
+    return curve.select("score", F.try_divide(F.col("fp"), n_units).alias("fp_per_unit"), F.try_divide(F.col("tp"), n_les).alias("sens"))
 
 
 # --- distance sets ------------------------------------------------------------------------------

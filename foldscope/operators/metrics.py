@@ -132,7 +132,7 @@ def coarse_metrics(df, score="score", label="label", by: Sequence[str] = (), lim
     """
     c = with_totals(score_curve(df, score, label, by, None, (), limit), by)
     n = F.col("n")
-    pos = F.greatest(F.lit(0.0), 1.0 - 2.0 / n) * (n - 1)
+    pos = F.greatest(F.lit(0.0), 1.0 - 2.0 / F.greatest(n, F.lit(1))) * (n - 1)
     at = lambda r: F.max(F.when((n - F.col("fp") <= r) & (r < n - F.col("fp") + F.col("neg")), F.col("score")))
     frac = F.max(pos - F.floor(pos))
     lo, hi = at(F.floor(pos)), at(F.ceil(pos))
@@ -141,7 +141,7 @@ def coarse_metrics(df, score="score", label="label", by: Sequence[str] = (), lim
         j = c.join(t, list(by))
     else:
         j = c.withColumns({"auroc": t.select("auroc").scalar(), "thr": t.select("thr").scalar()})
-    sens = F.coalesce(F.max(F.when(F.col("score") >= F.col("thr"), F.col("tp"))), F.lit(0)) / F.max("p")
+    sens = F.try_divide(F.coalesce(F.max(F.when(F.col("score") >= F.col("thr"), F.col("tp"))), F.lit(0)), F.max("p"))
     return j.groupBy(*by).agg(F.max("auroc").alias("auroc"), F.when(F.max("auroc").isNotNull(), sens).alias("sens_at_2fp"))
 
 

@@ -222,3 +222,8 @@ def test_ingest_stream_retries_failures(spark, tmp_path):
     put([(1, "ok", "again"), (2, "ok", "retry"), (3, "failed", "new")])
     got = {r.id: (r.status, r.note) for r in run().collect()}
     assert got == {1: ("ok", "first"), 2: ("ok", "retry"), 3: ("failed", "new")}
+
+
+def test_split_with_nothing_left_for_folds(spark):
+    df = spark.createDataFrame([(i, "a") for i in range(6)], "unit int, k string")
+    assert {r.split for r in C.stratified_split(df, ["k"], 6, 3, 5).collect()} == {"holdout"}
