@@ -132,7 +132,11 @@ def max_iou(events: DataFrame, gt: DataFrame, key=("unit", "slice_y"), tile: flo
 
 
 def _split_by_size(df: DataFrame, key: Sequence[str], limit: int):
-    """(rows of small groups, rows of large groups or None), by a counted bound."""
+    """(rows of small groups, rows of large groups or None), by a counted bound.
+
+    The rows are written once, because the count and the work both read them.
+    """
+    df = runtime.cut(df)
     sizes = df.groupBy(*key).agg(F.count("*").alias("_n"))
     hot = runtime.cut(sizes.filter(F.col("_n") > limit).select(*key))
     if hot.isEmpty():

@@ -43,10 +43,11 @@ def score_curve(
 
 def with_totals(curve: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Add the group totals ``p`` and ``n`` to a score curve."""
-    tot = curve.groupBy(*by).agg(F.max("tp").alias("p"), F.max("fp").alias("n"))
+    tot = curve.groupBy(*by).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     if by:
         return curve.join(tot, list(by))
-    return curve.withColumns({"p": tot.select("p").scalar(), "n": tot.select("n").scalar()})
+    row = tot.first()
+    return curve.withColumns({c: F.lit(row[c]).cast("long") for c in ("p", "n")})
 
 
 def _auroc_expr() -> Column:
@@ -247,7 +248,9 @@ def resample(
         slots = idx.select(*by, "_i").join(sizes, list(by))
     else:
         slots = idx.select("_i").withColumn("_n", idx.agg(F.count("*").alias("_n")).scalar())
-    draws = slots.select(*by, "_n", "_i", reps).select(*by, "_b", hashing.index(F.col("_n"), seed, F.col("_b"), F.col("_i")).alias("_i"))
+    # Spread the units first: the replicates multiply them right after.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    draws = slots.repartition(parts, "_i").select(*by, "_n", "_i", reps).select(*by, "_b", hashing.index(F.col("_n"), seed, F.col("_b"), F.col("_i")).alias("_i"))
     return draws.groupBy(*by, "_b", "_i").agg(F.count("*").alias("_wt")).join(idx, [*by, "_i"]).drop("_i")
 
 

@@ -93,7 +93,7 @@ def quantiles(
         F.sum(weight if weight is not None else F.lit(1)).cast("long").alias("_c")
     )
     cum = prefix_sum(cells, [F.col("_v")], {"_cum": F.col("_c")}, by, limit)
-    total = cum.groupBy(*by).agg(F.max("_cum").alias("n"))
+    total = cum.groupBy(*by).agg(F.sum("_c").alias("n"))
     if by:
         names = {c: f"_g_{c}" for c in by}
         t = total.withColumnsRenamed(names)
@@ -103,7 +103,7 @@ def quantiles(
         cum = cum.join(t, cond).drop(*names.values())
         n = F.col("n")
     else:
-        n = total.select("n").scalar()
+        n = F.lit(total.first()["n"]).cast("long")
     aggs = []
     for name, p in probs.items():
         pos = F.lit(float(p)) * (n - 1)
