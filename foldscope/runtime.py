@@ -32,16 +32,21 @@ def session(app: str = "foldscope", cpus: str = "*", partitions: int = 8) -> Spa
     )
 
 
+# Folder of this process where the session names none (local mode only).
+_own_dir: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder for cut tables: the cluster's checkpoint folder, or a temporary one in local mode."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if path:
         return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    if not _own_dir:
+        _own_dir.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return _own_dir[0]
 
 
 def cut(df: DataFrame) -> DataFrame:
