@@ -34,3 +34,14 @@ def text_hash(text: str | Column) -> Column:
 def sha256_of(parts: Column) -> Column:
     """Lowercase hex of the comma-joined strings of an array."""
     return F.sha2(F.array_join(parts, ","), 256)
+
+
+def row_key(*cols: str) -> list[Column]:
+    """Columns _a and _b: 128 bits that stand for the values of ``cols``, never NULL themselves."""
+    parts = [p for c in cols for p in (F.col(c), F.col(c).isNull())]
+    return [F.xxhash64(*parts).alias("_a"), F.xxhash64(F.lit("salt"), *parts).alias("_b")]
+
+
+def packed(df: DataFrame, *cols: str) -> DataFrame:
+    """``cols`` of ``df`` beside the whole row in ``_row``, so that no other column name can clash."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")).select("_row", *[F.col(f"_row.{c}").alias(c) for c in cols])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldscope.llm import mixing, tokens
+from foldscope.llm import decontaminate, mixing, tokens
 from foldscope.llm.common import scratch, table
 
 QUERIES: dict = {}
@@ -68,3 +68,29 @@ from k
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.placements(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", "taken", F.col("position").cast("long").alias("position"))
+
+
+HITS_SQL = r"""
+with d as (
+  select doc_id, row_number() over () as rid,
+    coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as w from documents),
+b as (
+  select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark where text is not null),
+v as (
+  select distinct item_id, least(len(w), 13) as n, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') as win
+  from (select item_id, w, unnest(range(1, greatest(len(w) - 13, 0) + 2)) as i from b where len(w) > 0)),
+g as (
+  select rid, n, i, array_to_string(w[i:i + n - 1], ' ') as win
+  from (select rid, w, n, unnest(range(1, len(w) - n + 2)) as i from d, (select distinct n from v))),
+m as (select g.rid, g.i, g.n, v.item_id from g join v on g.win = v.win and g.n = v.n),
+h as (select rid, count(distinct p) as n_hit from (select rid, unnest(range(i, i + n)) as p from (select distinct rid, i, n from m)) group by rid),
+t as (select rid, list_sort(list(distinct item_id::varchar)) as items from m group by rid)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(len(items), 0)::bigint as n_items,
+  sha256(coalesce(array_to_string(items, ','), '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join h using (rid) left join t using (rid)
+"""
+
+
+@query("op4_decontaminate", HITS_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
