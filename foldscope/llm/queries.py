@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldscope.llm import decontaminate, mixing, tokens
+from foldscope.llm import decontaminate, mixing, spans, tokens
 from foldscope.llm.common import scratch, table
 
 QUERIES: dict = {}
@@ -94,3 +94,9 @@ from d left join h using (rid) left join t using (rid)
 @query("op4_decontaminate", HITS_SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op1_substring_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spans.dedup_spans(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_sentences", "n_removed", "first_doc_ids", "text")
