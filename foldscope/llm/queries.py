@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldscope.llm import chat, decontaminate, mixing, spans, tokens
+from foldscope.llm import chat, decontaminate, html_main, mixing, spans, tokens
 from foldscope.llm.common import scratch, table
 
 QUERIES: dict = {}
@@ -110,3 +110,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     rows = rows.union(spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema))
     return chat.digests(chat.format_conversations(rows, public_tokenizers.path("byte_bpe_50k.json")))
+
+
+@query("op6_html_main")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.main_text(table(spark, sf_dir, "pages"))
