@@ -22,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foldscope.llm.common import partitions, text_hash
+from foldscope.llm.common import ASCII_UPPER, partitions, text_hash
 
 # Ids of one chunk, unless a single document has more.
 CHUNK_IDS = 1 << 18
 # Ids of one block; positions of exceptions fit 16 bits.
 BLOCK_IDS = 256
-# A worker's memo of encoded words is emptied beyond this size; it only saves work.
-MEMO_WORDS = 300_000
+# A worker's memo of words is emptied beyond this size, that of word stems stops growing; they only save work.
+MEMO_WORDS, MEMO_STEMS = 400_000, 500_000
 
 CHUNKS = "shard int, chunk int, chunk_start long, n_ids long, doc_ids array<long>, doc_lens array<long>, payload binary"
 
@@ -97,29 +97,77 @@ def unpack(payload: bytes) -> np.ndarray:
     return grid.reshape(-1)[:n]
 
 
-class Encoder:
-    """Encodes texts piece by piece between ASCII blanks, where this tokenizer never joins tokens.
+class Encoder(dict):
+    """Encodes texts word by word (between ASCII blanks), remembering the words it has met.
 
-    The tokenizers must drop white space before it splits words (as ``word_bpe_49k.json`` does), so that the
-    ids of a text are the ids of its pieces one after another.
+    The tokenizers must drop white space before it splits words (as ``word_bpe_49k.json`` does), so that the ids of
+    a text are the ids of its words one after another. A word of small letters, with ASCII punctuation behind it or
+    not, is one or two of its pieces and goes to its BPE model as it is; probes at the start check that.
     """
 
+    # UTF-8 lead bytes of combining marks, before which lower-casing could change what composes.
+    MARKS = (b"\xcc", b"\xcd")
+    BEHIND = "!\"#$%&()*+,-./:;=?@[]^_`{|}~"
+
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        pieces = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        fresh = {p for words in pieces for p in words}.difference(self.memo)
-        if len(self.memo) + len(fresh) > MEMO_WORDS:
-            self.memo.clear()
-            fresh = {p for words in pieces for p in words}
-        fresh = list(fresh)
-        for p, found in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False), strict=True):
-            self.memo[p] = np.array(found.ids, "<u4").tobytes()
-        return [b"".join(map(self.memo.__getitem__, words)) for words in pieces]
+        super().__init__()
+        t = self.tokenizer = Tokenizer.from_file(path)
+        if self._encode("a b\nc") != self._encode("a") + self._encode("b") + self._encode("c"):
+            raise ValueError("the tokenizers must drop white space")
+        lower = self._encode("AZ") == self._encode("az")
+        same = bytes(range(256)).translate(bytes.maketrans(b"\n", b" "))
+        self.blanks = same
+        self.folded = same.translate(bytes.maketrans(ASCII_UPPER.encode(), ASCII_UPPER.lower().encode())) if lower else same
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+        rest = iter(range(256, 512))
+        self.letters = str.maketrans({chr(b): chr(b if b in shown else next(rest)) for b in range(256)})
+        self.model = t.model
+        self.stems: dict[str, bytes] = {}
+        if any(self._direct(w) != self._encode(w) for w in ("word", "straße", "élève", "ñandú", "zzqx")):
+            self.model = None
+
+    def _encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _direct(self, word: str) -> bytes:
+        found = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
+        return np.array([x.id for x in found], "<u4").tobytes()
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode()
+        stem = text.rstrip(self.BEHIND)
+        coded = self.stems.get(stem)
+        if coded is None:
+            if self.model is not None and stem.isalpha() and stem == stem.lower() and max(stem) < "\u0180":
+                coded = self._direct(stem)
+                if len(self.stems) < MEMO_STEMS:
+                    self.stems[stem] = coded
+            else:
+                stem, coded = text, self._encode(text)
+        if stem != text:
+            tail = text[len(stem) :]
+            coded += self.stems.get(tail) or self.stems.setdefault(tail, self._encode(tail))
+        if len(self) >= MEMO_WORDS:
+            self.clear()
+        self[word] = coded
+        return coded
+
+    def __call__(self, text: str) -> bytes:
+        raw = text.encode()
+        plain = any(m in raw for m in self.MARKS) or b"<|" in raw  # control strings are matched before folding
+        return b"".join(map(self.__getitem__, raw.translate(self.blanks if plain else self.folded).split(b" ")))
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """This worker's encoder, whose memo outlives a task."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, percentile: int = 90, shards: int | None = None) -> None:
@@ -132,7 +180,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, pe
     end = np.array([end_id], "<u4").tobytes()
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer)
+        encode = encoder(tokenizer)
         chunk, start, held, ids, lens, shard = 0, 0, 0, [], [], 0
         parts: list[bytes] = []
 
@@ -146,7 +194,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, pe
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                for doc, where, coded in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
+                for doc, where, text in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    coded = encode(text or "")
                     n, shard = len(coded) // 4 + 1, where
                     if held and held + n > CHUNK_IDS:
                         yield out()
