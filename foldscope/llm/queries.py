@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldscope.llm import chat, decontaminate, html_main, mixing, spans, tokens, topk
+from foldscope.llm import chat, decontaminate, html_main, mixing, neardup, spans, tokens, topk
 from foldscope.llm.common import scratch, table
 
 QUERIES: dict = {}
@@ -132,3 +132,8 @@ from (select *, row_number() over (partition by query_id order by score desc, ve
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.search(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+
+
+@query("op3_near_duplicates")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
