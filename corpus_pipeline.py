@@ -1,4 +1,8 @@
-"""The corpus pipeline: stages from raw documents to token files, each written and read again."""
+"""The corpus pipeline: five stages from raw documents to token files, each written and read again.
+
+Every stage works on all rows that the one before kept. The first four return the columns of ``documents``; the
+last writes the token files and returns what it reads back from them.
+"""
 
 from __future__ import annotations
 
@@ -6,22 +10,42 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldscope.llm import mixing, queries
+from foldscope.llm import decontaminate, mixing, neardup, quality, queries
 from foldscope.llm.common import scratch, table
 
 # A classifier is fitted on the way, which SQL can't express; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
+def good_only(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained quality classifier doesn't reject."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    return neardup.keep_one(docs)
+
+
+def clean_only(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that aren't contaminated by benchmark items."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in training order, as often as their source's target asks for."""
     return mixing.curriculum(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of the documents, read back."""
     return queries.encoded(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", good_only),
+    ("MinHash near-dedup", one_of_each),
+    ("benchmark decontamination", clean_only),
     ("mixing sources to target weights", mix),
     ("token-ID / binary output", encode),
 ]
@@ -29,7 +53,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for _, stage in STAGES:
         path = scratch(spark, "stage")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
