@@ -52,8 +52,7 @@ class Node:
     parent: int
     apart: bool
     favoured: bool
-    good: int = 0
-    bad: int = 0
+    text: float = 0.0
 
 
 @dataclass
@@ -151,21 +150,24 @@ def parse(source: str) -> Page:
 
 
 def scores(page: Page) -> list[tuple[float, int]]:
-    """(score, node) of the containers, best first: text of prose blocks less that of link lists, held inside.
+    """(score, node) of the containers, best first: characters of prose blocks less those of link lists.
 
-    An article or a container named like one counts half as much again; of equal ones the inner is better.
+    An article, or a container named like one, counts all that it holds half as much again. A plain container
+    counts its own blocks whole and those of inner ones half as much for each step down, so that a wrapper only
+    beats its parts where the text is spread over several. Of equal ones the inner is better.
     """
     nodes = page.nodes
     for at, text, linked, _ in page.blocks:
-        if not nodes[at].apart:
-            prose = 2 * linked < len(text)
-            while at >= 0:
-                if prose:
-                    nodes[at].good += len(text)
-                else:
-                    nodes[at].bad += len(text)
-                at = nodes[at].parent
-    found = [((n.good - n.bad) * (1.5 if n.favoured else 1.0), k) for k, n in enumerate(nodes) if n.tag in CONTAINER and not n.apart and n.good > n.bad]
+        if nodes[at].apart:
+            continue
+        size, share = float(len(text) if 2 * linked < len(text) else -len(text)), 1.0
+        while at >= 0:
+            node = nodes[at]
+            node.text += 1.5 * size if node.favoured else share * size
+            if node.tag in CONTAINER:
+                share /= 2
+            at = node.parent
+    found = [(n.text, k) for k, n in enumerate(nodes) if n.tag in CONTAINER and not n.apart and n.text > 0]
     return sorted(found, key=lambda x: (-x[0], -x[1]))
 
 

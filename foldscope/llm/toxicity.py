@@ -25,6 +25,8 @@ WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (3, 4, 5, 6)
 # Labelled rows for the fit, candidates and features of a category, least rows of a candidate, folds.
 SAMPLE, CANDIDATES, FEATURES, SUPPORT, FOLDS = 10_000, 256, 64, 5, 5
+# What a negative row of a feature costs in positive ones, and the positive rows that it must add beyond that.
+NEGATIVE_COST, LEAST_GAIN = 0.2, 3
 THRESHOLD = 0.5
 # Seed words that divide rows labelled toxic into categories; the chain ends in the label itself.
 SEEDS = {
@@ -108,31 +110,45 @@ def candidates(sample: DataFrame, names: list[str], per: int = CANDIDATES, suppo
 
 
 def vectors(known: list[int]):
-    """A function from texts to log counts of the known parts, a row each."""
+    """The numbers of the known parts, and a function from a text to its counts of them and of all words."""
     number = {h: i for i, h in enumerate(known)}
 
     def count(parts: _Parts, text: str | None) -> np.ndarray:
-        hit = np.frombuffer(b"".join(map(parts.__getitem__, WORD.findall((text or "").lower()))), np.int32)
-        return np.log1p(np.bincount(hit, minlength=len(known))[: len(known)]).astype(np.float32)
+        words = WORD.findall((text or "").lower())
+        hit = np.frombuffer(b"".join(map(parts.__getitem__, words)), np.int32)
+        return np.r_[np.bincount(hit, minlength=len(known))[: len(known)], len(words)].astype(np.float32)
 
     return number, count
 
 
-def chosen(x: np.ndarray, y: np.ndarray, most: int) -> list[int]:
-    """Columns picked one by one for the positive rows that they add, less the negative rows; then for weight on covered ones."""
-    seen, out = np.zeros(len(y), bool), []
-    hit = x > 0
-    for _ in range(min(most, x.shape[1])):
-        gain = (hit & (~seen & (y == 1))[:, None]).sum(axis=0) - 2.0 * (hit & (y == 0)[:, None]).sum(axis=0) / max((y == 0).sum() / max((y == 1).sum(), 1), 1)
+def chosen(x: np.ndarray, y: np.ndarray, most: int, least: float = LEAST_GAIN) -> list[int]:
+    """Columns picked one by one: each has the most positive rows not yet covered, less a cost for negative ones.
+
+    When none adds enough, all positive rows count as uncovered again, so that a word that always stands beside
+    others is found as well.
+    """
+    hit, left, out = x > 0, y == 1, []
+    cost = NEGATIVE_COST * hit[y == 0].sum(axis=0)
+    while len(out) < most and x.shape[1]:
+        gain = hit[left].sum(axis=0) - cost
         gain[out] = -np.inf
         best = int(gain.argmax())
-        if gain[best] <= 0:
-            break
+        if gain[best] < least:
+            if (left == (y == 1)).all():
+                break
+            left = y == 1
+            continue
         out.append(best)
-        seen |= hit[:, best]
+        left &= ~hit[:, best]
     return out
 
 
+def own_features(x: np.ndarray, columns: list[int], earlier: np.ndarray) -> np.ndarray:
+    """Log counts of a category's parts, their share of all words, and the earlier categories' probabilities."""
+    counts = x[:, columns]
+    return np.c_[np.log1p(counts), np.log1p(300 * counts.sum(axis=1) / np.maximum(x[:, -1], 1)), earlier]
+
+
 class Chain:
     """One model for each category, in order; each sees its features and the earlier probabilities."""
 
@@ -143,8 +159,8 @@ class Chain:
         fold = linear.folds(keys, n_folds)
         earlier = np.zeros((len(x), 0))
         for k in range(len(self.names)):
-            self.columns.append(chosen(x, y[:, k], FEATURES))
-            own = np.c_[x[:, self.columns[k]], earlier]
+            self.columns.append(chosen(x[:, :-1], y[:, k], FEATURES))
+            own = own_features(x, self.columns[k], earlier)
             self.models.append(linear.fit(own, y[:, k]))
             earlier = np.c_[earlier, linear.out_of_fold(own, y[:, k], fold, n_folds)]
         self.held_out = earlier
@@ -153,7 +169,7 @@ class Chain:
     def predict(self, x: np.ndarray) -> np.ndarray:
         p = np.zeros((len(x), 0))
         for columns, model in zip(self.columns, self.models, strict=True):
-            p = np.c_[p, model.predict(np.c_[x[:, columns], p])]
+            p = np.c_[p, model.predict(own_features(x, columns, p))]
         return p
 
 
@@ -174,7 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> tuple[Chain
 
     got = sample.mapInArrow(read, ", ".join(["doc_id long", "x binary", *[f"{c} int" for c in names]])).toPandas()
     got = got.sort_values("doc_id", kind="stable")
-    x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(len(got), len(known)).astype(np.float64)
+    x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(len(got), len(known) + 1).astype(np.float64)
     return Chain(names).fit(x, got[names].to_numpy(float), got["doc_id"].to_numpy()), known
 
 
@@ -186,7 +202,7 @@ def score(docs: DataFrame, chain: Chain, known: list[int], threshold: float = TH
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = _Parts(number)
         for batch in batches:
-            x = np.stack([count(parts, t.as_py()) for t in batch.column(1)]) if batch.num_rows else np.zeros((0, len(known)))
+            x = np.stack([count(parts, t.as_py()) for t in batch.column(1)]) if batch.num_rows else np.zeros((0, len(known) + 1))
             p = chain.predict(x.astype(np.float64))
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(p[:, k]) for k in range(p.shape[1])], pa.array(p[:, -1] >= threshold)], ["doc_id", *names, "toxic"])
 
