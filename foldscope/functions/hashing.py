@@ -23,9 +23,14 @@ def uniform(*parts) -> Column:
     return hash32(*parts).cast("double") / F.lit(4294967296.0)
 
 
+def hash60(*parts) -> Column:
+    """Unsigned 60-bit integer: the first 15 hex digits of the md5 of the ``:``-joined parts."""
+    return F.conv(F.substring(F.md5(_text(parts)), 1, 15), 16, 10).cast("long")
+
+
 def index(n, *parts) -> Column:
-    """Uniform integer in [0, n)."""
-    return F.pmod(hash32(*parts), (n if isinstance(n, Column) else F.lit(n)).cast("long"))
+    """Uniform integer in [0, n), for pools of any size."""
+    return F.pmod(hash60(*parts), (n if isinstance(n, Column) else F.lit(n)).cast("long"))
 
 
 def normal(*parts) -> Column:
@@ -34,9 +39,9 @@ def normal(*parts) -> Column:
     return F.sqrt(-2.0 * F.log(u1)) * F.cos(F.lit(2.0 * math.pi) * uniform(*parts, "u2"))
 
 
-def poisson1(*parts, kmax: int = 12) -> Column:
+def poisson1(*parts, kmax: int = 20) -> Column:
     """Poisson(1) draw by inverting the distribution function at a keyed uniform."""
-    u, cdf, term, out = uniform(*parts), 0.0, math.exp(-1.0), F.lit(0)
+    u, cdf, term, out = hash60(*parts).cast("double") / F.lit(2.0**60), 0.0, math.exp(-1.0), F.lit(0)
     for k in range(kmax):
         cdf += term
         term /= k + 1

@@ -145,7 +145,7 @@ def _split_by_size(df: DataFrame, key: Sequence[str], limit: int):
 
 
 def nms(
-    boxes: DataFrame, iou_thr: float = 0.5, max_per: int | None = 100, key=("unit", "slice_y"), closed: bool = False,
+    boxes: DataFrame, iou_thr: float = 0.5, max_per: int | None = None, key=("unit", "slice_y"), closed: bool = False,
     fold_rows: int | None = None,
 ) -> DataFrame:
     """Greedy suppression, best score first; drops boxes with IoU > thr (>= when ``closed``) to a kept one.

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from foldscope.functions.hashing import hash32
 from foldscope.operators.ordering import quantiles, ranked, top_by
+from foldscope.runtime import join_groups
 
 # --- filters ------------------------------------------------------------------------------------
 
@@ -340,7 +341,7 @@ def latency_summary(df: DataFrame, col: str, by: Sequence[str] = (), limit=None)
     fin = df.filter(F.col(col).isNotNull() & ~F.isnan(col) & (F.abs(col) != float("inf")))
     q = quantiles(fin, col, {"p50": 0.5, "p90": 0.9, "p99": 0.99}, by, limit=limit)
     m = fin.groupBy(*by).agg(F.avg(col).alias("mean"))
-    return q.join(m, list(by)) if by else q.withColumn("mean", m.select("mean").scalar())
+    return join_groups(q, m, by) if by else q.withColumn("mean", m.select("mean").scalar())
 
 
 def run_summary(df: DataFrame, num: str, den: str, status="status", by: Sequence[str] = ()) -> DataFrame:
@@ -365,7 +366,7 @@ def score_ema(df: DataFrame, key: Sequence[str], order: Sequence[str], score="sc
     r = ranked(df, [F.col(c) for c in order], key, "_i", limit)
     n = r.groupBy(*key).agg(F.max("_i").alias("_n"))
     w = F.pow(F.lit(decay), F.col("_n") - F.col("_i")) * F.when(F.col("_i") == 1, 1.0).otherwise(1.0 - decay)
-    return r.join(n, list(key)).groupBy(*key).agg(F.sum(w * F.col(score)).alias("ema"), F.max("_n").alias("n_updates"))
+    return join_groups(r, n, key).groupBy(*key).agg(F.sum(w * F.col(score)).alias("ema"), F.max("_n").alias("n_updates"))
 
 
 def gap_pool(df: DataFrame, key: Sequence[str], feats="feats") -> DataFrame:
@@ -468,14 +469,21 @@ def progress_rate(df: DataFrame, ts="ts", ok: Column | None = None, expected: in
     return c.filter("own = 1").select("sec", "total_done", "total_failed", recent.alias("recent"), rate.alias("rate_per_min"), eta.alias("eta_sec"))
 
 
-def pad_sequences(df: DataFrame, key: Sequence[str], order: str, value: str, length: int) -> DataFrame:
-    """Long form of fixed-length padded sequences: position, value (0 when padded), validity.
+def pad_sequences(df: DataFrame, key: Sequence[str], order: str, value: str, length: int | None = None) -> DataFrame:
+    """Long form of padded sequences: position, value (0 when padded), validity.
 
+    All are padded to the longest, or to ``length``; a sequence longer than that is an error, nothing is cut.
     Positions come from a ranked order; nothing is gathered into arrays.
     """
-    r = ranked(df, [F.col(order)], key, "_i").filter(F.col("_i") <= length)
-    grid = df.select(*key).distinct().select(*key, F.explode(F.sequence(F.lit(1).cast("long"), F.lit(length).cast("long"))).alias("_i"))
-    j = grid.join(r.select(*key, "_i", F.col(value).alias("_v")), [*key, "_i"], "left")
+    r = ranked(df, [F.col(order)], key, "_i")
+    longest = r.agg(F.coalesce(F.max("_i"), F.lit(0).cast("long")).alias("_l")).scalar()
+    if length is None:
+        to = longest
+    else:
+        too_long = F.raise_error(F.concat(F.lit("a sequence has rows beyond length "), F.lit(length))).cast("long")
+        to = F.when(longest > length, too_long).otherwise(F.lit(length).cast("long"))
+    grid = df.select(*key).distinct().select(*key, F.explode(F.sequence(F.lit(1).cast("long"), to)).alias("_i"))
+    j = join_groups(grid, r.select(*key, "_i", F.col(value).alias("_v")), [*key, "_i"], "left")
     return j.select(*key, (F.col("_i") - 1).alias("pos"), F.coalesce("_v", F.lit(0)).alias(value), F.col("_v").isNotNull().alias("valid"))
 
 

@@ -20,7 +20,7 @@ CANVAS = (160, 384, 384)
 ROW = ["unit", "y", "z"]
 
 
-def rasterize(boxes: DataFrame, canvas: Sequence[int] = CANVAS) -> DataFrame:
+def rasterize(boxes: DataFrame, canvas: Sequence[int]) -> DataFrame:
     """Boxes as scored runs: outward rounding, clipped to the canvas (y, z, x), score above 0 only."""
     ny, nz, nx = canvas
     b = boxes.select(
@@ -353,12 +353,12 @@ def roi_stats(voxels: DataFrame, roi: DataFrame | None = None, value="v", by=("u
     """Percentiles 1 and 99, mean and population std of the voxels inside a region."""
     v = voxels if roi is None else voxels.join(roi.select(*XYZ), XYZ, "left_semi")
     q = quantiles(v, value, {"p1": 0.01, "p99": 0.99}, by, limit=limit)
-    return q.join(v.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std")), list(by))
+    return runtime.join_groups(q, v.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std")), by)
 
 
 def normalize_intensity(voxels: DataFrame, stats: DataFrame, value="v", by=("unit",)) -> DataFrame:
     """Clip to (p1, p99), then z-score; a std of nearly 0 counts as 1."""
-    j = voxels.join(stats.select(*by, "p1", "p99", "mean", "std"), list(by))
+    j = runtime.join_groups(voxels, stats.select(*by, "p1", "p99", "mean", "std"), by)
     z = (F.least(F.greatest(F.col(value), F.col("p1")), F.col("p99")) - F.col("mean")) / F.when(F.col("std") > 1e-8, F.col("std")).otherwise(1.0)
     return j.withColumn("z_value", z).drop("p1", "p99", "mean", "std")
 
@@ -387,7 +387,7 @@ def label_census(voxels: DataFrame, value="label", expected: Sequence[int] = (0,
     """Count per label value in long form with a flag for units that hold only expected values."""
     cells = voxels.groupBy(*by, F.col(value).alias("label_value")).agg(F.count("*").alias("n"))
     ok = cells.groupBy(*by).agg(F.min(F.col("label_value").isin(*expected).cast("int")).cast("boolean").alias("is_binary"), F.count("*").alias("n_labels"))
-    return cells.join(ok, list(by))
+    return runtime.join_groups(cells, ok, by)
 
 
 def local_std(voxels: DataFrame, value="v") -> DataFrame:

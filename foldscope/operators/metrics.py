@@ -45,7 +45,7 @@ def with_totals(curve: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Add the group totals ``p`` and ``n`` to a score curve."""
     tot = curve.groupBy(*by).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     if by:
-        return curve.join(tot, list(by))
+        return runtime.join_groups(curve, tot, by)
     row = tot.first()
     return curve.withColumns({c: F.lit(row[c]).cast("long") for c in ("p", "n")})
 
@@ -139,7 +139,7 @@ def coarse_metrics(df, score="score", label="label", by: Sequence[str] = (), lim
     lo, hi = at(F.floor(pos)), at(F.ceil(pos))
     t = c.groupBy(*by).agg(_auroc_expr().alias("auroc"), (lo + (hi - lo) * frac).alias("thr"))
     if by:
-        j = c.join(t, list(by))
+        j = runtime.join_groups(c, t, by)
     else:
         j = c.withColumns({"auroc": t.select("auroc").scalar(), "thr": t.select("thr").scalar()})
     sens = F.try_divide(F.coalesce(F.max(F.when(F.col("score") >= F.col("thr"), F.col("tp"))), F.lit(0)), F.max("p"))
@@ -219,7 +219,7 @@ def reliability(df, score="score", label="label", by=(), bins: int = 10) -> Data
     rows = F.array(*[F.struct(F.lit(i).alias("bin"), F.lit(edges[i]).alias("lo"), F.lit(edges[i + 1]).alias("hi")) for i in range(bins)])
     groups = t.select(*by).distinct() if by else df.sparkSession.range(1).select()
     base = groups.select(*by, F.explode(rows).alias("b")).select(*by, "b.*")
-    return base.join(t, [*by, "bin"], "left").select(
+    return runtime.join_groups(base, t, [*by, "bin"], "left").select(
         *by, "bin", "lo", "hi", F.coalesce("cnt", F.lit(0)).cast("long").alias("cnt"),
         (F.col("ssum") / F.col("cnt")).alias("mean_score"), (F.col("ysum") / F.col("cnt")).alias("frac_pos"),
     )
@@ -245,13 +245,14 @@ def resample(
     idx = ranked(df, [F.col(k) for k in key], by, "_i", limit).withColumn("_i", F.col("_i") - 1)
     if by:
         sizes = idx.groupBy(*by).agg(F.count("*").alias("_n"))
-        slots = idx.select(*by, "_i").join(sizes, list(by))
+        slots = runtime.join_groups(idx.select(*by, "_i"), sizes, by)
     else:
         slots = idx.select("_i").withColumn("_n", idx.agg(F.count("*").alias("_n")).scalar())
     # Spread the units first: the replicates multiply them right after.
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     draws = slots.repartition(parts, "_i").select(*by, "_n", "_i", reps).select(*by, "_b", hashing.index(F.col("_n"), seed, F.col("_b"), F.col("_i")).alias("_i"))
-    return draws.groupBy(*by, "_b", "_i").agg(F.count("*").alias("_wt")).join(idx, [*by, "_i"]).drop("_i")
+    counts = draws.groupBy(*by, "_b", "_i").agg(F.count("*").alias("_wt"))
+    return runtime.join_groups(counts, idx, [*by, "_i"]).drop("_i")
 
 
 def _replicate_stat(rep: DataFrame, stat: str, score, label, keys, limit) -> DataFrame:
@@ -326,8 +327,8 @@ def unit_metrics(
     if n_boot:
         rep = runtime.cut(resample(raw, [unit], n_boot, seed, by, limit=limit))
         keys, named = [*by, "_b"], lambda m, c: F.struct(F.lit(m).alias("metric"), F.col(c).alias("_s"))
-        stats = rank_metrics(rep, by=keys, weight="_wt", limit=limit).join(brier(rep, by=keys, weight="_wt"), keys)
-        stats = stats.join(ece(rep, by=keys, weight="_wt"), keys)
+        stats = runtime.join_groups(rank_metrics(rep, by=keys, weight="_wt", limit=limit), brier(rep, by=keys, weight="_wt"), keys)
+        stats = runtime.join_groups(stats, ece(rep, by=keys, weight="_wt"), keys)
         stats = stats.select(*by, F.explode(F.array(*[named(m, m) for m in ("auroc", "ap", "brier", "ece")])).alias("r")).select(*by, "r.*")
         if thr is raw:
             c = froc_curve(rep, unit, "score", "label", keys, "_wt", False, limit)
@@ -335,7 +336,7 @@ def unit_metrics(
             c = froc_curve(resample(thr, [unit], n_boot, seed, by, limit=limit), unit, "score", "label", keys, "_wt", False, limit)
         sens = sens_at_fp(c, targets, keys).select(*by, name.alias("metric"), F.col("sens").alias("_s"))
         ci = quantiles(stats.unionByName(sens), "_s", {"ci_lower": 0.025, "ci_upper": 0.975}, [*by, "metric"], limit=limit).drop("n")
-        rows = rows.join(ci, [*by, "metric"], "left")
+        rows = runtime.join_groups(rows, ci, [*by, "metric"], "left")
     else:
         rows = rows.withColumns({"ci_lower": F.lit(None).cast("double"), "ci_upper": F.lit(None).cast("double")})
     return rows
@@ -350,6 +351,37 @@ def expand_strata(df: DataFrame, kinds: Mapping[str, Column]) -> DataFrame:
     return df.select("*", F.explode(pairs).alias("_s")).select(*df.columns, "_s.*")
 
 
+def report_scopes(units: DataFrame, kinds: Mapping[str, Column], fold="fold", holdout: Column | None = None) -> DataFrame:
+    """Copies of each unit for every report scope that it counts in, so that one grouping serves them all.
+
+    Cross-validation units go to ``per_fold``, ``cv_pooled`` and a ``stratum`` of each kind, the others to
+    ``holdout``. Holdout units are those without a fold unless a condition is given.
+    """
+    out = F.col(fold).isNull() if holdout is None else holdout
+    none = F.lit(None).cast("string")
+
+    def row(scope, f=F.lit(None).cast("int"), kind=none, value=none):
+        return F.struct(F.lit(scope).alias("scope"), f.cast("int").alias("_fold"), kind.alias("stratum_kind"), value.alias("stratum_value"))
+
+    inside = [row("per_fold", F.col(fold)), row("cv_pooled")]
+    inside += [row("stratum", kind=F.lit(k), value=F.coalesce(c.cast("string"), F.lit("unknown"))) for k, c in kinds.items()]
+    scopes = F.when(out, F.array(row("holdout"))).otherwise(F.array(*inside))
+    rest = [c for c in units.columns if c != fold]
+    return units.select(*rest, F.explode(scopes).alias("_s")).select(*rest, "_s.scope", F.col("_s._fold").alias(fold), "_s.stratum_kind", "_s.stratum_value")
+
+
+SCOPE = ("scope", "fold", "stratum_kind", "stratum_value")
+
+
+def scoped_report(units: DataFrame, kinds: Mapping[str, Column], run_id: str, entrypoint: str, rescored: bool, code_version: str, lesions: str | None = None, **kw) -> DataFrame:
+    """Report rows of all scopes with the units and lesions that each of them counts."""
+    scoped = runtime.cut(report_scopes(units, kinds))
+    n = F.sum(lesions) if lesions else F.lit(None)
+    counts = scoped.groupBy(*SCOPE).agg(F.count("*").alias("n_patients"), n.cast("long").alias("n_lesions"))
+    m = runtime.join_groups(unit_metrics(scoped, by=list(SCOPE), **kw), counts, SCOPE)
+    return report_rows(m, F.col("scope"), run_id, entrypoint, rescored, code_version)
+
+
 def stratified_metrics(df, kinds: Mapping[str, Column], **kw) -> DataFrame:
     """The metric battery for every stratum of every kind."""
     return unit_metrics(expand_strata(df, kinds), by=["stratum_kind", "stratum_value"], **kw)
@@ -362,7 +394,7 @@ def size_threshold_scores(boxes: DataFrame, units: DataFrame, by=("unit",), spli
         F.max(F.when(dim >= split_mm, F.col("score").cast("float"))).alias("large_max"),
         F.max(F.when(dim < split_mm, F.col("score").cast("float"))).alias("small_max"),
     )
-    return units.join(top, list(by), "left")
+    return runtime.join_groups(units, top, by, "left")
 
 
 def grid_search(
@@ -456,10 +488,10 @@ REPORT_COLUMNS = (
 )
 
 
-def report_rows(metrics: DataFrame, scope: str, run_id: str, entrypoint: str, rescored: bool, code_version: str, **extra) -> DataFrame:
+def report_rows(metrics: DataFrame, scope: str | Column, run_id: str, entrypoint: str, rescored: bool, code_version: str, **extra) -> DataFrame:
     """Metric rows in the fixed report layout; absent columns become NULL."""
     have = {
-        "run_id": F.lit(run_id), "entrypoint": F.lit(entrypoint), "scope": F.lit(scope), "rescored": F.lit(rescored),
+        "run_id": F.lit(run_id), "entrypoint": F.lit(entrypoint), "scope": scope if isinstance(scope, Column) else F.lit(scope), "rescored": F.lit(rescored),
         "code_version": F.lit(code_version), **extra,
     }
     types = {"fold": "int", "value": "double", "ci_lower_95": "double", "ci_upper_95": "double", "n_patients": "int", "n_lesions": "int"}
@@ -549,7 +581,7 @@ def profile(df, col: str, by=(), probs=(0.005, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99
     q = quantiles(df, col, {f"p{p * 100:g}".replace(".", "_"): p for p in probs}, by, limit=limit)
     m = df.groupBy(*by).agg(F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"))
     if by:
-        return q.join(m, list(by))
+        return runtime.join_groups(q, m, by)
     return q.withColumns({"mean": m.select("mean").scalar(), "std": m.select("std").scalar()})
 
 

@@ -16,6 +16,11 @@ SELECT o_orderkey AS unit, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS la
        o_orderpriority AS priority, o_orderstatus AS status, o_totalprice AS price, o_custkey AS cust, o_orderdate AS day
 FROM orders"""
 
+# The same units with the holdout as reports see it: without a fold.
+UNITS_FOLDS = """
+SELECT unit, label, score, CASE WHEN cohort = 'holdout' THEN NULL ELSE fold END AS fold, priority, price, label * (unit % 3 + 1) AS lesions
+FROM (""" + UNITS + """) u"""
+
 UNITS_SMALL = """
 SELECT l.doc_id AS unit, CAST(l.quality AS INT) AS label, CAST(d.n_chars % 997 AS DOUBLE) / 1000e0 AS score,
        d.lang AS lang, d.source AS source, CAST(l.doc_id % 5 AS INT) AS fold, d.n_chars AS n_chars
@@ -47,7 +52,7 @@ SELECT doc_id AS series, CAST(doc_id % 211 AS BIGINT) AS unit, source AS batch,
        CASE WHEN doc_id % 3 = 0 THEN 'FAT' ELSE 'WATER' END AS token, CASE WHEN doc_id % 4 = 0 THEN 'pos' ELSE 'neg' END AS cohort
 FROM documents"""
 
-BINDINGS = {"units": UNITS, "units_small": UNITS_SMALL, "boxes": BOXES, "voxels": VOXELS, "steps": STEPS, "series": SERIES}
+BINDINGS = {"units": UNITS, "units_folds": UNITS_FOLDS, "units_small": UNITS_SMALL, "boxes": BOXES, "voxels": VOXELS, "steps": STEPS, "series": SERIES}
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"

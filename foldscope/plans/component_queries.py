@@ -37,26 +37,26 @@ def hot(spark, d, is_pred):
 
 
 def cc_of(spark, d, is_pred):
-    return C.connected_components(C.rasterize(hot(spark, d, is_pred)))
+    return C.connected_components(C.rasterize(hot(spark, d, is_pred), C.CANVAS))
 
 
 def cc_both(spark, d):
     """Components of detections and lesions from one pass over units split by kind."""
     b = bound(spark, d, "boxes").filter("score >= 0.8").withColumn("unit", F.col("unit") * 2 + F.col("is_pred").cast("int"))
-    cc = C.connected_components(C.rasterize(b))
+    cc = C.connected_components(C.rasterize(b, C.CANVAS))
     side = lambda k: cc.filter(F.pmod("unit", F.lit(2)) == k).withColumn("unit", F.expr("unit div 2"))
     return side(1), side(0)
 
 
 @query("c7_rasterize", f"""{with_('boxes')}, {CONF} SELECT unit, slice_y AS y, sum(z2 - z1) AS n_runs, CAST(sum((z2 - z1) * (x2 - x1)) AS BIGINT) AS n_cells FROM hot GROUP BY 1, 2""")
 def _(spark, d):
-    r = C.rasterize(bound(spark, d, "boxes").filter("score >= 0.8"))
+    r = C.rasterize(bound(spark, d, "boxes").filter("score >= 0.8"), C.CANVAS)
     return r.groupBy("unit", "y").agg(F.count("*").alias("n_runs"), F.sum(F.col("x1") - F.col("x0")).alias("n_cells"))
 
 
 @query("c12_merge_runs", f"""{with_('boxes')}, hot AS (SELECT * FROM boxes), {CELLS} SELECT unit, y, count(*) AS n_cells FROM (SELECT DISTINCT unit, y, z, x FROM cell) t GROUP BY 1, 2""")
 def _(spark, d):
-    r = C.merge_runs(C.rasterize(bound(spark, d, "boxes").withColumn("score", F.col("score") + 1)))
+    r = C.merge_runs(C.rasterize(bound(spark, d, "boxes").withColumn("score", F.col("score") + 1), C.CANVAS))
     return r.groupBy("unit", "y").agg(F.sum(F.col("x1") - F.col("x0")).alias("n_cells"))
 
 
@@ -160,7 +160,7 @@ def _(spark, d):
 SIZE_SQL = f"""{RECORDS}, h AS (SELECT call_id, CASE WHEN volume_mm3 < 200 THEN 0 WHEN volume_mm3 < 1000 THEN 1 WHEN volume_mm3 < 5000 THEN 2 ELSE 3 END AS bin, CASE WHEN call_type = 'tp' THEN 1e0 ELSE 0e0 END AS hit
   FROM recs WHERE call_type IN ('tp', 'fn')),
 idx AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY call_id) - 1 AS i, count(*) OVER (PARTITION BY bin) AS n0 FROM h),
-rep AS (SELECT d.bin, b, avg(hit) AS s FROM (SELECT bin, b, ('0x' || substr(md5('42:' || b || ':' || i), 1, 8))::BIGINT % n0 AS i FROM idx, range(100) r(b)) d JOIN idx USING (bin, i) GROUP BY 1, 2),
+rep AS (SELECT d.bin, b, avg(hit) AS s FROM (SELECT bin, b, ('0x' || substr(md5('42:' || b || ':' || i), 1, 15))::BIGINT % n0 AS i FROM idx, range(1000) r(b)) d JOIN idx USING (bin, i) GROUP BY 1, 2),
 ci AS (SELECT bin, quantile_cont(s, 0.025) AS lo, quantile_cont(s, 0.975) AS hi FROM rep GROUP BY 1),
 st AS (SELECT bin, avg(hit) AS v, count(*) AS n, CAST(sum(hit) AS BIGINT) AS t FROM h GROUP BY 1)
 SELECT b.l AS stratum_value, round(v, 6) AS value, round(lo, 6) AS ci_lower, round(hi, 6) AS ci_upper, coalesce(n, 0) AS n_lesions, coalesce(t, 0) AS n_tp, coalesce(n, 0) - coalesce(t, 0) AS n_fn
@@ -169,7 +169,7 @@ FROM (VALUES (0, '<=200mm3'), (1, '200-1000mm3'), (2, '1000-5000mm3'), (3, '>500
 
 @query("m14_size_strata", SIZE_SQL)
 def _(spark, d):
-    s = M.size_strata(records(spark, d), n_boot=100)
+    s = M.size_strata(records(spark, d), n_boot=1000)
     return s.select("stratum_value", r6("value"), r6("ci_lower"), r6("ci_upper"), "n_lesions", "n_tp", "n_fn")
 
 

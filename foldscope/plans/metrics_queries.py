@@ -115,51 +115,82 @@ def _(spark, d):
     return M.reliability(bound(spark, d, "units")).select("bin", "cnt", r6("mean_score"), r6("frac_pos"))
 
 
+NULL_FROC_SQL = FROC_SQL.replace(with_("units"), with_("units_folds")).replace("FROM units ", "FROM units_folds ")
+
+
+@query("m6_sens_at_fp_null_group", f"{NULL_FROC_SQL}, {SENS_SQL} SELECT fold, fp_target, round(sens, 6) AS sens FROM sens")
+def _(spark, d):
+    c = M.froc_curve(bound(spark, d, "units_folds"), by=["fold"])
+    return M.sens_at_fp(c, PTS, ["fold"]).select("fold", "fp_target", r6("sens"))
+
+
+@query("m11_reliability_null_group", f"""{with_('units_folds')}, b AS (SELECT fold, {BIN_SQL} AS bin, count(*) AS c, avg(score) AS s, avg(label) AS y FROM units_folds GROUP BY 1, 2),
+g AS (SELECT DISTINCT fold, k FROM b, range(10) r(k) WHERE bin IS NOT NULL)
+SELECT g.fold, CAST(k AS INT) AS bin, coalesce(c, 0) AS cnt, round(s, 6) AS mean_score, round(y, 6) AS frac_pos FROM g LEFT JOIN b ON b.bin = k AND b.fold IS NOT DISTINCT FROM g.fold""")
+def _(spark, d):
+    return M.reliability(bound(spark, d, "units_folds"), by=["fold"]).select("fold", "bin", "cnt", r6("mean_score"), r6("frac_pos"))
+
+
+@query("m25_ks_null_group", f"{with_('units_folds')}, {curve_sql('units_folds', 'fold')} SELECT fold, round(max(abs(tp / CAST(p AS DOUBLE) - fp / CAST(n AS DOUBLE))), 6) AS ks FROM curve GROUP BY fold")
+def _(spark, d):
+    return M.ks_2samp(bound(spark, d, "units_folds"), by=["fold"]).select("fold", r6("ks"))
+
+
 def boot_sql(n_boot: int, body: str, src: str = "units_small") -> str:
     return f"""{with_(src)}, idx AS (SELECT *, row_number() OVER (ORDER BY unit) - 1 AS i, count(*) OVER () AS n0 FROM {src}),
-    draws AS (SELECT b, ('0x' || substr(md5('42:' || b || ':' || i), 1, 8))::BIGINT % n0 AS i FROM idx, range({n_boot}) r(b)),
+    draws AS (SELECT b, ('0x' || substr(md5('42:' || b || ':' || i), 1, 15))::BIGINT % n0 AS i FROM idx, range({n_boot}) r(b)),
     rep AS (SELECT b, wt, {src}.* FROM (SELECT b, i, count(*) AS wt FROM draws GROUP BY b, i) d JOIN idx {src} ON {src}.i = d.i), {body}"""
 
 
 CI = "round(quantile_cont(s, 0.025), 6) AS ci_lower, round(quantile_cont(s, 0.975), 6) AS ci_upper"
 
 
-@query("m12_bootstrap_auroc", boot_sql(200, f"{curve_sql('rep', 'b', 'wt')}, st AS (SELECT b, {AUROC_SQL} AS s FROM curve GROUP BY b) SELECT {CI} FROM st"))
+@query("m12_bootstrap_auroc", boot_sql(1000, f"{curve_sql('rep', 'b', 'wt')}, st AS (SELECT b, {AUROC_SQL} AS s FROM curve GROUP BY b) SELECT {CI} FROM st"))
 def _(spark, d):
-    return M.bootstrap_ci(bound(spark, d, "units_small"), ["unit"], "auroc", n_boot=200).select(r6("ci_lower"), r6("ci_upper"))
+    return M.bootstrap_ci(bound(spark, d, "units_small"), ["unit"], "auroc", n_boot=1000).select(r6("ci_lower"), r6("ci_upper"))
 
 
-@query("m12_bootstrap_ap", boot_sql(200, f"{curve_sql('rep', 'b', 'wt')}, st AS (SELECT b, {AP_SQL} AS s FROM curve GROUP BY b) SELECT {CI} FROM st"))
+@query("m12_bootstrap_ap", boot_sql(1000, f"{curve_sql('rep', 'b', 'wt')}, st AS (SELECT b, {AP_SQL} AS s FROM curve GROUP BY b) SELECT {CI} FROM st"))
 def _(spark, d):
-    return M.bootstrap_ci(bound(spark, d, "units_small"), ["unit"], "ap", n_boot=200).select(r6("ci_lower"), r6("ci_upper"))
+    return M.bootstrap_ci(bound(spark, d, "units_small"), ["unit"], "ap", n_boot=1000).select(r6("ci_lower"), r6("ci_upper"))
 
 
-@query("m12_bootstrap_brier", boot_sql(200, f"st AS (SELECT b, sum(wt * (score - label) * (score - label)) / sum(wt) AS s FROM rep GROUP BY b) SELECT {CI} FROM st"))
+@query("m12_bootstrap_brier", boot_sql(1000, f"st AS (SELECT b, sum(wt * (score - label) * (score - label)) / sum(wt) AS s FROM rep GROUP BY b) SELECT {CI} FROM st"))
 def _(spark, d):
-    return M.bootstrap_ci(bound(spark, d, "units_small"), ["unit"], "brier", n_boot=200).select(r6("ci_lower"), r6("ci_upper"))
+    return M.bootstrap_ci(bound(spark, d, "units_small"), ["unit"], "brier", n_boot=1000).select(r6("ci_lower"), r6("ci_upper"))
 
 
-@query("m12_bootstrap_ece", boot_sql(200, f"""bn AS (SELECT b, {BIN_SQL} AS bin, sum(wt) AS c, sum(wt * score) AS ss, sum(wt * label) AS y FROM rep GROUP BY 1, 2),
+@query("m12_bootstrap_ece", boot_sql(1000, f"""bn AS (SELECT b, {BIN_SQL} AS bin, sum(wt) AS c, sum(wt * score) AS ss, sum(wt * label) AS y FROM rep GROUP BY 1, 2),
 st AS (SELECT b, sum(CASE WHEN bin IS NOT NULL THEN abs(ss - y) ELSE 0 END) / sum(c) AS s FROM bn GROUP BY b) SELECT {CI} FROM st"""))
 def _(spark, d):
-    return M.bootstrap_ci(bound(spark, d, "units_small"), ["unit"], "ece", n_boot=200).select(r6("ci_lower"), r6("ci_upper"))
+    return M.bootstrap_ci(bound(spark, d, "units_small"), ["unit"], "ece", n_boot=1000).select(r6("ci_lower"), r6("ci_upper"))
 
 
 @query("m12_bootstrap_by_stratum", f"""{with_('units_small')}, idx AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY unit) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n0 FROM units_small),
-draws AS (SELECT lang, b, ('0x' || substr(md5('42:' || b || ':' || i), 1, 8))::BIGINT % n0 AS i FROM idx, range(100) r(b)),
+draws AS (SELECT lang, b, ('0x' || substr(md5('42:' || b || ':' || i), 1, 15))::BIGINT % n0 AS i FROM idx, range(1000) r(b)),
 rep AS (SELECT d.lang, b, x.score FROM draws d JOIN idx x ON x.lang = d.lang AND x.i = d.i), st AS (SELECT lang, b, avg(score) AS s FROM rep GROUP BY 1, 2)
 SELECT lang, {CI} FROM st GROUP BY lang""")
 def _(spark, d):
-    ci = M.bootstrap_ci(bound(spark, d, "units_small"), ["unit"], "mean", n_boot=100, by=["lang"])
+    ci = M.bootstrap_ci(bound(spark, d, "units_small"), ["unit"], "mean", n_boot=1000, by=["lang"])
     return ci.select("lang", r6("ci_lower"), r6("ci_upper"))
 
 
-@query("m13_bootstrap_froc", boot_sql(100, f"""{curve_sql('rep', 'b', 'wt', 'unit')},
+@query("m12_bootstrap_null_group", f"""{with_('units_small')}, s AS (SELECT unit, score, nullif(lang, 'en') AS lang FROM units_small),
+idx AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY unit) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n0 FROM s),
+draws AS (SELECT lang, b, ('0x' || substr(md5('42:' || b || ':' || i), 1, 15))::BIGINT % n0 AS i FROM idx, range(1000) r(b)),
+rep AS (SELECT d.lang, b, x.score FROM draws d JOIN idx x ON x.lang IS NOT DISTINCT FROM d.lang AND x.i = d.i), st AS (SELECT lang, b, avg(score) AS s FROM rep GROUP BY 1, 2)
+SELECT lang, {CI} FROM st GROUP BY lang""")
+def _(spark, d):
+    u = bound(spark, d, "units_small").withColumn("lang", F.nullif("lang", F.lit("en")))
+    return M.bootstrap_ci(u, ["unit"], "mean", n_boot=1000, by=["lang"]).select("lang", r6("ci_lower"), r6("ci_upper"))
+
+
+@query("m13_bootstrap_froc", boot_sql(1000, f"""{curve_sql('rep', 'b', 'wt', 'unit')},
 froc AS (SELECT b, fp / CAST(p + n AS DOUBLE) AS fp_per_unit, tp / CAST(p AS DOUBLE) AS sens FROM curve),
 st AS (SELECT b, fp_target, coalesce(max(CASE WHEN fp_per_unit <= fp_target THEN sens END), 0) AS s FROM froc, {PTS_SQL} GROUP BY 1, 2)
 SELECT fp_target, {CI} FROM st GROUP BY fp_target"""))
 def _(spark, d):
-    return M.bootstrap_froc(bound(spark, d, "units_small"), targets=PTS, n_boot=100).select("fp_target", r6("ci_lower"), r6("ci_upper"))
+    return M.bootstrap_froc(bound(spark, d, "units_small"), targets=PTS, n_boot=1000).select("fp_target", r6("ci_lower"), r6("ci_upper"))
 
 
 def battery_sql(src: str, by: str) -> str:
@@ -183,7 +214,7 @@ def _(spark, d):
 CI_PTS = "(VALUES (CAST(0.1 AS DOUBLE)), (CAST(0.5 AS DOUBLE))) t(fp_target)"
 
 
-@query("m15_unit_metrics_ci", boot_sql(50, f"""{curve_sql('rep', 'b', 'wt')}, {curve_sql('rep', 'b', 'wt', 'unit').replace('cells', 'ucells').replace('curve', 'ucurve')},
+@query("m15_unit_metrics_ci", boot_sql(1000, f"""{curve_sql('rep', 'b', 'wt')}, {curve_sql('rep', 'b', 'wt', 'unit').replace('cells', 'ucells').replace('curve', 'ucurve')},
 bn AS (SELECT b, {BIN_SQL} AS bin, sum(wt) AS c, sum(wt * score) AS ss, sum(wt * label) AS y FROM rep GROUP BY 1, 2),
 st AS (SELECT b, 'auroc' AS metric, {AUROC_SQL} AS s FROM curve GROUP BY b UNION ALL SELECT b, 'ap', {AP_SQL} FROM curve GROUP BY b
 UNION ALL SELECT b, 'brier', sum(wt * (score - label) * (score - label)) / sum(wt) FROM rep GROUP BY b
@@ -191,7 +222,7 @@ UNION ALL SELECT b, 'ece', sum(CASE WHEN bin IS NOT NULL THEN abs(ss - y) ELSE 0
 UNION ALL SELECT b, 'sens@' || printf('%.3f', fp_target) || 'fp', coalesce(max(CASE WHEN fp / CAST(p + n AS DOUBLE) <= fp_target THEN tp / CAST(p AS DOUBLE) END), 0) FROM ucurve, {CI_PTS} GROUP BY b, fp_target)
 SELECT metric, {CI} FROM st GROUP BY metric"""))
 def _(spark, d):
-    m = M.unit_metrics(bound(spark, d, "units_small"), targets=[0.1, 0.5], n_boot=50)
+    m = M.unit_metrics(bound(spark, d, "units_small"), targets=[0.1, 0.5], n_boot=1000)
     return m.select("metric", r6("ci_lower"), r6("ci_upper"))
 
 
@@ -270,17 +301,26 @@ def _(spark, d):
 
 # --- report tables ------------------------------------------------------------------------------
 
-REPORT_SQL = f"""{with_('units')}, {battery_sql('units', 'fold')},
-report AS (SELECT 'run_1' AS run_id, 'cv' AS entrypoint, metric, 'per_fold' AS scope, fold, false AS rescored, round(value, 6) AS value FROM rows_)"""
+SCOPE = ", ".join(M.SCOPE)
+REPORT_SQL = f"""{with_('units_folds')}, cv AS (SELECT * FROM units_folds WHERE fold IS NOT NULL),
+scoped AS (SELECT unit, label, score, lesions, 'per_fold' AS scope, fold, CAST(NULL AS VARCHAR) AS stratum_kind, CAST(NULL AS VARCHAR) AS stratum_value FROM cv
+UNION ALL SELECT unit, label, score, lesions, 'cv_pooled', NULL, NULL, NULL FROM cv
+UNION ALL SELECT unit, label, score, lesions, 'stratum', NULL, 'priority', priority FROM cv
+UNION ALL SELECT unit, label, score, lesions, 'stratum', NULL, 'price_bin', CASE WHEN price <= 150000 THEN '<=150k' ELSE '>150k' END FROM cv
+UNION ALL SELECT unit, label, score, lesions, 'holdout', NULL, NULL, NULL FROM units_folds WHERE fold IS NULL),
+{battery_sql('scoped', SCOPE)}, counts AS (SELECT {SCOPE}, count(*) AS np, sum(lesions) AS nl FROM scoped GROUP BY {SCOPE}),
+report AS (SELECT 'run_1' AS run_id, 'cv' AS entrypoint, r.metric, r.scope, r.fold, r.stratum_kind, r.stratum_value, false AS rescored, round(r.value, 6) AS value, CAST(np AS INT) AS n_patients, CAST(nl AS INT) AS n_lesions
+FROM rows_ r JOIN counts c ON c.scope = r.scope AND c.fold IS NOT DISTINCT FROM r.fold AND c.stratum_kind IS NOT DISTINCT FROM r.stratum_kind AND c.stratum_value IS NOT DISTINCT FROM r.stratum_value)"""
 
 
 def report(spark, d):
-    m = M.unit_metrics(bound(spark, d, "units"), by=["fold"], targets=PTS).withColumn("value", F.round("value", 6))
-    return M.report_rows(m, "per_fold", "run_1", "cv", False, "v1")
+    kinds = {"priority": F.col("priority"), "price_bin": F.when(F.col("price") <= 150000, "<=150k").otherwise(">150k")}
+    r = M.scoped_report(bound(spark, d, "units_folds"), kinds, "run_1", "cv", False, "v1", lesions="lesions", targets=PTS)
+    return r.withColumn("value", F.round("value", 6))
 
 
-@query("m20_report_rows", f"""{REPORT_SQL} SELECT run_id, entrypoint, metric, scope, fold, CAST(NULL AS VARCHAR) AS stratum_kind, CAST(NULL AS VARCHAR) AS stratum_value,
-rescored, value, CAST(NULL AS DOUBLE) AS ci_lower_95, CAST(NULL AS DOUBLE) AS ci_upper_95, CAST(NULL AS INT) AS n_patients, CAST(NULL AS INT) AS n_lesions, 'v1' AS code_version FROM report""")
+@query("m20_report_rows", f"""{REPORT_SQL} SELECT run_id, entrypoint, metric, scope, fold, stratum_kind, stratum_value,
+rescored, value, CAST(NULL AS DOUBLE) AS ci_lower_95, CAST(NULL AS DOUBLE) AS ci_upper_95, n_patients, n_lesions, 'v1' AS code_version FROM report""")
 def _(spark, d):
     return report(spark, d)
 

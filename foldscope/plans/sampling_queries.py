@@ -25,7 +25,7 @@ from foldscope.streaming import online as T
 
 r6 = lambda c: F.round(c, 6).alias(c)
 n_ = lambda: F.count("*").alias("n")
-HASH = lambda *p: "('0x' || substr(md5(" + " || ':' || ".join(p) + "), 1, 8))::BIGINT"
+HASH = lambda *p, digits=8: "('0x' || substr(md5(" + " || ':' || ".join(p) + f"), 1, {digits}))::BIGINT"
 
 
 def slice_scores(spark, d):
@@ -82,7 +82,7 @@ def draws_sql(epoch, hard):
     ninv = f"CASE WHEN h < 0.3 THEN 'hard' ELSE 'ninv' END" if hard else "'ninv'"
     return f"""pools AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY unit, slice_y) - 1 AS i, count(*) OVER (PARTITION BY pool) AS np FROM (
       SELECT unit, slice_y, CASE kind WHEN 'pos_slice' THEN 'pos' WHEN 'neg_slice_pos_vol' THEN 'nipv' ELSE 'ninv' END AS pool FROM si UNION ALL SELECT unit, slice_y, 'hard' FROM hp) t),
-    dr AS (SELECT draw, {HASH(es, 'draw', "'class'")} / 4294967296e0 AS r, {HASH(es, 'draw', "'hard'")} / 4294967296e0 AS h, {HASH(es, 'draw', "'pick'")} AS pick FROM range((SELECT count(*) FROM si)) x(draw)),
+    dr AS (SELECT draw, {HASH(es, 'draw', "'class'")} / 4294967296e0 AS r, {HASH(es, 'draw', "'hard'")} / 4294967296e0 AS h, {HASH(es, 'draw', "'pick'", digits=15)} AS pick FROM range((SELECT count(*) FROM si)) x(draw)),
     dp AS (SELECT draw, pick, CASE WHEN r < {p}e0 THEN 'pos' WHEN (r - {p}e0) / (1 - {p}e0) < 0.5 THEN 'nipv' ELSE {ninv} END AS pool FROM dr)
     SELECT draw, pool, unit, slice_y FROM dp JOIN pools USING (pool) WHERE i = pick % np"""
 
@@ -369,7 +369,7 @@ def _(spark, d):
 
 
 @query("x1_bootstrap_udf", f"""{with_('units_small')}, idx AS (SELECT *, row_number() OVER (ORDER BY unit) - 1 AS i, count(*) OVER () AS n0 FROM units_small),
-rep AS (SELECT b, quantile_cont(score, 0.5) AS s FROM (SELECT b, {HASH("'42'", 'b', 'i')} % n0 AS i FROM idx, range(40) r(b)) d JOIN idx USING (i) GROUP BY b) SELECT round(quantile_cont(s, 0.025), 6) AS ci_lower, round(quantile_cont(s, 0.975), 6) AS ci_upper FROM rep""")
+rep AS (SELECT b, quantile_cont(score, 0.5) AS s FROM (SELECT b, {HASH("'42'", 'b', 'i', digits=15)} % n0 AS i FROM idx, range(40) r(b)) d JOIN idx USING (i) GROUP BY b) SELECT round(quantile_cont(s, 0.025), 6) AS ci_lower, round(quantile_cont(s, 0.975), 6) AS ci_upper FROM rep""")
 def _(spark, d):
     import numpy as np
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,9 +62,10 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def on_null_safe(left: DataFrame, right: DataFrame, cols: list[str]):
-    """Join condition ``left.c <=> right.c`` for all columns."""
+def join_groups(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``cols`` in which NULL is a group like any other; the key columns of ``left`` stay."""
+    names = {c: f"_k_{c}" for c in cols}
     cond = F.lit(True)
-    for c in cols:
-        cond = cond & left[c].eqNullSafe(right[c])
-    return cond
+    for c, k in names.items():
+        cond = cond & F.col(c).eqNullSafe(F.col(k))
+    return left.join(right.withColumnsRenamed(names), cond, how).drop(*names.values())
