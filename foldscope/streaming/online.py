@@ -1,7 +1,9 @@
 """Online computations as Structured Streaming jobs, each with a batch twin.
 
 Sinks are append-only delta tables keyed by batch id, so a replayed batch rewrites
-its own delta and the read-out stays exactly-once.
+its own delta and the read-out stays exactly-once. Every ``SNAPSHOT_EVERY`` batches the
+latest row of each key is written beside them, so a batch reads one snapshot and at most
+that many deltas, however long the stream has run.
 """
 
 from __future__ import annotations
@@ -13,6 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from foldscope.operators.ordering import ranked, top_by
+from foldscope.runtime import join_groups
+
+
+SNAPSHOT_EVERY = 16
 
 
 def _run(stream_writer, checkpoint: str) -> None:
@@ -21,12 +27,31 @@ def _run(stream_writer, checkpoint: str) -> None:
 
 
 def _deltas(spark, path: str, schema: StructType, before: int | None = None) -> DataFrame:
-    """Delta rows with their ``batch``; ``before`` prunes to earlier batches at the folder level."""
+    """Rows with their ``batch``: the last snapshot and the deltas since; ``before`` prunes to earlier batches."""
     full = StructType([*schema.fields, StructField("batch", LongType())])
     if not _exists(spark, path):
         return spark.createDataFrame([], full)
     d = spark.read.schema(full).parquet(path)
-    return d if before is None else d.filter(F.col("batch") < before)
+    if before is not None:
+        d = d.filter(F.col("batch") < before)
+    upto = max((n for n in _snapshots(spark, path) if before is None or n < before), default=None)
+    if upto is None:
+        return d
+    return spark.read.schema(full).parquet(f"{path}_snapshots/upto={upto}").unionByName(d.filter(F.col("batch") > upto))
+
+
+def _snapshots(spark, path: str) -> list[int]:
+    """Batch ids up to which finished snapshots stand."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}_snapshots")
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in fs.listStatus(p)] if fs.exists(p) else []
+    return [int(f.getName()[5:]) for f in found if f.getName().startswith("upto=") and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS"))]
+
+
+def _compact(spark, path: str, schema: StructType, key: Sequence[str], order: Sequence[Column], batch_id: int) -> None:
+    """Write the first row of each key in ``order`` as a snapshot, once in ``SNAPSHOT_EVERY`` batches."""
+    if (batch_id + 1) % SNAPSHOT_EVERY == 0:
+        top_by(_deltas(spark, path, schema, batch_id + 1), key, order).write.mode("overwrite").parquet(f"{path}_snapshots/upto={batch_id}")
 
 
 def _exists(spark, path: str) -> bool:
@@ -61,19 +86,20 @@ def ema_stream(stream: DataFrame, state: str, checkpoint: str, key: Sequence[str
         spark = batch.sparkSession
         d = _deltas(spark, state, schema, batch_id)
         touched = batch.select(*key).distinct()
-        old = top_by(d.join(touched, key, "left_semi"), key, [-F.col("batch")]).drop("batch")
-        rows = batch.filter(~F.col(positive)).select(*key, step, score).join(old, key, "left")
+        old = top_by(join_groups(d, touched, key, "left_semi"), key, [-F.col("batch")]).drop("batch")
+        rows = join_groups(batch.filter(~F.col(positive)).select(*key, step, score), old, key, "left")
         rows = rows.filter(F.col("last_step").isNull() | (F.col(step) > F.col("last_step")))
         r = ranked(rows, [F.col(step), F.col(score)], key, "_i")
         n = r.groupBy(*key).agg(F.max("_i").alias("_n"))
         seed = (F.col("_i") == 1) & F.col("ema").isNull()
         w = F.pow(F.lit(decay), F.col("_n") - F.col("_i")) * F.when(seed, 1.0).otherwise(1.0 - decay)
-        new = r.join(n, key).groupBy(*key).agg(
+        new = join_groups(r, n, key).groupBy(*key).agg(
             F.sum(w * F.col(score)).alias("_s"), F.max("_n").alias("_n"), F.max("ema").alias("_e"), F.max("n_updates").alias("_u"), F.max(step).alias("last_step"))
         out = new.select(
             *key, (F.col("_s") + F.coalesce(F.pow(F.lit(decay), F.col("_n")) * F.col("_e"), F.lit(0.0))).alias("ema"),
             (F.col("_n") + F.coalesce("_u", F.lit(0))).cast("long").alias("n_updates"), F.col("last_step").cast("long"))
         out.write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
+        _compact(spark, state, schema, key, [-F.col("batch")], batch_id)
 
     _run(stream.writeStream.foreachBatch(fold), checkpoint)
 
@@ -123,6 +149,7 @@ def ingest_stream(parts: DataFrame, sink: str, checkpoint: str, key="id", status
         rest = [c for c in parts.columns if c != key]
         best = top_by(fresh, [key], [F.col(status) != "ok", *[F.col(c) for c in rest]])
         best.select(*parts.columns).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        _compact(batch.sparkSession, sink, parts.schema, [key], [F.col(status) != "ok", -F.col("batch")], batch_id)
 
     _run(parts.writeStream.foreachBatch(save), checkpoint)
     d = _deltas(parts.sparkSession, sink, parts.schema)
