@@ -13,7 +13,7 @@ from foldscope.plans.registry import query
 r6 = lambda c: F.round(c, 6).alias(c)
 
 # Confident boxes stand for detections after thresholding and for annotated lesions.
-CONF = "hot AS (SELECT * FROM boxes WHERE score >= 0.8)"
+CONF = "hot AS (SELECT * FROM boxes)"
 CELLS = """cell AS (SELECT DISTINCT unit, is_pred, slice_y AS y, z, x FROM (SELECT *, unnest(range(z1, z2)) AS z FROM hot) a, LATERAL (SELECT unnest(range(a.x1, a.x2)) AS x) b)"""
 # Component of a box: boxes on slices at most one apart whose x and z ranges touch.
 BOXCC = """bx AS (SELECT *, row_number() OVER (ORDER BY unit, is_pred, slice_y, x1, z1, x2, z2, score) AS id FROM hot),
@@ -32,7 +32,7 @@ BASE = f"{with_('boxes', recursive=True)}, {CONF}, {BOXCC}"
 
 
 def hot(spark, d, is_pred):
-    b = bound(spark, d, "boxes").filter("score >= 0.8")
+    b = bound(spark, d, "boxes")
     return b.filter("is_pred" if is_pred else "not is_pred")
 
 
@@ -42,7 +42,7 @@ def cc_of(spark, d, is_pred):
 
 def cc_both(spark, d):
     """Components of detections and lesions from one pass over units split by kind."""
-    b = bound(spark, d, "boxes").filter("score >= 0.8").withColumn("unit", F.col("unit") * 2 + F.col("is_pred").cast("int"))
+    b = bound(spark, d, "boxes").withColumn("unit", F.col("unit") * 2 + F.col("is_pred").cast("int"))
     cc = C.connected_components(C.rasterize(b, C.CANVAS))
     side = lambda k: cc.filter(F.pmod("unit", F.lit(2)) == k).withColumn("unit", F.expr("unit div 2"))
     return side(1), side(0)
@@ -50,7 +50,7 @@ def cc_both(spark, d):
 
 @query("c7_rasterize", f"""{with_('boxes')}, {CONF} SELECT unit, slice_y AS y, sum(z2 - z1) AS n_runs, CAST(sum((z2 - z1) * (x2 - x1)) AS BIGINT) AS n_cells FROM hot GROUP BY 1, 2""")
 def _(spark, d):
-    r = C.rasterize(bound(spark, d, "boxes").filter("score >= 0.8"), C.CANVAS)
+    r = C.rasterize(bound(spark, d, "boxes"), C.CANVAS)
     return r.groupBy("unit", "y").agg(F.count("*").alias("n_runs"), F.sum(F.col("x1") - F.col("x0")).alias("n_cells"))
 
 
