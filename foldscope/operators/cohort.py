@@ -393,27 +393,29 @@ def context_window(df: DataFrame, key: Sequence[str], order: str, half: int = 2,
     return got.filter(F.size("_w") == 2 * half + 1).select(*key, order, F.transform("_w", lambda s: s["_v"]).alias("window"))
 
 
-def regrid(df: DataFrame, key: Sequence[str], axis: str, value: str, n_in: int, src: float, dst: float, order: int = 1) -> DataFrame:
+def regrid(df: DataFrame, key: Sequence[str], axis: str, value: str, n_in: int | Column, src: float | Column, dst: float, order: int = 1) -> DataFrame:
     """Resample ``n_in`` samples per key to a new spacing: linear (1) or nearest (0).
 
-    Every sample is sent to the target points it contributes to, with its weight.
+    Sample counts and spacings may be columns, one value per key. Every sample is sent to the target points
+    around it, with its weight there.
     """
-    n_out = int(round(n_in * src / dst))
-    step = (n_in - 1) / (n_out - 1) if n_out > 1 else 0.0
-    near = []
-    for j in range(n_out):
-        p = j * step
-        if order == 0:
-            near.append((min(int(p + 0.5), n_in - 1), j, 1.0))
-        else:
-            lo = min(int(p), n_in - 1)
-            near += [(lo, j, 1.0 - (p - lo))] + ([(lo + 1, j, p - lo)] if lo + 1 < n_in else [])
-    by_src = [[(j, w) for s, j, w in near if s == i] for i in range(n_in)]
-    table = F.array(*[
-        F.array(*[F.struct(F.lit(j).alias("j"), F.lit(w).alias("w")) for j, w in row])
-        if row else F.filter(F.array(F.struct(F.lit(0).alias("j"), F.lit(0.0).alias("w"))), lambda _: F.lit(False)) for row in by_src])
-    sent = df.select(*key, value, F.explode(F.get(table, F.col(axis))).alias("t"))
-    return sent.groupBy(*key, F.col("t.j").alias(axis)).agg(F.sum(F.col(value) * F.col("t.w")).alias(value))
+    n_in, src = (c if isinstance(c, Column) else F.lit(c) for c in (n_in, src))
+    n_out = F.rint(n_in * src / dst).cast("int")
+    step = F.when(n_out > 1, (n_in - 1) / F.greatest(n_out - 1, F.lit(1)).cast("double")).otherwise(F.lit(0.0))
+    at = F.col(axis)
+    # One point more on either side than the spacing asks for; the exact weight decides.
+    first = F.coalesce(F.floor((at - 1) / F.nullif(step, F.lit(0.0))) - 1, F.lit(0))
+    last = F.coalesce(F.ceil((at + 1) / F.nullif(step, F.lit(0.0))) + 1, F.lit(0))
+    points = F.sequence(F.greatest(first, F.lit(0)).cast("int"), F.least(last, n_out - 1).cast("int"))
+    sent = df.filter(n_out > 0).select(*df.columns, n_in.alias("_n"), step.alias("_step"), F.explode(F.when(first <= n_out - 1, points)).alias("_j"))
+    p = F.col("_j") * F.col("_step")
+    if order == 0:
+        w = F.when(F.least(F.floor(p + 0.5), F.col("_n") - 1) == at, F.lit(1.0))
+    else:
+        lo = F.least(F.floor(p), F.col("_n") - 1)
+        w = F.when(at == lo, 1.0 - (p - lo)).when(at == lo + 1, p - lo)
+    sent = sent.withColumn("_w", w).filter("_w is not null")
+    return sent.groupBy(*key, F.col("_j").alias(axis)).agg(F.sum(F.col(value) * F.col("_w")).alias(value))
 
 
 def crop_pad(df: DataFrame, axis: str, lo: int, hi: int, n: int) -> DataFrame:

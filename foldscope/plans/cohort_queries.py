@@ -64,10 +64,18 @@ def _(spark, d):
     return C.fold_split(bound(spark, d, "units"), 5).groupBy("run_fold", "role").agg(n_(), F.sum("label").alias("n_pos"))
 
 
-@query("p6_guard_holdout", f"{with_('units')} SELECT cohort, count(*) AS n FROM units WHERE cohort <> 'holdout' GROUP BY 1")
+@query("p6_guard_holdout", f"{with_('units')} SELECT cohort, count(*) AS n, false AS stopped FROM units WHERE cohort <> 'holdout' GROUP BY 1 UNION ALL SELECT 'holdout', count(*), true FROM units WHERE cohort = 'holdout'")
 def _(spark, d):
-    u = bound(spark, d, "units").filter("cohort <> 'holdout'")
-    return C.guard_holdout(u).groupBy("cohort").agg(n_())
+    """Rows that pass the guard, and the holdout rows with whether the guard stops on them."""
+    u = bound(spark, d, "units")
+    passed = C.guard_holdout(u.filter("cohort <> 'holdout'")).groupBy("cohort").agg(n_())
+    try:
+        C.guard_holdout(u).write.format("noop").mode("overwrite").save()
+        stopped = False
+    except Exception as e:
+        stopped = "holdout" in str(e)
+    held = u.filter("cohort = 'holdout'").groupBy("cohort").agg(n_())
+    return passed.withColumn("stopped", F.lit(False)).unionByName(held.withColumn("stopped", F.lit(stopped)))
 
 
 @query("p13_reclassify", f"""{with_('series')}, e AS (SELECT DISTINCT unit FROM series WHERE n_files > 5000)
@@ -416,8 +424,8 @@ def signal(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v")).withColumn("v", F.col("v").cast("double"))
 
 
-@query("w9_regrid_linear", f"""WITH p AS ({POS}), t AS (SELECT CAST(j AS INT) AS j, j * (63e0 / 77) AS x FROM range(78) r(j))
-SELECT a.vec_id, t.j AS i, round(a.v * (1 - (x - floor(x))) + coalesce(b.v, 0) * (x - floor(x)), 6) AS v FROM t JOIN p a ON a.i = least(floor(x), 63) LEFT JOIN p b ON b.vec_id = a.vec_id AND b.i = a.i + 1""")
+@query("w9_regrid_linear", """WITH t AS (SELECT CAST(j AS INT) AS j, j * (63e0 / 77) AS x FROM range(78) r(j)), s AS (SELECT j, x - least(floor(x), 63) AS f, CAST(least(floor(x), 63) AS INT) AS lo FROM t)
+SELECT vec_id, j AS i, round(CAST(embedding[lo + 1] AS DOUBLE) * (1 - f) + coalesce(CAST(embedding[lo + 2] AS DOUBLE), 0) * f, 6) AS v FROM embeddings, s""")
 def _(spark, d):
     return C.regrid(signal(spark, d), ["vec_id"], "i", "v", 64, 1.0, 0.82).select("vec_id", "i", r6("v"))
 
@@ -427,6 +435,15 @@ def _(spark, d):
     return C.regrid(signal(spark, d), ["vec_id"], "i", "v", 64, 1.0, 0.82, 0).select("vec_id", "i", r6("v"))
 
 
+@query("w9_regrid_per_unit", """WITH u AS (SELECT *, CASE vec_id % 3 WHEN 0 THEN 82 WHEN 1 THEN 100 ELSE 41 END AS n_out FROM (SELECT vec_id, embedding FROM embeddings)),
+t AS (SELECT vec_id, embedding, unnest(range(n_out)) AS j, 63e0 / (n_out - 1) AS step FROM (SELECT vec_id, embedding, CAST(round_even(64 * (CASE vec_id % 3 WHEN 0 THEN 0.82e0 WHEN 1 THEN 1e0 ELSE 0.41e0 END) / 0.82e0, 0) AS INT) AS n_out FROM u)),
+s AS (SELECT *, j * step - least(floor(j * step), 63) AS f, CAST(least(floor(j * step), 63) AS INT) AS lo FROM t)
+SELECT vec_id, CAST(j AS INT) AS i, round(CAST(embedding[lo + 1] AS DOUBLE) * (1 - f) + coalesce(CAST(embedding[lo + 2] AS DOUBLE), 0) * f, 6) AS v FROM s""")
+def _(spark, d):
+    spacing = F.when(F.col("vec_id") % 3 == 0, 0.82).when(F.col("vec_id") % 3 == 1, 1.0).otherwise(0.41)
+    return C.regrid(signal(spark, d), ["vec_id"], "i", "v", 64, spacing, 0.82).select("vec_id", "i", r6("v"))
+
+
 @query("w10_crop_pad", f"WITH p AS ({POS}) SELECT vec_id, i - 8 + 20 AS i, round(v, 6) AS v FROM p WHERE i >= 8 AND i < 48")
 def _(spark, d):
     return C.crop_pad(signal(spark, d), "i", 8, 48, 80).select("vec_id", "i", r6("v"))
