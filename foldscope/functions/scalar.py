@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foldscope import runtime
 from foldscope.functions import hashing
 
 
@@ -88,7 +89,6 @@ def assign_mnemonics(ids: DataFrame, words: Sequence[Sequence[str]], key="id", m
     Only ids still contested are hashed again; the same winner holds a name in every round
     because all names rank ids alike.
     """
-    from foldscope import runtime
 
     cur = runtime.cut(ids.select(key, F.lit(0).alias("attempt")))
     for _ in range(max_rounds):
@@ -137,9 +137,8 @@ def stratum_thickness(mm: Column, variant: Column) -> Column:
 
 def decay(epoch: Column, start: float, end: float, epochs: int) -> Column:
     """Linear schedule from ``start`` to ``end`` over ``epochs``, clamped."""
-    t = F.least(epoch / F.lit(float(epochs)), F.lit(1.0)) if epochs > 0 else F.lit(1.0)
-    lo, hi = sorted((start, end))
-    return F.least(F.greatest(F.lit(start) + t * (end - start), F.lit(lo)), F.lit(hi))
+    done = F.greatest(F.least(epoch / F.lit(float(epochs)), F.lit(1.0)), F.lit(0.0)) if epochs > 0 else F.lit(1.0)
+    return F.lit(float(start)) + F.lit(float(end - start)) * done
 
 
 def json_path(col: Column, path: str, default: str | None = None) -> Column:
@@ -163,24 +162,34 @@ def build_map(df: DataFrame, by: Sequence[str], key: str, value: str) -> DataFra
 def config_diff(a: DataFrame, b: DataFrame, skip: str = "logging") -> DataFrame:
     """Differing paths of two flattened configurations ``(path, value)``, a subtree skipped."""
     keep = lambda d: d.filter(~(F.col("path").startswith(f"{skip}.") | (F.col("path") == skip)))
-    j = keep(a).select("path", F.col("value").alias("old")).join(keep(b).select("path", F.col("value").alias("new")), "path", "full")
-    return j.filter(~F.col("old").eqNullSafe(F.col("new")))
+    sides = [keep(d).select("path", F.col("value").alias(v), F.lit(True).alias(f"_{v}")) for d, v in ((a, "old"), (b, "new"))]
+    j = sides[0].join(sides[1], "path", "full")
+    differs = ~F.col("old").eqNullSafe(F.col("new")) | F.col("_old").isNull() | F.col("_new").isNull()
+    return j.filter(differs).drop("_old", "_new")
 
 
-def flatten_json(df: DataFrame, col: str, depth: int = 6) -> DataFrame:
-    """Leaves ``(path, value)`` of JSON objects, level by level to a fixed depth."""
-    def is_obj(c):
-        return c.startswith("{")
+def flatten_json(df: DataFrame, col: str, depth: int | None = None) -> DataFrame:
+    """Leaves ``(path, value)`` of JSON objects, level by level to the deepest one.
 
+    Empty objects and text that starts like an object but isn't one are leaves. A ``depth`` saves the look for
+    deeper levels where it is known; a deeper object is then an error.
+    """
+    kind = "map<string,string>"
+    is_obj = F.coalesce(F.col("value").startswith("{") & (F.size(F.from_json("value", kind)) > 0), F.lit(False))
     level = df.select(F.lit("").alias("path"), F.col(col).alias("value"))
-    done = None
-    for _ in range(depth):
-        kv = level.select("path", F.explode(F.from_json("value", "map<string,string>")).alias("k", "v"))
+    done, levels = None, 0
+    while True:
+        kv = level.select("path", F.explode(F.from_json("value", kind)).alias("k", "v"))
         kv = kv.select(F.concat("path", F.when(F.col("path") != "", ".").otherwise(""), "k").alias("path"), F.col("v").alias("value"))
-        leaf = kv.filter(~F.coalesce(is_obj(F.col("value")), F.lit(False)))
+        kv = kv if depth else runtime.cut(kv)
+        leaf, level = kv.filter(~is_obj), kv.filter(is_obj)
         done = leaf if done is None else done.unionByName(leaf)
-        level = kv.filter(F.coalesce(is_obj(F.col("value")), F.lit(False)))
-    return done.unionByName(level)
+        levels += 1
+        if depth == levels:
+            deeper = F.raise_error(F.concat(F.lit("an object lies deeper than stated: "), "path")).cast("string")
+            return done.unionByName(level.select("path", deeper.alias("value")))
+        if depth is None and level.isEmpty():
+            return done
 
 
 def status_of(exit_code: Column, n_files: Column, n_slices: Column, min_slices: int = 30) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldscope import runtime
-from foldscope.operators.ordering import ranked
+from foldscope.operators.ordering import ranked, top_by
 
 IN_PLANE_MM = 0.82
 XY = ("x1", "z1", "x2", "z2")
@@ -108,7 +108,7 @@ def overlap_pairs(a: DataFrame, b: DataFrame, key: Sequence[str] = ("unit", "sli
         g = g.select("*", F.explode(tx).alias("_tx")).select("*", F.explode(tz).alias("_tz"))
         return g.select(*key, "_tx", "_tz", F.struct(*XY).alias(name), count)
 
-    j = side(a, "a", "na").join(side(b, "b", "nb"), [*key, "_tx", "_tz"])
+    j = runtime.join_groups(side(a, "a", "na"), side(b, "b", "nb"), [*key, "_tx", "_tz"])
     A, B = F.col("a"), F.col("b")
     lo_x, lo_z = F.greatest(A["x1"], B["x1"]), F.greatest(A["z1"], B["z1"])
     meet = (lo_x < F.least(A["x2"], B["x2"])) & (lo_z < F.least(A["z2"], B["z2"]))
@@ -141,7 +141,7 @@ def _split_by_size(df: DataFrame, key: Sequence[str], limit: int):
     hot = runtime.cut(sizes.filter(F.col("_n") > limit).select(*key))
     if hot.isEmpty():
         return df, None
-    return df.join(hot, list(key), "left_anti"), df.join(hot, list(key), "left_semi")
+    return runtime.join_groups(df, hot, key, "left_anti"), runtime.join_groups(df, hot, key, "left_semi")
 
 
 def nms(
@@ -150,13 +150,22 @@ def nms(
 ) -> DataFrame:
     """Greedy suppression, best score first; drops boxes with IoU > thr (>= when ``closed``) to a kept one.
 
-    Ties are broken by coordinates. Of equal geometries only the strongest can
-    survive, so copies collapse first. ``max_per`` keeps the strongest survivors.
+    Ties are broken by coordinates. Of equal geometries with an area only the strongest can
+    survive, so such copies collapse first; boxes without area overlap nothing and stay, each of them.
+    ``max_per`` keeps the strongest survivors. A NULL key is a group.
     """
     limit = runtime.FOLD_ROWS if fold_rows is None else fold_rows
-    uniq = boxes.groupBy(*key, *XY).agg(F.max("score").alias("score"))
-    small, hot = _split_by_size(uniq, key, limit)
     over = (lambda v: v >= iou_thr) if closed else (lambda v: v > iou_thr)
+    strongest = [F.col("score").desc(), *[F.col(c) for c in XY]]
+    rows = boxes.select(*key, *XY, "score")
+    if iou_thr > 1 or (iou_thr == 1 and not closed):  # no overlap is that large
+        return ranked(rows, strongest, key, "_rk").filter(F.col("_rk") <= max_per).drop("_rk") if max_per else rows
+    if iou_thr < 0 or (iou_thr == 0 and closed):  # every overlap is, even none
+        return top_by(rows, list(key), [-F.col("score"), *[F.col(c) for c in XY]]).select(*key, *XY, "score")
+    empty = area(F.struct(*XY)) <= 0
+    flat = rows.filter(empty)
+    uniq = rows.filter(~empty).groupBy(*key, *XY).agg(F.max("score").alias("score"))
+    small, hot = _split_by_size(uniq, key, limit)
 
     row = F.struct((-F.col("score")).alias("k"), *XY, "score")
     arrays = small.groupBy(*key).agg(F.array_sort(F.collect_list(row)).alias("bs"))
@@ -166,13 +175,10 @@ def nms(
         "bs", none,
         lambda acc, b: F.when(room(acc) & ~F.exists(acc, lambda k: over(iou(k, b))), F.array_append(acc, b)).otherwise(acc),
     )
-    out = arrays.select(*key, F.inline(kept)).select(*key, *XY, "score")
-    if hot is None:
-        return out
-    rounds = _nms_rounds(hot, list(key), iou_thr, over)
-    if max_per:
-        rounds = ranked(rounds, [F.col("score").desc(), *[F.col(c) for c in XY]], key, "_rk").filter(F.col("_rk") <= max_per).drop("_rk")
-    return out.unionByName(rounds)
+    out = arrays.select(*key, F.inline(kept)).select(*key, *XY, "score").unionByName(flat)
+    if hot is not None:
+        out = out.unionByName(_nms_rounds(hot, list(key), iou_thr, over))
+    return ranked(out, strongest, key, "_rk").filter(F.col("_rk") <= max_per).drop("_rk") if max_per else out
 
 
 def _nms_rounds(df: DataFrame, key: list[str], thr: float, over) -> DataFrame:
@@ -209,12 +215,12 @@ def _nms_rounds(df: DataFrame, key: list[str], thr: float, over) -> DataFrame:
         tops = runtime.cut(todo.groupBy(*cell).agg(F.min(prio).alias("_p")).select(*cell, "_p", *[F.col(f"_p.{c}").alias(c) for c in XY]))
         reachd = spread(tops).select(*key, *[F.col(f"_t{c}").alias(c) for c in cell[len(key):]], F.col("_p").alias("_q"))
         best = reachd.groupBy(*cell).agg(F.min("_q").alias("_q"))
-        win = runtime.cut(tops.join(best, cell).filter(F.col("_p") == F.col("_q")).select(*cell, *XY, (-F.col("_p.k")).alias("score")))
+        win = runtime.cut(runtime.join_groups(tops, best, cell).filter(F.col("_p") == F.col("_q")).select(*cell, *XY, (-F.col("_p.k")).alias("score")))
         kept = win if kept is None else kept.unionByName(win)
         w = spread(win).select(*[F.col(k).alias(f"w_{k}") for k in key], *[F.col(f"_t{c}").alias(f"w{c}") for c in cell[len(key):]], F.struct(*XY).alias("_w"))
         same = F.lit(True)
         for k in key:
-            same = same & (F.col(k) == F.col(f"w_{k}"))
+            same = same & F.col(k).eqNullSafe(F.col(f"w_{k}"))
         for c in cell[len(key):]:
             same = same & (F.col(c) == F.col(f"w{c}"))
         hit = over(iou(F.struct(*XY), F.col("_w"))) | (F.struct(*XY) == F.col("_w"))
@@ -358,7 +364,7 @@ def tag_events(
     def step(acc, p):
         cand = F.transform("gs", lambda g, i: F.struct(F.when(F.array_contains(acc, i), F.lit(-1.0)).otherwise(iou(p, g)).alias("v"), (-i).alias("i")))
         best = F.array_max(cand)
-        return F.array_append(acc, F.when(best["v"] >= iou_thr, -best["i"]).otherwise(F.lit(-1)))
+        return F.array_append(acc, F.when((best["v"] >= iou_thr) & (best["v"] > 0), -best["i"]).otherwise(F.lit(-1)))
 
     got = arrays.withColumn("m", F.aggregate("ps", F.array().cast("array<int>"), step))
     tagged = F.transform("ps", lambda p, i: F.struct(
@@ -386,21 +392,22 @@ def _match_rounds(pred: DataFrame, gt: DataFrame, thr: float, key: list[str], ti
     seats = runtime.cut(gt.groupBy(*key, F.struct(*XY).alias("g")).agg(F.count("*").alias("_cap")))
     pairs = overlap_pairs(pred, gt, key, tile).filter(F.col("iou") >= thr)
     e = pairs.select(*key, *[F.col(f"a.{c}").alias(c) for c in XY], F.col("b").alias("g"), "iou")
-    edges = runtime.cut(e.join(p.select(*key, *XY, "_pid"), [*key, *XY]).select(*key, "_pid", "g", "iou"))
+    edges = runtime.cut(runtime.join_groups(e, p.select(*key, *XY, "_pid"), [*key, *XY]).select(*key, "_pid", "g", "iou"))
     done = None
     left = seats
     while not edges.isEmpty():
         first = edges.groupBy(*key, "_pid").agg(F.min(F.struct((-F.col("iou")).alias("v"), "g")).alias("f")).select(*key, "_pid", F.col("f.g").alias("g"))
-        seat = ranked(edges.select(*key, "_pid", "g"), [F.col("_pid")], [*key, "g"], "_rk").join(left, [*key, "g"]).filter("_rk <= _cap")
-        won = runtime.cut(first.join(seat.select(*key, "_pid", "g"), [*key, "_pid", "g"]))
+        seat = runtime.join_groups(ranked(edges.select(*key, "_pid", "g"), [F.col("_pid")], [*key, "g"], "_rk"), left, [*key, "g"]).filter("_rk <= _cap")
+        won = runtime.cut(runtime.join_groups(first, seat.select(*key, "_pid", "g"), [*key, "_pid", "g"]))
         done = won if done is None else done.unionByName(won)
         used = won.groupBy(*key, "g").agg(F.count("*").alias("_u"))
-        left = runtime.cut(left.join(used, [*key, "g"], "left").select(*key, "g", (F.col("_cap") - F.coalesce("_u", F.lit(0))).alias("_cap")))
+        left = runtime.cut(runtime.join_groups(left, used, [*key, "g"], "left").select(*key, "g", (F.col("_cap") - F.coalesce("_u", F.lit(0))).alias("_cap")))
         full = left.filter("_cap = 0").select(*key, "g")
-        edges = runtime.cut(edges.join(won.select(*key, "_pid"), [*key, "_pid"], "left_anti").join(full, [*key, "g"], "left_anti"))
+        rest = runtime.join_groups(edges, won.select(*key, "_pid"), [*key, "_pid"], "left_anti")
+        edges = runtime.cut(runtime.join_groups(rest, full, [*key, "g"], "left_anti"))
     none = p.select(*key, "_pid", F.lit(None).cast(seats.schema["g"].dataType).alias("g")).limit(0)
     done = none if done is None else done
-    tagged = p.join(done, [*key, "_pid"], "left").select(
+    tagged = runtime.join_groups(p, done, [*key, "_pid"], "left").select(
         *key, F.when(F.col("g").isNotNull(), "tp").otherwise("fp").alias("tag"), *XY, "score", F.col("g").alias("gt"))
     free = left.filter("_cap > 0").select("*", F.explode(F.sequence(F.lit(1), F.col("_cap").cast("int"))).alias("_c"))
     fn = free.select(*key, F.lit("fn").alias("tag"), *[F.col(f"g.{c}").alias(c) for c in XY], F.lit(None).cast("double").alias("score"), F.col("g").alias("gt"))

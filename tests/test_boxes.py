@@ -148,3 +148,23 @@ def test_dynamic_k_contested_candidate_goes_to_cheapest_of_all(spark):
     df = spark.createDataFrame(rows, "unit int, slice_y int, gt int, cand int, iou double, cost double")
     out = {(r.cand, r.gt) for r in B.dynamic_k_assign(df).collect()}
     assert out == {(1, 3), (2, 3)}
+
+
+def test_nms_extremes_and_null_keys(spark):
+    rows = [(None, 1, 0, 0, 10, 10, 0.9), (None, 1, 0, 0, 10, 10, 0.5), (None, 1, 1, 1, 11, 11, 0.8), (1, 1, 5, 5, 5, 9, 0.7), (1, 1, 5, 5, 5, 9, 0.6), (1, 1, 0, 0, 4, 4, 0.4)]
+    b = spark.createDataFrame(rows, "unit long, slice_y int, x1 int, z1 int, x2 int, z2 int, score double")
+    for fold_rows in (1_000, 0):
+        got = sorted((r.unit or 0, r.score) for r in B.nms(b, 0.5, fold_rows=fold_rows).collect())
+        assert got == [(0, 0.9), (1, 0.4), (1, 0.6), (1, 0.7)]
+        assert B.nms(b, 1.0, fold_rows=fold_rows).count() == 6
+        assert sorted(r.score for r in B.nms(b, 0.0, closed=True, fold_rows=fold_rows).collect()) == [0.7, 0.9]
+        assert sorted(r.score for r in B.nms(b, 0.5, max_per=1, fold_rows=fold_rows).collect()) == [0.7, 0.9]
+
+
+def test_matching_with_null_keys(spark):
+    p = spark.createDataFrame([(None, 0, 0, 10, 10, 0.9), (None, 0, 0, 9, 10, 0.8), (1, 0, 0, 2, 2, 0.5)], "unit long, x1 int, z1 int, x2 int, z2 int, score double")
+    g = spark.createDataFrame([(None, 0, 0, 10, 10), (1, 50, 50, 60, 60)], "unit long, x1 int, z1 int, x2 int, z2 int")
+    for fold_rows in (1_000, 0):
+        for thr in (0.0, 0.3):
+            got = sorted((r.unit or 0, r.tag) for r in B.tag_events(p, g, thr, ["unit"], fold_rows=fold_rows).collect())
+            assert got == [(0, "fp"), (0, "tp"), (1, "fn"), (1, "fp")]

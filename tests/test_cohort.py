@@ -227,3 +227,13 @@ def test_ingest_stream_retries_failures(spark, tmp_path):
 def test_split_with_nothing_left_for_folds(spark):
     df = spark.createDataFrame([(i, "a") for i in range(6)], "unit int, k string")
     assert {r.split for r in C.stratified_split(df, ["k"], 6, 3, 5).collect()} == {"holdout"}
+
+
+def test_flatten_json_keeps_every_leaf(spark):
+    from foldscope.functions import scalar as S
+
+    docs = spark.createDataFrame([('{"a": {"b": {"c": {"d": {"e": {"f": {"g": {"h": 1}}}}}}}, "x": {}, "y": "{no", "z": null}',)], "doc string")
+    assert {(r.path, r.value) for r in S.flatten_json(docs, "doc").collect()} == {("a.b.c.d.e.f.g.h", "1"), ("x", "{}"), ("y", "{no"), ("z", None)}
+    old = spark.createDataFrame([("p", None), ("q", "1")], "path string, value string")
+    new = spark.createDataFrame([("q", "1")], "path string, value string")
+    assert [tuple(r) for r in S.config_diff(old, new).collect()] == [("p", None, None)]
