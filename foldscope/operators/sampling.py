@@ -64,9 +64,10 @@ def cap_per_type(df: DataFrame, n=200, kind="kind", order: Sequence[str] = ("ste
     return first_n(df, [kind], [F.col(c) for c in order], n)
 
 
+# The documented setting names of a sampler configuration and their defaults.
 SAMPLER = {
     "pos_frac_start": 0.50, "pos_frac_end": 0.25, "decay_epochs": 30, "neg_in_pos_vol_share": 0.50,
-    "hard_rate": 0.30, "hard_start_epoch": 5,
+    "hard_pool_substitution_rate": 0.30, "hard_pool_start_epoch": 5,
 }
 
 
@@ -78,7 +79,7 @@ def scheduled_sample(index: DataFrame, epoch: int, seed=42, cfg: Mapping | None
     which spreads evenly because they are uniform.
     """
     cfg = {**SAMPLER, **(cfg or {})}
-    use_hard = hard is not None and epoch >= cfg["hard_start_epoch"]
+    use_hard = hard is not None and epoch >= cfg["hard_pool_start_epoch"]
     names = F.when(F.col("kind") == "pos_slice", "pos").when(F.col("kind") == "neg_slice_pos_vol", "nipv").otherwise("ninv")
     pools = index.select("unit", "slice_y", names.alias("pool"))
     if use_hard:
@@ -94,7 +95,7 @@ def scheduled_sample(index: DataFrame, epoch: int, seed=42, cfg: Mapping | None
     in_pos = F.col("_r") < F.col("_p")
     want_nipv = (F.col("_r") - F.col("_p")) / F.greatest(1.0 - F.col("_p"), F.lit(1e-12)) < cfg["neg_in_pos_vol_share"]
     has = lambda p: F.lit(size[p] > 0)
-    ninv = F.when(F.lit(use_hard and size["hard"] > 0) & (F.col("_h") < cfg["hard_rate"]), "hard").otherwise("ninv")
+    ninv = F.when(F.lit(use_hard and size["hard"] > 0) & (F.col("_h") < cfg["hard_pool_substitution_rate"]), "hard").otherwise("ninv")
     fallback = F.when(has("nipv"), "nipv").when(has("ninv"), "ninv").when(has("hard"), "hard").otherwise("pos")
     pool = F.when(in_pos & has("pos"), "pos").when(want_nipv & has("nipv"), "nipv").when(~want_nipv & has("ninv"), ninv).otherwise(fallback)
     draws = draws.withColumn("pool", pool)

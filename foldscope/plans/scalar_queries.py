@@ -105,9 +105,9 @@ def _(spark, d):
 
 @query("f15_size_labels", """SELECT CASE WHEN p_retailprice < 200 THEN '<=200mm3' WHEN p_retailprice < 1000 THEN '200-1000mm3' WHEN p_retailprice < 5000 THEN '1000-5000mm3' ELSE '>5000mm3' END AS label, count(*) AS n FROM part GROUP BY 1""")
 def _(spark, d):
-    from foldscope.operators.metrics import VOLUME_EDGES, size_bin, size_bin_label
+    from foldscope.operators.metrics import VOLUME_EDGES, size_bin, size_bin_labels
 
-    names = F.array(*[F.lit(size_bin_label(a, b)) for a, b in zip(VOLUME_EDGES, VOLUME_EDGES[1:])])
+    names = F.array(*[F.lit(x) for x in size_bin_labels(VOLUME_EDGES)])
     return table(spark, d, "part").groupBy(F.get(names, size_bin(F.col("p_retailprice"))).alias("label")).agg(n_())
 
 
