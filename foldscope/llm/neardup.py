@@ -13,7 +13,6 @@ tried: no candidate is dropped, and no round makes more than a few pairs a docum
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,30 +23,23 @@ from pyspark.sql import functions as F
 from foldscope.llm.common import packed, row_key
 from foldscope.runtime import cut
 
-WORD = re.compile(r"\w+")
 SHINGLE, THRESHOLD = 5, 0.8
 # A pair at the threshold meets in one of 20 bands of 4 with probability 1 - (1 - 0.8^4)^20 > 0.99997.
 BANDS, ROWS = 20, 4
-BUCKET_BITS, DRAW_BITS, SEED = 18, 16, 20260
+BUCKET_BITS, DRAW_BITS, SEED = 18, 14, 20260
 IDF_FLOOR = 0.6
-# Pairs between components are all verified once there are at most so many of them for each content.
-PAIRS_PER_CONTENT = 4
-MEMO_WORDS = 300_000
+# Pairs between components are compared by weight once there are at most so many of them for each content, and
+# all verified once at most so many for each content may have a link.
+COMPARED_PER_CONTENT, PAIRS_PER_CONTENT = 256, 12
 
 
-class _Words(dict):
-    """64-bit hashes of words, remembered."""
-
-    def __missing__(self, word: str) -> int:
-        import xxhash
-
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word.encode())
-        return h
-
-
-_words = _Words()
+# Bytes of words: ASCII letters (in one case), digits and underscore, and all of UTF-8 beyond ASCII.
+_IN_WORD = np.array([chr(b).isalnum() or chr(b) == "_" or b >= 128 for b in range(256)])
+_VALUE = np.array([ord(chr(b).lower()) if b < 128 else b for b in range(256)], np.uint64) + np.uint64(1)
+# Powers of an odd base modulo 2^64 and of its inverse turn running sums into hashes of any word at once.
+_BASE, _REACH = 0x9E3779B97F4A7C15, 1 << 16
+_POWERS = np.cumprod(np.full(_REACH, _BASE, np.uint64))
+_INVERSES = np.cumprod(np.full(_REACH, pow(_BASE, -1, 1 << 64), np.uint64))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -55,18 +47,43 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def shingles(text: str | None, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, str]:
-    """(distinct shingle hashes ascending, their counts, the words joined); a shorter text is one shingle."""
-    words = WORD.findall((text or "").lower())
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+def word_hashes(text: str | None) -> np.ndarray:
+    """A 64-bit hash of each word of a whole text, in order. Long texts go piece by piece, cut between words."""
+    import xxhash
+
+    raw = np.frombuffer((text or "").encode(), np.uint8)
+    inside = _IN_WORD[raw]
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    starts, ends = edges[::2], edges[1::2]
+    out, at = [], 0
+    while at < len(starts):
+        first = starts[at]
+        to = max(at + 1, int(np.searchsorted(ends, first + _REACH, side="right")))
+        size = int(ends[to - 1] - first)
+        if size > _REACH:  # one endless word
+            h = np.array([xxhash.xxh3_64_intdigest(raw[first : ends[at]].tobytes().lower())], np.uint64)
+        else:
+            sums = np.zeros(size + 1, np.uint64)
+            np.cumsum(_VALUE[raw[first : first + size]] * _POWERS[:size], out=sums[1:])
+            a, b = starts[at:to] - first, ends[at:to] - first
+            h = _mixed((sums[b] - sums[a]) * _INVERSES[a] + (b - a).astype(np.uint64))
+        out.append(h)
+        at = to
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def shingles(text: str | None, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """(distinct shingle hashes ascending, their counts, the words' hashes in order); a shorter text is one shingle."""
+    h = word_hashes(text)
     if not len(h):
-        return h, np.zeros(0, np.int64), ""
+        return h, np.zeros(0, np.int64), b""
     size = min(size, len(h))
     out = np.full(len(h) - size + 1, size, np.uint64)
     for k in range(size):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - size + 1 + k]
-    found, counts = np.unique(_mixed(out), return_counts=True)
-    return found, counts, " ".join(words)
+        out = out * np.uint64(_BASE) + h[k : len(h) - size + 1 + k]
+    out = np.sort(_mixed(out))
+    new = np.flatnonzero(np.r_[True, out[1:] != out[:-1]])
+    return out[new], np.diff(new, append=len(out)), h.tobytes()
 
 
 def buckets(hashes: np.ndarray) -> np.ndarray:
@@ -82,9 +99,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
             for text in batch.column(0):
                 found, _, _ = shingles(text.as_py())
                 n += len(found) > 0
-                total += np.bincount(np.unique(buckets(found)), minlength=len(total)) if len(found) > 4096 else 0
-                if len(found) <= 4096:
-                    total[np.unique(buckets(found))] += 1
+                total[buckets(found)] += 1  # once for a document, however often the bucket stands there
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[used, -1]), pa.array(np.r_[total[used], n])], ["bucket", "n"])
 
@@ -161,7 +176,7 @@ def signatures(docs: DataFrame, idf) -> DataFrame:
                     content, weight, keys = [*content, None], [*weight, None], [*keys, None]
                     continue
                 w = weights(found, counts, idf.value)
-                content.append(xxhash.xxh3_128_digest(words.encode()))
+                content.append(xxhash.xxh3_128_digest(words))
                 weight.append(float(w.sum()))
                 keys.append(sampler.bands(found, w))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(c, k) for c, k in zip((content, weight, keys), kinds[3:], strict=True)]], ["doc_id", "_a", "_b", "content", "weight", "bands"])
@@ -221,45 +236,40 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, D
     signed = cut(signatures(docs, idf))
     contents = signed.filter("content is not null").groupBy("content").agg(F.min(F.struct("_a", "_b")).alias("_k"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
     banded = contents.select("content", "weight", F.explode("bands").alias("bucket"))
-    # The pivot of a bucket is its content of least weight, so that lengths can be compared at once.
-    met = banded.groupBy("bucket").agg(F.count("*").alias("_n"), F.min(F.struct("weight", "content")).alias("_p")).filter("_n > 1")
-    members = cut(banded.join(met.select("bucket", "_p"), "bucket").select("bucket", "content", "weight", F.col("_p.content").alias("pivot"), F.col("_p.weight").alias("_pw")))
+    met = banded.groupBy("bucket").agg(F.count("*").alias("_n")).filter("_n > 1")
+    members = cut(banded.join(met, "bucket"))
+    # The pivot of a bucket is its content with the most bucket mates: the one nearest to a group's middle.
+    mates = members.groupBy("content").agg(F.sum("_n").alias("_d"))
+    members = cut(members.join(mates, "content"))
+    pivot = F.max(F.struct("_d", "content", "weight")).alias("_p")
+    pivots = members.groupBy("bucket").agg(pivot)
+    members = cut(members.join(pivots, "bucket").select("bucket", "content", "weight", F.col("_p.content").alias("pivot"), F.col("_p.weight").alias("_pw")))
     of = members.select("content").distinct()
     keys = signed.join(of, "content").groupBy("content").agg(F.min(F.struct("_a", "_b")).alias("_k")).select("content", "_k._a", "_k._b")
     texts = docs.select(*row_key("doc_id", "text"), "text").join(keys, ["_a", "_b"]).select("content", "text")
     texts = cut(texts.dropDuplicates(["content"]))
 
-    def near(x: str, y: str):
-        return F.least(x, y) >= F.lit(threshold) * F.greatest(x, y) - F.lit(1e-9)
-
-    pairs = members.filter((F.col("content") != F.col("pivot")) & near("weight", "_pw")).select(F.col("content").alias("x"), F.col("pivot").alias("y")).distinct()
+    pairs = members.filter((F.col("content") != F.col("pivot")) & _near("weight", "_pw", threshold)).select(F.col("content").alias("x"), F.col("pivot").alias("y")).distinct()
     links = cut(verified(pairs, texts, idf, threshold))
     members, tries, count = members.select("bucket", "content", "weight"), 2, of.count()
     comp = components(links)
     while True:
-        # What is left: buckets that hold more than one component.
-        m = members.join(comp, "content", "left").withColumn("comp", F.coalesce("comp", "content"))
-        sizes = m.groupBy("bucket", "comp").agg(F.count("*").alias("_c"))
-        crossed = sizes.groupBy("bucket").agg(F.sum("_c").alias("_m"), F.sum(F.col("_c") * F.col("_c")).alias("_s"), F.count("*").alias("_k")).filter("_k > 1")
-        m = cut(m.join(crossed.select("bucket", ((F.col("_m") * F.col("_m") - F.col("_s")) / 2).cast("double").alias("_cross")), "bucket"))
+        m = _unresolved(members, comp)
+        if m.limit(1).count():
+            m = _unresolved(_linkable(m.select("bucket", "content", "weight"), texts, idf, threshold), comp)
         left = m.groupBy("bucket").agg(F.first("_cross").alias("_x")).agg(F.sum("_x")).first()[0] or 0
         if not left:
             break
-        whole = left <= PAIRS_PER_CONTENT * count
+        whole = left <= COMPARED_PER_CONTENT * count
         if whole:
-            pivots = m
-        else:
+            fresh = cut(_cross_pairs(m, m, threshold, halved=True))
+            whole = fresh.count() <= PAIRS_PER_CONTENT * count
+        if not whole:
             # Members of small components first; each pivot meets every member of the other components.
-            m2 = m.join(sizes, ["bucket", "comp"])
             order = Window.partitionBy("bucket").orderBy("_c", F.xxhash64("content", F.lit(tries)), "content")
-            pivots = m2.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= tries)
+            pivots = m.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= tries)
+            fresh = _cross_pairs(m, pivots, threshold).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
             tries *= 2
-        a, b = m.alias("a"), pivots.alias("b")
-        cross = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.comp") != F.col("b.comp")) & near("a.weight", "b.weight")
-        if whole:
-            cross = cross & (F.col("a.content") < F.col("b.content"))
-        fresh = a.join(b, cross).select(F.col("a.content").alias("x"), F.col("b.content").alias("y"))
-        fresh = fresh.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
         more = cut(verified(fresh, texts, idf, threshold))
         if more.limit(1).count():
             links = cut(links.union(more))
@@ -267,11 +277,69 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, D
         if whole:
             break
         # Pivots have met all they could meet in their buckets.
-        done = pivots.select("bucket", "content")
-        members = cut(m.select("bucket", "content", "weight").join(done, ["bucket", "content"], "left_anti"))
+        members = cut(m.select("bucket", "content", "weight").join(pivots.select("bucket", "content"), ["bucket", "content"], "left_anti"))
     return signed, comp
 
 
+def _near(x: str, y: str, threshold: float):
+    """Whether weights allow a link."""
+    return F.least(x, y) >= F.lit(threshold) * F.greatest(x, y) - F.lit(1e-9)
+
+
+def _cross_pairs(members: DataFrame, pivots: DataFrame, threshold: float, halved: bool = False) -> DataFrame:
+    """x, y: contents of one bucket but two components whose weights, and what either could share, allow a link.
+
+    ``halved`` gives each pair once, where both tables are the same.
+    """
+    a, b = members.alias("a"), pivots.alias("b")
+    cross = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.comp") != F.col("b.comp")) & _near("a.weight", "b.weight", threshold)
+    for one in ("a.shared", "b.shared"):
+        cross = cross & (F.col(one) >= F.lit(threshold / (1 + threshold)) * (F.col("a.weight") + F.col("b.weight")) - F.lit(1e-6))
+    if halved:
+        cross = cross & (F.col("a.content") < F.col("b.content"))
+    # Two contents may share several buckets: only the least of them gives the pair.
+    cross = cross & (F.col("a.bucket") == F.array_min(F.array_intersect("a.buckets", "b.buckets")))
+    return a.join(b, cross).select(F.col("a.content").alias("x"), F.col("b.content").alias("y"))
+
+
+def _unresolved(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """``members`` of buckets that hold several components, with comp, its size _c there and the bucket's pairs _cross
+    between components."""
+    m = members.join(comp, "content", "left").withColumn("comp", F.coalesce("comp", "content"))
+    sizes = m.groupBy("bucket", "comp").agg(F.count("*").alias("_c"))
+    crossed = sizes.groupBy("bucket").agg(F.sum("_c").alias("_m"), F.sum(F.col("_c") * F.col("_c")).alias("_s"), F.count("*").alias("_k")).filter("_k > 1")
+    crossed = crossed.select("bucket", ((F.col("_m") * F.col("_m") - F.col("_s")) / 2).cast("double").alias("_cross"))
+    sizes = sizes.join(crossed, "bucket")
+    return cut(m.join(sizes, ["bucket", "comp"]))
+
+
+def _linkable(members: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
+    """``members`` that may still have a link in their bucket, with ``shared``, the most weight they could share.
+
+    A shingle that no other member has can't be shared. A link needs a shared weight of at least
+    t / (1 + t) of both weights together, so a member that can't reach this with the bucket's least weight has
+    no link there. This is exact: in a group of edited copies it drops those whose own edits part them from all.
+    """
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found, counts, _ = shingles(batch.column(1)[i].as_py())
+                who = pa.array([batch.column(0)[i].as_py()] * len(found), pa.binary())
+                yield pa.RecordBatch.from_arrays([who, pa.array(found.view(np.int64)), pa.array(weights(found, counts, idf.value))], ["content", "shingle", "w"])
+
+    t = texts.join(members.select("content").distinct(), "content", "left_semi")
+    parts = t.select("content", "text").mapInArrow(explode, "content binary, shingle long, w double")
+    alone = parts.groupBy("shingle").agg(F.count("*").alias("_n"), F.first("content").alias("content"), F.first("w").alias("w")).filter("_n = 1")
+    alone = alone.groupBy("content").agg(F.sum("w").alias("_own"))
+    m = members.join(alone, "content", "left").withColumn("shared", F.col("weight") - F.coalesce("_own", F.lit(0.0))).drop("_own")
+    least = m.groupBy("bucket").agg(F.min("weight").alias("_w"))
+    share = threshold / (1 + threshold)
+    m = m.join(least, "bucket").filter(F.col("shared") >= F.lit(share) * (F.col("weight") + F.col("_w")) - F.lit(1e-6))
+    m = cut(m.drop("_w"))
+    return m.join(m.groupBy("content").agg(F.collect_set("bucket").alias("buckets")), "content")
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, _a, _b, class_id, class_size, kept: a row per document.
 

@@ -165,8 +165,9 @@ def test_chain_of_texts_needs_more_pivots(spark, monkeypatch):
     want = brute_classes(docs)
     assert len({k[1] for k in want}) == 1
     assert counted(neardup.classes(table).select("doc_id", "class_id", "class_size")) == want
-    monkeypatch.setattr(neardup, "PAIRS_PER_CONTENT", 0)
-    assert counted(neardup.classes(table).select("doc_id", "class_id", "class_size")) == want
+    for bound in ("PAIRS_PER_CONTENT", "COMPARED_PER_CONTENT"):
+        monkeypatch.setattr(neardup, bound, 0)
+        assert counted(neardup.classes(table).select("doc_id", "class_id", "class_size")) == want
 
 
 def test_one_of_each_stays(odd, none):
