@@ -147,4 +147,4 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_quality")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return rows.select("doc_id", "p_text", "p_meta", "quality", "good")
+    return rows.select("doc_id", "p_text", "p_meta", "quality", F.col("good").alias("keep"))
