@@ -1,7 +1,8 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences (long ones into pieces of ``LONGEST`` words, so that no passage of 50 words is a
-single sentence). Every run of ``RUN`` consecutive sentences is hashed; runs are joined over the whole corpus by
+A text is cut into sentences. Sentences of more than ``LONGEST`` words are cut into pieces where the next word
+says so, so that copies of a passage are cut alike whatever stands before them, and no passage of 50 words is a
+single sentence. Every run of ``RUN`` consecutive sentences is hashed; runs are joined over the whole corpus by
 hash; each occurrence but the first covers its sentences, and covered sentences are removed.
 """
 
@@ -13,14 +14,39 @@ from pyspark.sql import functions as F
 from foldscope.llm.common import packed, row_key
 from foldscope.runtime import cut
 
-# Sentences of a run, the fewest words that make a run worth removing, and the words at which a sentence is cut.
-RUN, FEWEST_WORDS, LONGEST = 3, 8, 16
+# Sentences of a run, the fewest words that make a run worth removing, the most words of a piece and the fewest before a cut.
+RUN, FEWEST_WORDS, LONGEST, LEAST = 3, 8, 16, 4
+# Characters that are words of their own, and end marks that need no blank after them.
+CJK, WIDE_ENDS = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff", "。！？"
+# White space that hashes leave out at both ends of a sentence.
+BLANKS = " \t\n\r\f\v\u00a0\u3000"
+# Cuts stand before words whose first letter is of one half, best with a second letter of another; scripts beyond
+# ASCII give every other block of letters.
+_FAR = "".join(
+    f"{chr(k)}-{chr(k + n // 2 - 1)}"
+    for first, end, n in ((0xE0, 0x100, 4), (0x100, 0x370, 16), (0x370, 0xE00, 32), (0x3040, 0x3100, 16), (0x4E00, 0xA000, 512), (0xAC00, 0xD7A0, 512))
+    for k in range(first, end, n)
+)
+# ASCII is asked for first, as it is by far the faster.
+_FIRST, _SECOND = (f"(?:[{ascii_half}]|(?![\\x00-\\x7f])[{_FAR}])" for ascii_half in ("abcdhmoABCDHMO0-4", "eiorluEIORLU5-9"))
 
 
 def sentence_pattern(longest: int = LONGEST) -> str:
-    """One sentence with the white space after it: up to ``longest`` words, none but the last of which ends in
-    ``.``, ``!``, ``?`` or their wide forms, or stands before a line break."""
-    return r"(?:\S++(?<![.!?。！？])[^\S\n\r]++(?=\S)){0,%d}+\S++\s*+" % (longest - 1)
+    """One sentence or piece of a long one, with the white space after it.
+
+    A sentence ends after ``.``, ``!``, ``?`` and a blank, after their wide forms, and before a line break. While more
+    than ``longest`` words of it are left, a piece goes to the first cut within ``longest`` words, a cut of two letters
+    if there is one, else of one letter; it has ``LEAST`` words at least, and just these where there is no cut.
+    """
+    least = min(LEAST, longest)
+    word = f"(?:[!-~]++(?![^\\x00-\\x7f])|[^\\s{CJK}{WIDE_ENDS}]++[{WIDE_ENDS}]*+|[{CJK}][,.!?;:、，；：]*+[{WIDE_ENDS}]*+|[{WIDE_ENDS}]++)"
+    blank = r"[ \t\f\x0b]*+"
+    more = f"(?<![.!?{WIDE_ENDS}]){blank}(?=\\S)"
+    ways = [f"(?:{word}{more}){{0,{longest - 1}}}+{word}(?!{more})"]
+    for cut_at in (f"{blank}(?={_FIRST}{_SECOND})", f"{blank}(?={_FIRST})"):
+        ways.append(f"(?:{word}{more}){{{least - 1}}}+(?:{word}(?!{cut_at}){more}){{0,{longest - least}}}+{word}(?={cut_at})")
+    ways.append(f"(?:{word}{more}){{0,{least - 1}}}+{word}")
+    return "(?:" + "|".join(ways) + r")\s*+"
 
 
 def sentences(text: str, longest: int = LONGEST) -> Column:
@@ -31,7 +57,7 @@ def sentences(text: str, longest: int = LONGEST) -> Column:
 def runs(docs: DataFrame, run: int = RUN, fewest: int = FEWEST_WORDS, longest: int = LONGEST) -> DataFrame:
     """_h, _g (128 bits of the run's trimmed sentences), doc_id, _a, _b (row key), pos (first sentence)."""
     s = docs.select("doc_id", *row_key("doc_id", "text"), sentences("text", longest).alias("_s"))
-    trimmed = F.transform("_s", lambda x: F.struct(F.xxhash64(F.rtrim(x)).alias("h"), F.regexp_count(x, F.lit(r"\S+")).alias("w")))
+    trimmed = F.transform("_s", lambda x: F.struct(F.xxhash64(F.trim(x, F.lit(BLANKS))).alias("h"), F.regexp_count(x, F.lit(f"[{CJK}]|[^\\s{CJK}]+")).alias("w")))
     s = s.filter(F.size("_s") >= run).select("doc_id", "_a", "_b", trimmed.alias("_s"))
     s = s.select("doc_id", "_a", "_b", "_s", F.posexplode("_s").alias("pos", "_x"))
     at = [F.get("_s", F.col("pos") + k) for k in range(run)]

@@ -60,6 +60,31 @@ def test_spans_catch_a_passage_and_name_its_source(spark, odd):
     assert got[10].n_removed == 0 and got[11].first_doc_ids == [10] and prose(3, 60)[:200] not in got[11].text
 
 
+def unmarked(seed, n):
+    rng = np.random.default_rng(seed)
+    return " ".join("".join(rng.choice(list("abcdefghijklmnoprstuvwy"), rng.integers(2, 8))) for _ in range(n))
+
+
+@pytest.mark.parametrize("before", range(12))
+def test_spans_catch_a_passage_in_mid_line(spark, before):
+    """Copies are cut alike whatever stands before them and after them."""
+    texts = [f"{unmarked(k + 100, n)} {unmarked(k, 60)} {unmarked(k + 200, 9)}.".lstrip() for k in range(20) for n in (0, before)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.n_removed for r in spans.dedup_spans(docs).collect()}
+    assert all(got[2 * k] == 0 and got[2 * k + 1] >= 3 for k in range(20))
+
+
+def test_spans_ignore_white_space_and_read_wide_marks(spark):
+    three = ["Here are the first words.", "And then come some others.", "At last these end it."]
+    wide = "我们今天去公园玩。天气一直很好！你明天也去吗？"
+    texts = [" ".join(three) + "\nMore", " ".join(three) + " Other", " ".join(three), wide, "他说" + "。" + wide + "好"]
+    got = {r.doc_id: r for r in spans.dedup_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[k].n_removed for k in range(5)] == [0, 3, 3, 0, 3] and got[4].text == "他说。好"
+    long_text = "".join(chr(0x4E00 + int(k)) for k in np.random.default_rng(3).integers(0, 20000, 60))
+    got = spark.createDataFrame([(long_text,)], "text string").select(spans.sentences("text").alias("s")).first().s
+    assert len(got) >= 4 and "".join(got) == long_text
+
+
 def test_spans_on_an_empty_table(none):
     assert spans.dedup_spans(none).count() == 0
 
