@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from foldscope.runtime import cut
 
 # HTML's element classes and the words by which pages name their parts.
-SILENT = "script style noscript template iframe svg math canvas audio video object embed map textarea select datalist button title".split()
+SILENT = "script style noscript template iframe svg math canvas audio video object map textarea select datalist button title".split()
+# Those whose text has no tags, so that only their own end tag or the page's end ends them; those that nest; foreign ones that may close themselves.
+RAW, NESTED, FOREIGN = set("script style title textarea".split()), set("object template svg".split()), set("svg math".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -41,6 +43,7 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 SPACE = re.compile(r"\s+")
+BLOCK_TAG = re.compile(r"</?(?:" + "|".join(sorted(BLOCK - {"option"}, key=len, reverse=True)) + r")(?=[\s/>])", re.I)
 # Best containers a page votes for, and the share of its own best score at which a page follows its host.
 VOTES, FOLLOW = 3, 0.25
 
@@ -80,6 +83,29 @@ def _apart(tag: str, attrs: dict[str, str], inside_main: bool) -> bool:
     return not APART_WORDS.isdisjoint(words)
 
 
+def _silent_end(source: str, at: int, tag: str, parent: str) -> int:
+    """Where a silent element that starts before ``at`` ends: after its end tag, or where that is missing before the
+    parent's end or the next element of its kind, at the next block."""
+    if tag in RAW:
+        end = re.compile(rf"</{tag}\s*[^>]*>", re.I).search(source, at)
+        return end.end() if end else len(source)
+    open_here = {tag: 1, parent: 1}
+    for m in re.compile(rf"<(/?)({tag}|{re.escape(parent)})(?=[\s/>])[^>]*>", re.I).finditer(source, at):
+        name = m[2].lower()
+        if name == tag and not m[1] and tag not in NESTED:
+            break
+        if not (name in FOREIGN and m[0].endswith("/>")):
+            open_here[name] += -1 if m[1] else 1
+        if not open_here[tag]:
+            return m.end()
+        if not open_here[parent]:
+            break
+    else:
+        m = None
+    block = BLOCK_TAG.search(source, at)
+    return min(m.start() if m else len(source), block.start() if block else len(source))
+
+
 def parse(source: str) -> Page:
     """Blocks of text in page order, each with its innermost container; unclosed tags are closed where HTML closes them."""
     page = Page([Node("#", "", -1, False, False)])
@@ -108,8 +134,9 @@ def parse(source: str) -> Page:
             break
         at = m.end()
         if m["silent"]:
-            end = re.compile(rf"</{m['silent']}\s*[^>]*>", re.I).search(source, at)
-            at = end.end() if end else len(source)
+            silent = m["silent"].lower()
+            if not (silent in FOREIGN and m[0].endswith("/>")):
+                at = _silent_end(source, at, silent, open_at[-1][1])
             continue
         if not m["tag"]:
             continue

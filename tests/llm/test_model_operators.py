@@ -162,6 +162,14 @@ def test_hosts_agree(spark):
     assert html_main.main_text(table).count() == len(pages) and html_main.main_text(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("silent", ["<embed src=a>", "<svg viewBox='0 0 1 1'/>", "<math/>", "<button>Menu", "<object data=a>", "<video src=a>", "<canvas>", "<map name=m>", "<svg><svg/>x</svg>", "<button>a<p>b</p></button>"])
+def test_silent_elements_end(silent):
+    """What has no end tag doesn't take the rest of the page along."""
+    page = f"<body><div>{silent}</div><article><p>First text.</p><div>{silent}</div><p>Second text.</p></article></body>"
+    assert html_main.extract(page) == "First text.\n\nSecond text."
+    assert html_main.extract(f"<body>{silent}<p>First text.</p>{silent}<p>Second text.</p>") == "First text.\n\nSecond text."
+
+
 # --- classifiers
 
 
