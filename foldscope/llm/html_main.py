@@ -56,6 +56,7 @@ class Node:
     apart: bool
     favoured: bool
     text: float = 0.0
+    named: bool = False  # apart by its class or id words or as a form, which a wrapper of the page may be as well
 
 
 @dataclass
@@ -71,9 +72,15 @@ def _step(tag: str, attrs: dict[str, str]) -> str:
 
 
 def _apart(tag: str, attrs: dict[str, str], inside_main: bool) -> bool:
-    if tag in APART_TAGS or (tag == "header" and not inside_main) or "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in APART_ROLES:
+    """Whether an element is apart for what it is."""
+    if tag in APART_TAGS - {"form"} or (tag == "header" and not inside_main) or "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in APART_ROLES - {"form"}:
         return True
-    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", "")):
+    return bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", "")))
+
+
+def _named_apart(tag: str, attrs: dict[str, str], inside_main: bool) -> bool:
+    """Whether an element is a form or is called like a part that is apart."""
+    if tag == "form" or attrs.get("role", "").lower() == "form":
         return True
     if tag in ("html", "body", "main", "article", "h1"):
         return False
@@ -83,6 +90,44 @@ def _apart(tag: str, attrs: dict[str, str], inside_main: bool) -> bool:
     return not APART_WORDS.isdisjoint(words)
 
 
+def _settle(page: Page) -> None:
+    """Passes ``apart`` down the page.
+
+    A named part that holds main, the page's longest article or most of the page's prose (half of it if it is a form or
+    is called like the main part too, else four fifths) is a wrapper, not apart. If then no prose is left, names don't
+    count at all.
+    """
+    nodes = page.nodes
+    if any(n.named for n in nodes):
+        prose, total = [0] * len(nodes), 0
+        for at, text, linked, _ in page.blocks:
+            up, size = at, len(text) if 2 * linked < len(text) else 0
+            while up >= 0 and not nodes[up].apart:
+                up = nodes[up].parent
+            if up < 0:
+                total += size
+                while at >= 0:
+                    prose[at] += size
+                    at = nodes[at].parent
+        articles = [k for k, n in enumerate(nodes) if n.tag == "article" and prose[k]]
+        longest = max(articles, key=lambda k: prose[k], default=0)
+        keep = {k for k, n in enumerate(nodes) if n.tag == "main" and prose[k]} | ({longest} if 4 * prose[longest] >= total else set()) - {0}
+        wrappers = set()
+        for k in keep:
+            while k >= 0:
+                wrappers.add(k)
+                k = nodes[k].parent
+        for k, n in enumerate(nodes):
+            if n.named and (k in wrappers or total and not keep and prose[k] >= (0.5 if n.favoured or n.tag == "form" else 0.8) * total):
+                n.named = False
+    strong = [n.apart for n in nodes]
+    for names in (True, False):
+        for n, own in zip(nodes, strong, strict=True):
+            n.apart = own or names and n.named or n.parent >= 0 and nodes[n.parent].apart
+        if any(not nodes[at].apart and 2 * linked < len(text) for at, text, linked, _ in page.blocks):
+            break
+
+
 def _silent_end(source: str, at: int, tag: str, parent: str) -> int:
     """Where a silent element that starts before ``at`` ends: after its end tag, or where that is missing before the
     parent's end or the next element of its kind, at the next block."""
@@ -167,12 +212,12 @@ def parse(source: str) -> Page:
         attrs = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(m["attrs"])} if m["attrs"].strip() else {}
         up = nodes[open_at[-1][0]]
         inside = any(t in ("article", "main") for _, t in open_at)
-        apart = up.apart or _apart(tag, attrs, inside)
         words = re.findall(r"[a-z]+", f"{attrs.get('class', '')} {attrs.get('id', '')}".lower())
         favoured = tag in ("article", "main") or attrs.get("role") in ("main", "article") or not MAIN_WORDS.isdisjoint(words)
-        nodes.append(Node(tag, f"{up.path}>{_step(tag, attrs)}" if up.path else _step(tag, attrs), open_at[-1][0], apart, favoured))
+        nodes.append(Node(tag, f"{up.path}>{_step(tag, attrs)}" if up.path else _step(tag, attrs), open_at[-1][0], _apart(tag, attrs, inside), favoured, named=_named_apart(tag, attrs, inside)))
         open_at.append((len(nodes) - 1, tag))
     flush()
+    _settle(page)
     return page
 
 

@@ -170,6 +170,14 @@ def test_silent_elements_end(silent):
     assert html_main.extract(f"<body>{silent}<p>First text.</p>{silent}<p>Second text.</p>") == "First text.\n\nSecond text."
 
 
+@pytest.mark.parametrize("wrapper", ['div class="layout has-sidebar"', 'div class="content no-ads"', "form action=/", 'div id="sidebar"'])
+@pytest.mark.parametrize("inner", ["article", "div", "main"])
+def test_wrappers_are_not_apart(wrapper, inner):
+    side = "<div class='sidebar'><p>Aside.</p></div>"
+    page = f"<body><{wrapper}><{inner}><p>{'main text ' * 20}</p></{inner}>{side}</{wrapper.split()[0]}></body>"
+    assert html_main.extract(page) == ("main text " * 20).strip()
+
+
 # --- classifiers
 
 
