@@ -243,15 +243,32 @@ def scores(page: Page) -> list[tuple[float, int]]:
     return sorted(found, key=lambda x: (-x[0], -x[1]))
 
 
-def text_of(page: Page, node: int) -> str:
-    """Blocks under ``node`` outside menus, notices and the like, joined by an empty line."""
-    nodes, out = page.nodes, []
+def parts_of(page: Page, node: int) -> set[int]:
+    """``node`` with the containers that hold the rest of its text: all of its path, and where it is plain or named
+    like the main part, its neighbours of that sort and those of its ancestors."""
+    nodes = page.nodes
+    good = [n.tag in CONTAINER and not n.apart and n.text > 0 for n in nodes]
+    parts = {k for k, n in enumerate(nodes) if good[k] and n.path == nodes[node].path}
+    at = node
+    while at > 0 and nodes[at].tag not in ("article", "main", "body") and (nodes[at].favoured or _plain(nodes[at])):
+        parts |= {k for k, n in enumerate(nodes) if good[k] and n.parent == nodes[at].parent and (n.favoured or _plain(n))}
+        at = nodes[at].parent
+    return parts
+
+
+def _plain(node: Node) -> bool:
+    """Whether a container has no class names."""
+    return node.path.rpartition(">")[2] == node.tag
+
+
+def text_of(page: Page, wanted: int | set[int]) -> str:
+    """Blocks under ``wanted`` (a node or several) outside menus, notices and the like, joined by an empty line."""
+    nodes, out, held = page.nodes, [], []
+    wanted = {wanted} if isinstance(wanted, int) else wanted
+    for k, n in enumerate(nodes):  # parents come before their children
+        held.append(k in wanted or n.parent >= 0 and held[n.parent])
     for at, text, _, _ in page.blocks:
-        if nodes[at].apart:
-            continue
-        while at > node:  # parents come before their children
-            at = nodes[at].parent
-        if at == node:
+        if held[at] and not nodes[at].apart:
             out.append(text)
     return "\n\n".join(out)
 
@@ -268,7 +285,7 @@ def extract(source: str | None, agreed: str | None = None) -> str:
         if page.nodes[k].path == agreed and score >= FOLLOW * best[0]:
             best = (score, k)
             break
-    return text_of(page, best[1])
+    return text_of(page, parts_of(page, best[1]))
 
 
 def host_of(url) -> F.Column:

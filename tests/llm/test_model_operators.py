@@ -178,6 +178,12 @@ def test_wrappers_are_not_apart(wrapper, inner):
     assert html_main.extract(page) == ("main text " * 20).strip()
 
 
+@pytest.mark.parametrize("one, two", [("div", "div"), ("section", "div"), ("div class=post", "div class=post"), ("div class=story", "section class=body-text"), ("article", "article")])
+def test_an_article_in_several_containers_is_kept_whole(one, two):
+    page = f"<body><{one}><p>{'first ' * 100}</p></{one.split()[0]}><{two}><p>{'second ' * 60}</p></{two.split()[0]}></body>"
+    assert html_main.extract(page) == f"{('first ' * 100).strip()}\n\n{('second ' * 60).strip()}"
+
+
 # --- classifiers
 
 
