@@ -348,14 +348,19 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Documents without words (NULL, empty, only signs) are classes of their own. Rows that repeat an id and text
     are of one class and are all marked like their first.
     """
+    return _classes(docs, threshold).drop("worded")
+
+
+def _classes(docs: DataFrame, threshold: float) -> DataFrame:
+    """``classes`` with ``worded``: whether the text has words."""
     signed, comp = similar(docs, threshold)
     named = signed.select("doc_id", "_a", "_b", "content").join(comp, "content", "left")
     alone = F.concat(F.lit(b"-"), F.encode(F.concat_ws(",", F.col("_a").cast("string"), F.col("_b").cast("string")), "UTF-8"))
-    named = cut(named.select("doc_id", "_a", "_b", F.coalesce("comp", "content", alone).alias("comp")))
+    named = cut(named.select("doc_id", "_a", "_b", F.coalesce("comp", "content", alone).alias("comp"), F.col("content").isNotNull().alias("worded")))
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "_a", "_b")
     heads = named.groupBy("comp").agg(F.min(order).alias("_first"), F.count("*").alias("class_size"))
     first = (F.col("_a") == F.col("_first._a")) & (F.col("_b") == F.col("_first._b"))
-    return named.join(heads, "comp").select("doc_id", "_a", "_b", F.col("_first.doc_id").alias("class_id"), "class_size", first.alias("kept"))
+    return named.join(heads, "comp").select("doc_id", "_a", "_b", F.col("_first.doc_id").alias("class_id"), "class_size", first.alias("kept"), "worded")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -364,7 +369,7 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Of rows that repeat an id and text one stays, and documents without words all stay.
     """
     d = packed(docs, "doc_id", "text")
-    kept = cut(classes(d.select("doc_id", "text"), threshold).filter("kept").select("_a", "_b").distinct())
+    kept = cut(_classes(d.select("doc_id", "text"), threshold).filter("kept").select("_a", "_b", "worded").distinct())
     d = d.select("_row", *row_key("doc_id", "text")).join(kept, ["_a", "_b"])
     one = Window.partitionBy("_a", "_b").orderBy(F.xxhash64("_row"))
-    return d.withColumn("_n", F.row_number().over(one)).filter("_n = 1 or _row.text is null or not _row.text rlike '\\\\w'").select("_row.*")
+    return d.withColumn("_n", F.row_number().over(one)).filter("_n = 1 or not worded").select("_row.*")

@@ -201,6 +201,12 @@ def test_one_of_each_stays(odd, none):
     assert sorted(str(r.doc_id) for r in left.collect()) == sorted(map(str, [1, 4, 5, 6, 7, 8, None, None, 10, 11, 12, 13, 14, 15, 16, 17]))
 
 
+def test_one_of_each_stays_in_any_script(spark):
+    texts = ["我们今天去公园玩", "привет мир и всем", "مرحبا بالعالم", "!!! ..."]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts) for _ in range(3)], "doc_id long, text string")
+    assert counted(neardup.keep_one(docs).select("doc_id")) == {(0,): 1, (1,): 1, (2,): 1, (3,): 3}
+
+
 def test_bands_follow_similarity():
     """Share of agreeing draws is close to the weighted Jaccard."""
     rng = np.random.default_rng(5)
