@@ -107,12 +107,12 @@ def _(spark, d):
 def _(spark, d):
     v = bound(spark, d, "voxels")
     cc = C.connected_components(C.voxel_runs(v))
-    st = C.component_stats(cc).filter("voxel_count >= 4")
+    st = C.component_stats(cc)
     st = ranked(st, [F.col("unit"), F.col("cc_id")], (), "donor").withColumn("donor", F.col("donor") - 1)
     lab = C.label_voxels(v.select("unit", "x", "y", "z"), cc).join(st.select("unit", "cc_id", "donor", "cx", "cy", "cz"), ["unit", "cc_id"])
     dn = lab.select("donor", *[(F.col(c) - F.rint(f"c{c}")).cast("int").alias(f"d{c}") for c in "xyz"])
-    t = v.select("unit").distinct().withColumn("n_pastes", K.n_pastes(0.9, 1.0, 3, 42, F.col("unit")))
-    return K.place_donors(t, C.border_band(v), dn, v, (50, 10, 55), attempts=8)
+    t = v.select("unit").distinct().withColumn("n_pastes", K.n_pastes(0.9, 1.0, 7, 42, F.col("unit")))
+    return K.place_donors(t, C.border_band(v), dn, v, (50, 10, 55))
 
 
 @query("k10_blend_donor", f"""{with_('voxels')}, s AS (SELECT unit, avg(v) AS m, stddev_pop(v) AS sd FROM voxels GROUP BY 1), g AS (SELECT avg(v) AS gm, stddev_pop(v) AS gs FROM voxels),

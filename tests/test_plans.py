@@ -70,3 +70,15 @@ def test_auroc_route_is_the_same_when_split(spark, sf):
     b = M.auroc(u, by=["fold"], limit=50).orderBy("fold").collect()
     assert [(r.fold, round(r.auroc, 9)) for r in a] == [(r.fold, round(r.auroc, 9)) for r in b]
     assert u.agg(F.count("*")).collect()[0][0] > 50
+
+
+def test_k9_tries_all_donors_attempts_and_pastes(spark, sf, monkeypatch):
+    from foldscope.plans import sampling_queries
+
+    seen = {}
+    monkeypatch.setattr(sampling_queries.K, "n_pastes", lambda p, s, most, *a: seen.update(most=most) or F.lit(0))
+    monkeypatch.setattr(sampling_queries.K, "place_donors", lambda t, b, dn, *a, attempts=50: seen.update(attempts=attempts, dn=dn))
+    import __spark_entry__
+
+    __spark_entry__.queries()["k9_place_donors"](spark, sf)
+    assert seen["attempts"] == 50 and seen["most"] == 7 and seen["dn"].groupBy("donor").count().filter("count < 4").limit(1).count() == 1
