@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldscope.llm import chat, decontaminate, html_main, mixing, neardup, quality, spans, tokens, topk, toxicity
+from foldscope.llm import audit, chat, decontaminate, html_main, infill, mixing, neardup, quality, sharding, spans, tokens, topk, toxicity
 from foldscope.llm.common import scratch, table
 
 QUERIES: dict = {}
@@ -148,3 +148,81 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return rows.select("doc_id", "p_text", "p_meta", "quality", F.col("good").alias("keep"))
+
+
+INFILL_SQL = r"""
+with t as (
+  select doc_id, coalesce(text, '') as text, sha256(concat('1:', doc_id::varchar)) as h, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as u from documents),
+d as (
+  select doc_id, text, u, len(u) as n, ('0x' || h[1:8])::bigint % (len(u) + 1) as x, ('0x' || h[9:16])::bigint % (len(u) + 1) as y,
+    case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or ('0x' || h[17:24])::bigint % 100 >= 90 then 'plain'
+      when ('0x' || h[25:32])::bigint % 100 < 20 then 'spm' else 'psm' end as form from t),
+p as (
+  select *, array_to_string(u[1:least(x, y)], '') as prefix, array_to_string(u[least(x, y) + 1:greatest(x, y)], '') as middle, array_to_string(u[greatest(x, y) + 1:], '') as suffix from d)
+select doc_id, n::bigint as n, form, case when form <> 'plain' then length(prefix) end as prefix_chars, case when form <> 'plain' then length(middle) end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then concat('<P>', prefix, '<S>', suffix, '<M>', middle) else concat('<S>', suffix, '<P>', prefix, '<M>', middle) end) as output_sha256,
+  sha256(text) as restored_sha256
+from p
+"""
+
+
+@query("op11_fill_in_middle", INFILL_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(infill.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+AUDIT_SQL = r"""
+with t as (
+  select doc_id, coalesce(source, '') as part, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+l as (select doc_id, coalesce(bool_or(quality = 1), false) as good, coalesce(bool_or(toxic = 1), false) as toxic from labels group by doc_id),
+f as (
+  select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic, {'A': len(w) < 200, 'B': 100 * len(list_distinct(w)) < 50 * len(w),
+    'C': 100 * len(regexp_extract_all(text, '[A-Z]')) > 2 * length(text), 'D': regexp_matches(text, '[#$%&*|]'),
+    'E': coalesce(doc_id > min(doc_id) over (partition by text), false)} as m
+  from t left join l using (doc_id)),
+cells as (
+  select part, good, toxic, count(*) as n, concat(case when m.A then 'A' end, case when m.B then 'B' end, case when m.C then 'C' end, case when m.D then 'D' end, case when m.E then 'E' end) as fails
+  from f group by part, good, toxic, m),
+x as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+orders as (
+  select concat(a.x, b.x, c.x, d.x, e.x) as filter_order from x a, x b, x c, x d, x e where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps as (
+  select part, filter_order, step::int as step, good, toxic, n, fails, contains(fails, filter_order[step]) as bad, len(translate(filter_order[1:step - 1], fails, '')) < step - 1 as gone
+  from cells, orders, range(1, 6) r(step)),
+s as (
+  select part, filter_order, step, sum(case when not bad and not gone then n else 0 end)::bigint as kept, sum(case when bad and not gone then n else 0 end)::bigint as removed,
+    sum(case when bad and gone then n else 0 end)::bigint as redundant, sum(case when bad and len(fails) = 1 then n else 0 end)::bigint as unique_fails,
+    sum(case when bad and not gone and good then n else 0 end)::bigint as good_lost, sum(case when bad and not gone and toxic then n else 0 end)::bigint as toxic_lost
+  from steps group by all)
+select *, (sum(removed) over (partition by part, filter_order[step]))::bigint as shapley from s
+"""
+
+
+@query("op12_filter_audit", AUDIT_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+SHARDS_SQL = r"""
+with recursive poly as (
+  select i, i::ubigint as c, 0 as k from range(256) r(i)
+  union all select i, case when c % 2 = 1 then xor(c >> 1, 3988292384::ubigint) else c >> 1 end, k + 1 from poly where k < 8),
+crc as (select list(c order by i) as tab from poly where k = 8),
+d as (
+  select doc_id, coalesce(text, '') as text, coalesce(doc_id::varchar, '') as key from documents),
+w as (
+  select *, list_transform(range(41), lambda s: {'v': 1.0::double / -ln((('0x' || md5(concat(key, ':', s))[1:13])::bigint::double + 0.5) / 4503599627370496.0::double), 'i': -s}) as draws from d),
+p as (
+  select *, (-list_max(draws[1:40]).i)::int as shard, (-list_max(draws).i)::int as grown_shard from w)
+select doc_id, strlen(text) + 16 as size,
+  xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(regexp_extract_all(hex(text), '..'), lambda b: ('0x' || b)::ubigint)),
+    lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255::ubigint)::int + 1])), 4294967295::ubigint)::bigint as text_crc32,
+  'key' as law, shard, row_number() over (partition by shard order by md5(key), md5(text)) - 1 as slot, grown_shard
+from p, crc
+"""
+
+
+@query("op13_shards", SHARDS_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.placed(table(spark, sf_dir, "documents"), weights=[1] * 40, keep=["doc_id"])
+    return rows.select("row.doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
