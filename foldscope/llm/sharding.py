@@ -40,7 +40,7 @@ def placed(docs: DataFrame, weights: Sequence[float], grown: Sequence[float] | N
 
     The law is ``key``: doc_id and the shards decide; equal texts under different ids go their own ways. size is the
     UTF-8 bytes of the text plus ``OVERHEAD``. ``grown_shard`` is the shard under the weights ``grown`` (by default
-    one more shard of the first one's weight); it differs from shard only where it is a new one, if the old weights stay.
+    one more shard of the mean weight); it differs from shard only where it is a new one, if the old weights stay.
     ``slot`` numbers a shard's rows from 0 by md5 of the id, then md5 of the text; only rows equal in both may swap.
 
     NULL ids are one key; a NULL text is empty; rows under one id share a shard, as the law asks, and are numbered by
@@ -51,7 +51,7 @@ def placed(docs: DataFrame, weights: Sequence[float], grown: Sequence[float] | N
     """
     spark = docs.sparkSession
     weights = [float(w) for w in weights]
-    grown = [*weights, weights[0]] if grown is None else [float(w) for w in grown]
+    grown = [*weights, sum(weights) / max(len(weights), 1)] if grown is None else [float(w) for w in grown]
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in (keep or docs.columns)]).alias("row"), F.col("doc_id").cast("string").alias("_id"), F.col("text").alias("_text"))
     key, text = F.coalesce("_id", F.lit("")), F.coalesce("_text", F.lit(""))
     d = d.select(
