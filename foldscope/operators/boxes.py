@@ -1,9 +1,7 @@
 """Box operators: geometry, pair joins, suppression, fusion and matching.
 
-Order-dependent steps run in two forms with the same result. Slices of at most
-``FOLD_ROWS`` boxes are folded inside one sorted array on the JVM. Larger slices
-go through rounds of joins and map-side combined aggregates in which every box
-that has no undecided stronger rival is settled at once.
+Order-dependent steps work on the graph of boxes that overlap, not on slices: suppression and matching run in rounds
+of joins in which every box without an undecided stronger rival is settled at once, fusion by independent groups.
 """
 
 from __future__ import annotations
@@ -14,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldscope import runtime
+from foldscope.operators.components import graph_labels
 from foldscope.operators.ordering import ranked, top_by
 
 IN_PLANE_MM = 0.82
@@ -91,30 +90,105 @@ def affine_boxes(boxes: DataFrame, theta: Column, scale: Column, tx: Column, tz:
 # --- pair join ----------------------------------------------------------------------------------
 
 
-def _tiles(tile: float) -> tuple[Column, Column]:
-    span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / tile), F.floor(F.col(hi) / tile))
-    return span("x1", "x2"), span("z1", "z2")
+def _cells(rows: DataFrame, size: float) -> DataFrame:
+    """A copy of each box for every grid cell of side ``size`` that it touches."""
+    span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / F.lit(size)), F.floor(F.col(hi) / F.lit(size))))
+    return rows.select("*", span("x1", "x2").alias("_cx")).select("*", span("z1", "z2").alias("_cz"))
 
 
-def overlap_pairs(a: DataFrame, b: DataFrame, key: Sequence[str] = ("unit", "slice_y"), tile: float = 64.0) -> DataFrame:
-    """Overlapping geometry pairs ``(key, a, b, iou, na, nb)`` of two box tables.
+def _dealt(rows: DataFrame, key: list[str], tile: float, limit: int) -> DataFrame:
+    """Rows of both sides (``_side`` 0 or 1) dealt to leaf cells ``_lv, _cx, _cz`` and shares ``_sh`` of a cell.
 
-    Equal geometries are one row with a count, and the equi-join key includes a
-    spatial tile, so neither copies nor one crowded slice square the work.
+    A cell is split into quadrants while more than ``limit`` boxes of both sides meet in it and most of them are
+    smaller than it. Both sides follow the same table of split cells, so two boxes that overlap meet in the leaf that
+    holds the lower corner of their intersection. Where boxes are too large for smaller cells to part them, the
+    longer side is dealt out to shares and the shorter one copied to each. Cells without one side hold no pair.
     """
-    def side(df, name, count):
-        g = df.groupBy(*key, *XY).agg(F.count("*").alias(count))
-        tx, tz = _tiles(tile)
-        g = g.select("*", F.explode(tx).alias("_tx")).select("*", F.explode(tz).alias("_tz"))
-        return g.select(*key, "_tx", "_tz", F.struct(*XY).alias(name), count)
-
-    j = runtime.join_groups(side(a, "a", "na"), side(b, "b", "nb"), [*key, "_tx", "_tz"])
+    cell = [*key, "_cx", "_cz"]
+    size, level, done = float(tile), 0, None
+    todo = _cells(rows, size)
+    while True:
+        wide = (F.col("x2") - F.col("x1") >= size) & (F.col("z2") - F.col("z1") >= size)
+        met = todo.groupBy(*cell).agg(
+            F.sum(F.lit(1) - F.col("_side")).alias("_na"), F.sum("_side").alias("_nb"), F.sum(F.when(wide, 1).otherwise(0)).alias("_wide"))
+        crowded = runtime.cut(met.filter((F.col("_na") > 0) & (F.col("_nb") > 0) & (F.col("_na") + F.col("_nb") > limit)))
+        if crowded.isEmpty():
+            last = todo.select("*", F.lit(level).alias("_lv"), F.lit(0).alias("_sh"))
+            return last if done is None else done.unionByName(last)
+        split = F.col("_wide") * 2 <= F.col("_na") + F.col("_nb")
+        shares = F.ceil(F.greatest("_na", "_nb") / F.lit(limit)).cast("int")
+        flags = crowded.select(*cell, split.alias("_split"), F.when(~split, shares).alias("_shares"), (F.col("_nb") > F.col("_na")).cast("int").alias("_long"))
+        seen = runtime.join_groups(todo, flags, cell, "left").withColumn("_split", F.coalesce("_split", F.lit(False)))
+        own = F.array(F.pmod(F.xxhash64(*XY), F.col("_shares")).cast("int"))
+        every = F.sequence(F.lit(0), F.col("_shares") - 1)
+        share = F.when(F.col("_shares").isNull(), F.array(F.lit(0))).when(F.col("_side") == F.col("_long"), own).otherwise(every)
+        leaf = seen.filter(~F.col("_split")).select(*todo.columns, F.lit(level).alias("_lv"), F.explode(share).alias("_sh"))
+        done = leaf if done is None else done.unionByName(leaf)
+        if flags.filter("_split").isEmpty():
+            return done
+        # Quadrants of the split cells that the box touches.
+        parent = [F.col(c).alias(f"_p{c}") for c in ("_cx", "_cz")]
+        rest = seen.filter("_split").select(*[c for c in todo.columns if c not in ("_cx", "_cz")], *parent)
+        size, level = size / 2, level + 1
+        todo = runtime.cut(_quadrants(rest, size).drop("_p_cx", "_p_cz"))
+
+
+def _quadrants(rows: DataFrame, size: float) -> DataFrame:
+    """A copy of each row for those of the four quadrants of its parent cell (``_p_cx``, ``_p_cz``) that its box touches."""
+    for c, lo, hi in (("_cx", "x1", "x2"), ("_cz", "z1", "z2")):
+        first = F.greatest(F.floor(F.col(lo) / F.lit(size)), 2 * F.col(f"_p{c}"))
+        last = F.least(F.floor(F.col(hi) / F.lit(size)), 2 * F.col(f"_p{c}") + 1)
+        rows = rows.select("*", F.explode(F.sequence(first, last)).alias(c))
+    return rows
+
+
+def pair_join(a: DataFrame, b: DataFrame, key: Sequence[str] = ("unit", "slice_y"), tile: float = 64.0, limit: int | None = None) -> DataFrame:
+    """Pairs of overlapping boxes ``(key, a, b, iou)``; ``a`` and ``b`` are structs of the columns other than the key.
+
+    The equi-join key is a cell of a grid that adapts to the boxes (see ``_dealt``), so neither a crowded slice nor a
+    crowded spot is one task. A pair that meets in several cells is kept only in the one that holds the lower corner
+    of its intersection. Boxes without area overlap nothing.
+    """
+    key = list(key)
+    limit = runtime.CELL_BOXES if limit is None else limit
+    have = [[c for c in side.columns if c not in key] for side in (a, b)]
+    rows = [
+        side.filter("x2 > x1 and z2 > z1").select(*key, *XY, F.struct(*cols).alias(name), F.lit(None).cast(_struct_of(other, theirs)).alias(empty), F.lit(n).alias("_side"))
+        for n, (side, cols, name, other, theirs, empty) in enumerate(((a, have[0], "a", b, have[1], "b"), (b, have[1], "b", a, have[0], "a")))
+    ]
+    both = runtime.cut(_wide_xy(rows[0], rows[1]))
+    dealt = _dealt(both, key, tile, limit)
+    on = [*key, "_lv", "_cx", "_cz", "_sh"]
+    j = runtime.join_groups(dealt.filter("_side = 0").select(*on, "a"), dealt.filter("_side = 1").select(*on, "b"), on)
     A, B = F.col("a"), F.col("b")
     lo_x, lo_z = F.greatest(A["x1"], B["x1"]), F.greatest(A["z1"], B["z1"])
     meet = (lo_x < F.least(A["x2"], B["x2"])) & (lo_z < F.least(A["z2"], B["z2"]))
-    # A pair sharing several tiles is kept only in the tile of its intersection's lower corner.
-    home = (F.floor(lo_x / tile) == F.col("_tx")) & (F.floor(lo_z / tile) == F.col("_tz"))
-    return j.filter(meet & home).select(*key, "a", "b", iou(A, B).alias("iou"), "na", "nb")
+    size = F.lit(float(tile)) / F.pow(F.lit(2.0), F.col("_lv"))
+    home = (F.floor(lo_x / size) == F.col("_cx")) & (F.floor(lo_z / size) == F.col("_cz"))
+    return j.filter(meet & home).select(*key, "a", "b", iou(A, B).alias("iou"))
+
+
+def _struct_of(df: DataFrame, cols: Sequence[str]):
+    return df.select(F.struct(*cols).alias("s")).schema["s"].dataType
+
+
+def _wide_xy(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Union of both sides; coordinates of different types become doubles."""
+    if [a.schema[c].dataType for c in XY] != [b.schema[c].dataType for c in XY]:
+        a, b = (t.withColumns({c: F.col(c).cast("double") for c in XY}) for t in (a, b))
+    return a.unionByName(b)
+
+
+def overlap_pairs(a: DataFrame, b: DataFrame, key: Sequence[str] = ("unit", "slice_y"), tile: float = 64.0, limit: int | None = None) -> DataFrame:
+    """Overlapping geometry pairs ``(key, a, b, iou, na, nb)`` of two box tables.
+
+    Equal geometries are one row with a count, and pairs meet by ``pair_join``, so neither copies nor one crowded
+    spot square the work of a task.
+    """
+    side = lambda df: df.groupBy(*key, *XY).agg(F.count("*").alias("n"))
+    j = pair_join(side(a), side(b), key, tile, limit)
+    plain = lambda s: F.struct(*[F.col(f"{s}.{c}") for c in XY])
+    return j.select(*key, plain("a").alias("a"), plain("b").alias("b"), "iou", F.col("a.n").alias("na"), F.col("b.n").alias("nb"))
 
 
 def iou_join(a: DataFrame, b: DataFrame, key=("unit", "slice_y"), min_iou: float = 0.0, tile: float = 64.0) -> DataFrame:
@@ -131,260 +205,162 @@ def max_iou(events: DataFrame, gt: DataFrame, key=("unit", "slice_y"), tile: flo
 # --- suppression --------------------------------------------------------------------------------
 
 
-def _split_by_size(df: DataFrame, key: Sequence[str], limit: int):
-    """(rows of small groups, rows of large groups or None), by a counted bound.
-
-    The rows are written once, because the count and the work both read them.
-    """
-    df = runtime.cut(df)
-    sizes = df.groupBy(*key).agg(F.count("*").alias("_n"))
-    hot = runtime.cut(sizes.filter(F.col("_n") > limit).select(*key))
-    if hot.isEmpty():
-        return df, None
-    return runtime.join_groups(df, hot, key, "left_anti"), runtime.join_groups(df, hot, key, "left_semi")
-
-
-def nms(
-    boxes: DataFrame, iou_thr: float = 0.5, max_per: int | None = None, key=("unit", "slice_y"), closed: bool = False,
-    fold_rows: int | None = None,
-) -> DataFrame:
+def nms(boxes: DataFrame, iou_thr: float = 0.5, max_per: int | None = None, key=("unit", "slice_y"), closed: bool = False) -> DataFrame:
     """Greedy suppression, best score first; drops boxes with IoU > thr (>= when ``closed``) to a kept one.
 
     Ties are broken by coordinates. Of equal geometries with an area only the strongest can
     survive, so such copies collapse first; boxes without area overlap nothing and stay, each of them.
     ``max_per`` keeps the strongest survivors. A NULL key is a group.
+
+    Boxes that overlap so far are joined once, the stronger to the weaker. In every round the boxes that no undecided
+    stronger one overlaps are kept and what they overlap goes, so a slice or heap of any size is settled by many tasks.
     """
-    limit = runtime.FOLD_ROWS if fold_rows is None else fold_rows
+    key = list(key)
     over = (lambda v: v >= iou_thr) if closed else (lambda v: v > iou_thr)
     strongest = [F.col("score").desc(), *[F.col(c) for c in XY]]
     rows = boxes.select(*key, *XY, "score")
+    best = lambda out: ranked(out, strongest, key, "_rk").filter(F.col("_rk") <= max_per).drop("_rk") if max_per else out
     if iou_thr > 1 or (iou_thr == 1 and not closed):  # no overlap is that large
-        return ranked(rows, strongest, key, "_rk").filter(F.col("_rk") <= max_per).drop("_rk") if max_per else rows
+        return best(rows)
     if iou_thr < 0 or (iou_thr == 0 and closed):  # every overlap is, even none
-        return top_by(rows, list(key), [-F.col("score"), *[F.col(c) for c in XY]]).select(*key, *XY, "score")
+        return top_by(rows, key, [-F.col("score"), *[F.col(c) for c in XY]]).select(*key, *XY, "score")
     empty = area(F.struct(*XY)) <= 0
-    flat = rows.filter(empty)
     uniq = rows.filter(~empty).groupBy(*key, *XY).agg(F.max("score").alias("score"))
-    small, hot = _split_by_size(uniq, key, limit)
-
-    row = F.struct((-F.col("score")).alias("k"), *XY, "score")
-    arrays = small.groupBy(*key).agg(F.array_sort(F.collect_list(row)).alias("bs"))
-    none = F.filter("bs", lambda _: F.lit(False))
-    room = (lambda acc: F.size(acc) < max_per) if max_per else (lambda acc: F.lit(True))
-    kept = F.aggregate(
-        "bs", none,
-        lambda acc, b: F.when(room(acc) & ~F.exists(acc, lambda k: over(iou(k, b))), F.array_append(acc, b)).otherwise(acc),
-    )
-    out = arrays.select(*key, F.inline(kept)).select(*key, *XY, "score").unionByName(flat)
-    if hot is not None:
-        out = out.unionByName(_nms_rounds(hot, list(key), iou_thr, over))
-    return ranked(out, strongest, key, "_rk").filter(F.col("_rk") <= max_per).drop("_rk") if max_per else out
-
-
-def _nms_rounds(df: DataFrame, key: list[str], thr: float, over) -> DataFrame:
-    """Suppression in rounds over size-classed grid cells.
-
-    A cell holds boxes of one size class whose centres share a grid square. Each
-    round takes the strongest undecided box of every cell, keeps those not beaten
-    by a cell within reach, and drops what they suppress. No pair list is built.
-    """
-    side = lambda lo, hi: F.greatest(F.col(hi) - F.col(lo), F.lit(1e-9)).cast("double")
-    cls = lambda s: F.floor(F.log2(s)).cast("int")
-    df = df.withColumns({"_sx": cls(side("x1", "x2")), "_sz": cls(side("z1", "z2"))})
-    step = lambda s: F.pow(F.lit(2.0), s + 1)
-    mid = lambda lo, hi: (F.col(lo) + F.col(hi)) / 2.0
-    df = df.withColumns({"_gx": F.floor(mid("x1", "x2") / step(F.col("_sx"))), "_gz": F.floor(mid("z1", "z2") / step(F.col("_sz")))})
-    cell = [*key, "_sx", "_sz", "_gx", "_gz"]
-    import math
-
-    reach = max(1, math.ceil(math.log2(1.0 / thr))) if thr > 0 else 12
-
-    def spread(tops: DataFrame) -> DataFrame:
-        """Copies of each box addressed to every cell that could hold a box above the overlap threshold."""
-        out = tops
-        for s, g, lo, hi in (("_sx", "_gx", "x1", "x2"), ("_sz", "_gz", "z1", "z2")):
-            out = out.withColumn("_s", F.explode(F.sequence(F.col(s) - reach, F.col(s) + reach)))
-            r = (F.col(hi) - F.col(lo)) / 2.0 + F.pow(F.lit(2.0), F.col("_s"))
-            lo_g, hi_g = F.floor((mid(lo, hi) - r) / step(F.col("_s"))), F.floor((mid(lo, hi) + r) / step(F.col("_s")))
-            out = out.withColumn("_g", F.explode(F.sequence(lo_g, hi_g))).withColumns({f"_t{s}": F.col("_s"), f"_t{g}": F.col("_g")}).drop("_s", "_g")
-        return out
-
-    prio = F.struct((-F.col("score")).alias("k"), *[F.col(c) for c in XY])
-    kept, todo = None, runtime.cut(df)
-    while not todo.isEmpty():
-        tops = runtime.cut(todo.groupBy(*cell).agg(F.min(prio).alias("_p")).select(*cell, "_p", *[F.col(f"_p.{c}").alias(c) for c in XY]))
-        reachd = spread(tops).select(*key, *[F.col(f"_t{c}").alias(c) for c in cell[len(key):]], F.col("_p").alias("_q"))
-        best = reachd.groupBy(*cell).agg(F.min("_q").alias("_q"))
-        win = runtime.cut(runtime.join_groups(tops, best, cell).filter(F.col("_p") == F.col("_q")).select(*cell, *XY, (-F.col("_p.k")).alias("score")))
-        kept = win if kept is None else kept.unionByName(win)
-        w = spread(win).select(*[F.col(k).alias(f"w_{k}") for k in key], *[F.col(f"_t{c}").alias(f"w{c}") for c in cell[len(key):]], F.struct(*XY).alias("_w"))
-        same = F.lit(True)
-        for k in key:
-            same = same & F.col(k).eqNullSafe(F.col(f"w_{k}"))
-        for c in cell[len(key):]:
-            same = same & (F.col(c) == F.col(f"w{c}"))
-        hit = over(iou(F.struct(*XY), F.col("_w"))) | (F.struct(*XY) == F.col("_w"))
-        todo = runtime.cut(todo.join(w, same & hit, "left_anti"))
-    return kept.select(*key, *XY, "score")
+    uniq = runtime.cut(uniq.withColumn("_v", F.monotonically_increasing_id()))
+    turn = lambda s: F.struct((-F.col(f"{s}.score")).alias("k"), *[F.col(f"{s}.{c}") for c in XY])
+    met = pair_join(uniq, uniq, key).filter((turn("a") < turn("b")) & over(F.col("iou")))
+    gone = _beaten(runtime.cut(met.select(F.col("a._v").alias("a"), F.col("b._v").alias("b"))))
+    return best(uniq.join(gone, "_v", "left_anti").select(*key, *XY, "score").unionByName(rows.filter(empty)))
+
+
+def _beaten(edges: DataFrame) -> DataFrame:
+    """Vertices ``_v`` that fall to a kept stronger one, where ``edges`` lead from the stronger ``a`` to the weaker ``b``."""
+    gone = None
+    while not edges.isEmpty():
+        kept = edges.select("a").distinct().join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        fall = runtime.cut(edges.join(kept, "a", "left_semi").select(F.col("b").alias("_v")).distinct())
+        gone = fall if gone is None else gone.unionByName(fall)
+        left = edges.join(fall, F.col("a") == F.col("_v"), "left_anti").join(fall, F.col("b") == F.col("_v"), "left_anti")
+        edges = runtime.cut(left)
+    return edges.select(F.col("a").alias("_v")) if gone is None else gone
 
 
 # --- weighted fusion ----------------------------------------------------------------------------
 
 
-def wbf(
-    boxes: DataFrame, width: float, height: float, iou_thr: float = 0.4, skip: float = 0.001, key=("unit", "slice_y"),
-    n_models: int = 1, fold_rows: int | None = None,
-) -> DataFrame:
+def wbf(boxes: DataFrame, width: float, height: float, iou_thr: float = 0.4, skip: float = 0.001, key=("unit", "slice_y"), n_models: int = 1) -> DataFrame:
     """Weighted box fusion per slice: score-weighted coordinates, mean score.
 
     A box joins the cluster whose fused box overlaps it best (IoU > thr), else opens
     one. With several models the mean is scaled by min(models, members)/models.
+
+    Boxes only matter to each other within a group: the components of the graph of boxes that overlap by more than
+    the threshold. Fusion moves boxes, so the fused boxes of every group are checked against the boxes of the other
+    groups that come later in the order; groups that meet become one and are fused again, until none meet. A slice of
+    any size is so many groups as it has places; equal boxes are one row with a count. Within a group the order
+    decides, so a group is folded by one task.
     """
-    limit = runtime.FOLD_ROWS if fold_rows is None else fold_rows
+    key = list(key)
     clip = lambda c, hi: F.least(F.greatest(F.col(c).cast("double"), F.lit(0.0)), F.lit(float(hi)))
     src = boxes.filter(F.col("score") >= skip).withColumns(
         {"x1": clip("x1", width), "x2": clip("x2", width), "z1": clip("z1", height), "z2": clip("z2", height), "score": F.col("score").cast("double")}
     ).filter("x2 > x1 and z2 > z1").select(*key, *XY, "score")
-    small, hot = _split_by_size(src, key, limit)
-
-    row = F.struct((-F.col("score")).alias("k"), *XY, "score")
-    arrays = small.groupBy(*key).agg(F.array_sort(F.collect_list(row)).alias("bs"))
-    fused = arrays.select(*key, F.inline(F.aggregate("bs", _no_clusters(), lambda acc, b: _fuse(acc, b, iou_thr))))
-    if hot is not None:
-        fused = fused.unionByName(_wbf_stream(hot, list(key), iou_thr))
+    fused = _fused(src, key, float(iou_thr))
     scale = F.least(F.col("n"), F.lit(n_models)) / F.lit(float(n_models))
     return fused.select(*key, *XY, (F.col("sw") / F.col("n") * scale).alias("score"), F.col("n").cast("long").alias("n_boxes"))
 
 
-CLUSTER = "struct<x1:double,z1:double,x2:double,z2:double,sw:double,wx1:double,wz1:double,wx2:double,wz2:double,n:int>"
-
-
-def _no_clusters() -> Column:
-    return F.array().cast(f"array<{CLUSTER}>")
+CLUSTER = "struct<x1:double,z1:double,x2:double,z2:double,sw:double,wx1:double,wz1:double,wx2:double,wz2:double,n:bigint>"
+MOVED = "struct<x1:double,z1:double,x2:double,z2:double,at:struct<k:double,x1:double,z1:double,x2:double,z2:double>>"
+
+
+def _fused(src: DataFrame, key: list[str], thr: float) -> DataFrame:
+    """Clusters (see ``CLUSTER``) of each slice of ``src``."""
+    names = [f.split(":")[0] for f in CLUSTER[7:-1].split(",")]
+    if thr < 0:  # every box joins the first cluster
+        sums = src.groupBy(*key).agg(F.sum("score").alias("sw"), *[F.sum(F.col("score") * F.col(c)).alias(f"w{c}") for c in XY], F.count("*").alias("n"))
+        return sums.withColumns({c: F.col(f"w{c}") / F.col("sw") for c in XY}).select(*key, *names)
+    if thr >= 1:  # none joins another
+        return src.withColumns({"sw": F.col("score"), "n": F.lit(1).cast("long"), **{f"w{c}": F.col("score") * F.col(c) for c in XY}}).select(*key, *names)
+    uniq = runtime.cut(src.groupBy(*key, *XY, "score").agg(F.count("*").alias("_m")))
+    places = runtime.cut(uniq.select(*key, *XY).distinct().withColumn("_v", F.monotonically_increasing_id()))
+    edges = pair_join(places, places, key).filter((F.col("iou") > thr) & (F.col("a._v") < F.col("b._v"))).select(F.col("a._v").alias("a"), F.col("b._v").alias("b"))
+    named = places.join(graph_labels(edges).select(F.col("v").alias("_v"), "lab"), "_v", "left").select(*key, *XY, F.coalesce("lab", "_v").alias("_c"))
+    rows = runtime.cut(runtime.join_groups(uniq, named, [*key, *XY]))
+    done, todo = None, rows
+    while True:
+        fresh = runtime.cut(_fold_groups(todo, key, thr))
+        moved = fresh.select(*key, "_c", F.inline("moved"))
+        last = rows.groupBy(*key, *XY, "_c").agg(F.max(_turn()).alias("at"))
+        met = pair_join(moved, last, key).filter((F.col("iou") > thr) & (F.col("a._c") != F.col("b._c")) & (F.col("a.at") < F.col("b.at")))
+        links = runtime.cut(met.select(F.col("a._c").alias("a"), F.col("b._c").alias("b")).distinct())
+        now = fresh.select(*key, "_c", "clusters")
+        done = now if done is None else done.unionByName(now)
+        if links.isEmpty():
+            return done.select(*key, F.inline("clusters"))
+        joined = runtime.cut(graph_labels(links).select(F.col("v").alias("_c"), "lab"))
+        done = runtime.cut(done.join(joined, "_c", "left_anti"))
+        rows = runtime.cut(rows.join(joined, "_c", "left").withColumn("_c", F.coalesce("lab", "_c")).drop("lab"))
+        todo = rows.join(joined.select(F.col("lab").alias("_c")).distinct(), "_c", "left_semi")
+
+
+def _turn() -> Column:
+    """A box's place in the order of fusion."""
+    return F.struct((-F.col("score")).alias("k"), *XY)
+
+
+def _fold_groups(rows: DataFrame, key: list[str], thr: float) -> DataFrame:
+    """``clusters`` of every group ``_c`` and ``moved``: each fused box of two or more places, with the turn that made it."""
+    box = F.struct(_turn().alias("at"), *XY, "score", "_m")
+    start = F.struct(F.array().cast(f"array<{CLUSTER}>").alias("clusters"), F.array().cast(f"array<{MOVED}>").alias("moved"))
+    folded = F.aggregate("bs", start, lambda acc, b: _fuse(acc, b, thr))
+    groups = rows.groupBy(*key, "_c").agg(F.array_sort(F.collect_list(box)).alias("bs"))
+    return groups.select(*key, "_c", folded.alias("_f")).select(*key, "_c", "_f.clusters", "_f.moved")
 
 
 def _fuse(acc: Column, b: Column, thr: float) -> Column:
-    """One fold step: the cluster list after box ``b``."""
-    s = b["score"]
+    """One fold step: clusters and moved boxes after the copies of box ``b``. Once its first copy is in, the others overlap that cluster best."""
+    clusters, s = acc["clusters"], b["score"] * b["_m"]
 
     def cluster(base):
         sw = base["sw"] + s if base is not None else s
         cols = {"sw": sw}
         for c in XY:
             cols[f"w{c}"] = (base[f"w{c}"] + s * b[c]) if base is not None else s * b[c]
-        n = base["n"] + 1 if base is not None else F.lit(1)
+        n = base["n"] + b["_m"] if base is not None else b["_m"]
         xy = [(cols[f"w{c}"] / sw).alias(c) for c in XY] if base is not None else [b[c].alias(c) for c in XY]
         return F.struct(*xy, sw.alias("sw"), *[cols[f"w{c}"].alias(f"w{c}") for c in XY], n.alias("n")).cast(CLUSTER)
 
     # Best cluster: highest IoU, the earliest on ties.
-    best = F.array_max(F.transform(acc, lambda c, i: F.struct(iou(c, b).alias("v"), (-i).alias("i"))))
-    grown = F.transform(acc, lambda c, i: F.when(i == -best["i"], cluster(c)).otherwise(c))
-    return F.when(best["v"] > thr, grown).otherwise(F.array_append(acc, cluster(None)))
-
-
-def _wbf_stream(df: DataFrame, key: list[str], thr: float) -> DataFrame:
-    """Same fold for slices beyond the array bound: rows arrive sorted in Arrow batches and
-    only the clusters stay in memory, so a slice of any length passes through whole."""
-    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = df.repartition(n_parts, *key).sortWithinPartitions(*key, F.col("score").desc(), *XY)
-    types = dict(ordered.dtypes)
-    schema = ", ".join([f"{k} {types[k]}" for k in key]) + ", x1 double, z1 double, x2 double, z2 double, sw double, wx1 double, wz1 double, wx2 double, wz2 double, n int"
-    cols = ["x1", "z1", "x2", "z2", "sw", "wx1", "wz1", "wx2", "wz2", "n"]
-
-    def run(batches):
-        import numpy as np
-        import pandas as pd
-
-        current, state, size = None, np.empty((64, 10)), 0
-
-        def emit():
-            out = pd.DataFrame(state[:size].copy(), columns=cols)
-            for i, k in enumerate(key):
-                out.insert(i, k, current[i])
-            out["n"] = out["n"].astype("int32")
-            return out
-
-        for pdf in batches:
-            keys = list(zip(*[pdf[k] for k in key]))
-            rows = pdf[[*XY, "score"]].to_numpy()
-            for kv, (x1, z1, x2, z2, s) in zip(keys, rows):
-                if kv != current:
-                    if current is not None:
-                        yield emit()
-                    current, size = kv, 0
-                c = state[:size]
-                w = np.maximum(np.minimum(c[:, 2], x2) - np.maximum(c[:, 0], x1), 0) * np.maximum(np.minimum(c[:, 3], z2) - np.maximum(c[:, 1], z1), 0)
-                v = w / ((c[:, 2] - c[:, 0]) * (c[:, 3] - c[:, 1]) + (x2 - x1) * (z2 - z1) - w)
-                best = int(np.argmax(v)) if size else -1
-                box = np.array([x1, z1, x2, z2])
-                if best >= 0 and v[best] > thr:
-                    state[best, 4] += s
-                    state[best, 5:9] += s * box
-                    state[best, :4] = state[best, 5:9] / state[best, 4]
-                    state[best, 9] += 1
-                else:
-                    if size == len(state):
-                        state = np.vstack([state, np.empty_like(state)])
-                    state[size] = [x1, z1, x2, z2, s, *(s * box), 1]
-                    size += 1
-        if current is not None:
-            yield emit()
-
-    return ordered.mapInPandas(run, schema)
-
-
-def ensemble(preds: DataFrame, width, height, iou_thr=0.4, skip=0.001, key=("unit", "slice_y"), model="model", per_model=False, n_models=1, **kw) -> DataFrame:
+    best = F.array_max(F.transform(clusters, lambda c, i: F.struct(iou(c, b).alias("v"), (-i).alias("i"))))
+    grown = F.transform(clusters, lambda c, i: F.when(i == -best["i"], cluster(c)).otherwise(c))
+    joins = best["v"] > thr
+    new = F.when(joins, grown).otherwise(F.array_append(clusters, cluster(None)))
+    now = F.get(grown, -best["i"])
+    moved = F.struct(*[now[c].alias(c) for c in XY], b["at"].alias("at")).cast(MOVED)
+    return F.struct(new.alias("clusters"), F.when(joins, F.array_append(acc["moved"], moved)).otherwise(acc["moved"]).alias("moved"))
+
+
+def ensemble(preds: DataFrame, width, height, iou_thr=0.4, skip=0.001, key=("unit", "slice_y"), model="model", per_model=False, n_models=1) -> DataFrame:
     """Fuse the boxes of several models per slice; ``per_model`` fuses each model's slice on its own."""
-    return wbf(preds, width, height, iou_thr, skip, [*key, model] if per_model else key, 1 if per_model else n_models, **kw)
+    return wbf(preds, width, height, iou_thr, skip, [*key, model] if per_model else key, 1 if per_model else n_models)
 
 
 # --- matching -----------------------------------------------------------------------------------
 
 
-def tag_events(
-    pred: DataFrame, gt: DataFrame, iou_thr: float = 0.3, key=("unit", "slice_y"), tile: float = 64.0, fold_rows: int | None = None
-) -> DataFrame:
+def tag_events(pred: DataFrame, gt: DataFrame, iou_thr: float = 0.3, key=("unit", "slice_y"), tile: float = 64.0) -> DataFrame:
     """Greedy one-to-one matching: predictions in descending score take their best free box.
 
     Rows ``(key, tag, x1..z2, score, gt)``: ``tp`` and ``fp`` for predictions, ``fn`` for the rest.
     Ties go to the smaller coordinates, among copies to the lower copy number.
+
+    Rounds of mutual first choices over (prediction, ground-truth geometry) edges. All boxes rank predictions alike,
+    so a prediction that is within capacity of its first choice cannot be displaced; copies of a geometry are one
+    seat count, not many edges.
     """
-    limit = runtime.FOLD_ROWS if fold_rows is None else fold_rows
-    key = list(key)
-    both = pred.select(*key, *XY, F.col("score").cast("double").alias("score"), F.lit(1).alias("_p")).unionByName(
-        gt.select(*key, *XY, F.lit(None).cast("double").alias("score"), F.lit(0).alias("_p"))
-    )
-    small, hot = _split_by_size(both, key, limit)
-    box = F.struct((-F.col("score")).alias("k"), *XY, "score")
-    plain = F.struct(*XY)
-    arrays = small.groupBy(*key).agg(
-        F.array_sort(F.collect_list(F.when(F.col("_p") == 1, box))).alias("ps"), F.array_sort(F.collect_list(F.when(F.col("_p") == 0, plain))).alias("gs")
-    )
-    # State: the ground-truth index taken by each prediction so far, -1 for none.
-    def step(acc, p):
-        cand = F.transform("gs", lambda g, i: F.struct(F.when(F.array_contains(acc, i), F.lit(-1.0)).otherwise(iou(p, g)).alias("v"), (-i).alias("i")))
-        best = F.array_max(cand)
-        return F.array_append(acc, F.when((best["v"] >= iou_thr) & (best["v"] > 0), -best["i"]).otherwise(F.lit(-1)))
-
-    got = arrays.withColumn("m", F.aggregate("ps", F.array().cast("array<int>"), step))
-    tagged = F.transform("ps", lambda p, i: F.struct(
-        F.when(F.get("m", i) >= 0, "tp").otherwise("fp").alias("tag"), *[p[c].alias(c) for c in XY], p["score"].alias("score"),
-        F.when(F.get("m", i) >= 0, F.get("gs", F.get("m", i))).alias("gt")))
-    fn = F.transform(
-        F.filter(F.transform("gs", lambda g, i: F.struct(g.alias("g"), i.alias("i"))), lambda s: ~F.array_contains(F.col("m"), s["i"])),
-        lambda s: F.struct(F.lit("fn").alias("tag"), *[s["g"][c].alias(c) for c in XY], F.lit(None).cast("double").alias("score"), s["g"].alias("gt")))
-    out = got.select(*key, F.inline(F.concat(tagged, fn)))
-    if hot is None:
-        return out
-    return out.unionByName(_match_rounds(hot.filter("_p = 1"), hot.filter("_p = 0"), iou_thr, key, tile))
-
-
-def _match_rounds(pred: DataFrame, gt: DataFrame, thr: float, key: list[str], tile: float) -> DataFrame:
-    """The same matching by rounds of mutual first choices over (prediction, ground-truth geometry) edges.
-
-    All boxes rank predictions alike, so a prediction that is within capacity of its first
-    choice cannot be displaced; copies of a geometry are one seat count, not many edges.
-    """
+    key, thr = list(key), iou_thr
+    pred = pred.select(*key, *XY, F.col("score").cast("double").alias("score"))
     prio = [F.col("score").desc(), *[F.col(c) for c in XY], F.col("_c")]
     p = pred.groupBy(*key, *XY, "score").agg(F.count("*").alias("_m"))
     p = p.select("*", F.explode(F.sequence(F.lit(1), F.col("_m").cast("int"))).alias("_c"))

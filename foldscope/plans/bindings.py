@@ -35,6 +35,17 @@ FROM (SELECT l_suppkey AS unit, CAST(l_orderkey % 20 AS INT) AS slice_y,
       FROM lineitem) t
 GROUP BY unit, slice_y, x1, z1, w, h, score, is_pred"""
 
+# Every line of lineitem in four slices: heaps of boxes at places 36 apart, a third of them drawn so small that they
+# share one spot. ``slice_y`` is the slice plus 4 * place: no box of one place reaches another, so check SQL may go place
+# by place, while queries are only given the slice.
+BOXES_CROWDED = """
+SELECT unit, slice_y, x AS x1, z AS z1, x + w AS x2, z + h AS z2, score, is_pred, count(*) AS copies
+FROM (SELECT l_partkey % 2 AS unit, l_linenumber % 2 + 2 * (l_suppkey % 2) + 4 * CAST(floor(l_orderkey / 16e0) AS BIGINT) AS slice_y,
+             (floor(l_orderkey / 16e0) % 1000 * 36 + l_partkey % 12) * s AS x, (floor(l_orderkey / 16000e0) * 36 + l_suppkey % 12) * s AS z,
+             (8 + l_linenumber * 2) * s AS w, (8 + CAST(l_quantity AS INT) % 16) * s AS h, (l_extendedprice % 1000e0) / 1000e0 AS score, l_returnflag <> 'R' AS is_pred
+      FROM (SELECT *, CASE WHEN floor(l_orderkey / 16e0) % 3 = 0 THEN 0.0009765625e0 ELSE 1e0 END AS s FROM lineitem) l) t
+GROUP BY unit, slice_y, x, z, w, h, score, is_pred"""
+
 VOXELS = """
 SELECT l_suppkey AS unit, CAST(l_partkey % 50 AS INT) AS x, l_linenumber AS y, CAST(l_quantity AS INT) AS z,
        sum(CAST(round(l_extendedprice * 100e0) AS BIGINT)) / (100e0 * count(*)) AS v, count(*) AS copies
@@ -52,7 +63,7 @@ SELECT doc_id AS series, CAST(doc_id % 211 AS BIGINT) AS unit, source AS batch,
        CASE WHEN doc_id % 3 = 0 THEN 'FAT' ELSE 'WATER' END AS token, CASE WHEN doc_id % 4 = 0 THEN 'pos' ELSE 'neg' END AS cohort
 FROM documents"""
 
-BINDINGS = {"units": UNITS, "units_folds": UNITS_FOLDS, "units_small": UNITS_SMALL, "boxes": BOXES, "voxels": VOXELS, "steps": STEPS, "series": SERIES}
+BINDINGS = {"units": UNITS, "units_folds": UNITS_FOLDS, "units_small": UNITS_SMALL, "boxes": BOXES, "boxes_crowded": BOXES_CROWDED, "voxels": VOXELS, "steps": STEPS, "series": SERIES}
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"

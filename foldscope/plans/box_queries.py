@@ -102,8 +102,8 @@ def _(spark, d):
     return m.groupBy("unit", "slice_y").agg(F.count("*").alias("n"), F.round(F.sum("max_iou"), 6).alias("s"))
 
 
-def nms_sql(thr, op):
-    return f"""{with_('boxes', recursive=True)}, {SPLIT}, u AS (SELECT unit, slice_y, x1, z1, x2, z2, max(score) AS score FROM pred GROUP BY ALL),
+def nms_sql(thr, op, boxes=with_("boxes", recursive=True)):
+    return f"""{boxes}, {SPLIT}, u AS (SELECT unit, slice_y, x1, z1, x2, z2, max(score) AS score FROM pred GROUP BY ALL),
 b AS (SELECT *, row_number() OVER (PARTITION BY unit, slice_y ORDER BY score DESC, x1, z1, x2, z2) AS rn,
   {{'x1': x1, 'z1': z1, 'x2': x2, 'z2': z2, 'score': score}} AS bx FROM u),
 rec AS (SELECT unit, slice_y, rn, [bx] AS kept FROM b WHERE rn = 1
@@ -123,14 +123,14 @@ def _(spark, d):
     return B.nms(pred(spark, d), 0.5, closed=True).select("unit", "slice_y", *XY, r6("score"))
 
 
-def wbf_sql(src, key, thr, models):
+def wbf_sql(src, key, thr, models, edge=96):
     k = ", ".join(key)
     same = " AND ".join(f"b.{c} = r.{c}" for c in key)
     new = "{'x1': b.x1, 'z1': b.z1, 'x2': b.x2, 'z2': b.z2, 'sw': b.s, 'wx1': b.s * b.x1, 'wz1': b.s * b.z1, 'wx2': b.s * b.x2, 'wz2': b.s * b.z2, 'n': 1}"
     up = lambda c: f"'{c}': (c.w{c} + s * {c}) / (c.sw + s)"
     grown = "{" + ", ".join(up(c) for c in XY) + ", 'sw': c.sw + s, " + ", ".join(f"'w{c}': c.w{c} + s * {c}" for c in XY) + ", 'n': c.n + 1}"
-    return f"""b AS (SELECT {k}, CAST(x1 AS DOUBLE) AS x1, CAST(z1 AS DOUBLE) AS z1, CAST(least(x2, 96) AS DOUBLE) AS x2, CAST(least(z2, 96) AS DOUBLE) AS z2, score AS s,
-  row_number() OVER (PARTITION BY {k} ORDER BY score DESC, x1, z1, least(x2, 96), least(z2, 96)) AS rn FROM {src} WHERE score >= 0.001),
+    return f"""b AS (SELECT {k}, CAST(x1 AS DOUBLE) AS x1, CAST(z1 AS DOUBLE) AS z1, CAST(least(x2, {edge}) AS DOUBLE) AS x2, CAST(least(z2, {edge}) AS DOUBLE) AS z2, score AS s,
+  row_number() OVER (PARTITION BY {k} ORDER BY score DESC, x1, z1, least(x2, {edge}), least(z2, {edge})) AS rn FROM {src} WHERE score >= 0.001),
 rec AS (SELECT {k}, rn, [{new}] AS cl FROM b WHERE rn = 1
   UNION ALL SELECT {k}, rn, CASE WHEN v > {thr} THEN list_transform(cl, lambda c, i: CASE WHEN i = pos THEN {grown} ELSE c END) ELSE list_append(cl, nw) END
   FROM (SELECT *, list_max(vs) AS v, list_position(vs, list_max(vs)) AS pos FROM (SELECT {', '.join('b.' + c for c in key)}, b.rn, b.s, b.x1, b.z1, b.x2, b.z2, r.cl, {new} AS nw,
@@ -162,7 +162,8 @@ def _(spark, d):
     return f.select("unit", "slice_y", "model", *[r5(c) for c in XY], r5("score"), "n_boxes")
 
 
-@query("c5_tag_events", f"""{with_('boxes', recursive=True)}, {SPLIT},
+def tag_sql(boxes=with_("boxes", recursive=True)):
+    return f"""{boxes}, {SPLIT},
 gs AS (SELECT unit, slice_y, list({{'x1': x1, 'z1': z1, 'x2': x2, 'z2': z2}} ORDER BY x1, z1, x2, z2) AS gs FROM gt GROUP BY 1, 2),
 p AS (SELECT *, row_number() OVER (PARTITION BY unit, slice_y ORDER BY score DESC, x1, z1, x2, z2) AS rn FROM pred),
 rec AS (SELECT unit, slice_y, CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS m FROM p GROUP BY 1, 2
@@ -174,12 +175,52 @@ tp AS (SELECT p.unit, p.slice_y, x1, z1, x2, z2, score, gs[m[rn]] AS g, m[rn] AS
 allg AS (SELECT unit, slice_y, unnest(gs) AS g, generate_subscripts(gs, 1) AS gi FROM gs)
 SELECT unit, slice_y, 'tp' AS tag, x1, z1, x2, z2, round(score, 6) AS score, g.x1 AS gx1, g.z1 AS gz1 FROM tp
 UNION ALL SELECT p.unit, p.slice_y, 'fp', x1, z1, x2, z2, round(score, 6), NULL, NULL FROM p JOIN fin USING (unit, slice_y) WHERE coalesce(m[rn], -1) < 0
-UNION ALL SELECT a.unit, a.slice_y, 'fn', a.g.x1, a.g.z1, a.g.x2, a.g.z2, NULL, a.g.x1, a.g.z1 FROM allg a LEFT JOIN tp t ON t.unit = a.unit AND t.slice_y = a.slice_y AND t.gi = a.gi WHERE t.gi IS NULL""")
+UNION ALL SELECT a.unit, a.slice_y, 'fn', a.g.x1, a.g.z1, a.g.x2, a.g.z2, NULL, a.g.x1, a.g.z1 FROM allg a LEFT JOIN tp t ON t.unit = a.unit AND t.slice_y = a.slice_y AND t.gi = a.gi WHERE t.gi IS NULL"""
+
+
+@query("c5_tag_events", tag_sql())
 def _(spark, d):
     t = B.tag_events(pred(spark, d), gt(spark, d))
     return t.select("unit", "slice_y", "tag", *XY, r6("score"), F.col("gt.x1").alias("gx1"), F.col("gt.z1").alias("gz1"))
 
 
+# Crowded slices: the check SQL fuses, suppresses and matches place by place.
+CROWDED = with_("boxes_crowded", recursive=True).replace("boxes_crowded AS", "boxes AS")
+
+
+def crowded(spark, d, is_pred):
+    return bound(spark, d, "boxes_crowded").withColumn("slice_y", (F.col("slice_y") % 4).cast("int")).filter(F.col("is_pred") == is_pred)
+
+
+def by_slice(sql: str) -> str:
+    return f"SELECT * REPLACE (CAST(slice_y % 4 AS INT) AS slice_y) FROM ({sql}) p"
+
+
+@query("j15_iou_join_crowded", f"""{CROWDED}, {SPLIT}, {GEO}, {PAIRS} SELECT unit, CAST(slice_y % 4 AS INT) AS slice_y, CAST(sum(na * nb) AS BIGINT) AS n_pairs,
+CAST(sum(CASE WHEN iou >= 0.3 THEN na * nb ELSE 0 END) AS BIGINT) AS n_match, round(sum(iou * na * nb), 5) AS sum_iou FROM pairs GROUP BY unit, slice_y % 4""")
+def _(spark, d):
+    n = F.col("na") * F.col("nb")
+    return B.iou_join(crowded(spark, d, True), crowded(spark, d, False)).groupBy("unit", "slice_y").agg(
+        F.sum(n).alias("n_pairs"), F.sum(F.when(F.col("iou") >= 0.3, n).otherwise(0)).alias("n_match"), F.round(F.sum(F.col("iou") * n), 5).alias("sum_iou"))
+
+
+@query("c1_nms_crowded", by_slice(nms_sql(0.3, ">", CROWDED)))
+def _(spark, d):
+    return B.nms(crowded(spark, d, True), 0.3).select("unit", "slice_y", *XY, r6("score"))
+
+
+@query("c2_wbf_crowded", by_slice(f"{CROWDED}, {SPLIT}, {wbf_sql('pred', ['unit', 'slice_y'], 0.4, 1, 1e9)}"))
+def _(spark, d):
+    f = B.wbf(crowded(spark, d, True), 1e9, 1e9)
+    return f.select("unit", "slice_y", *[r5(c) for c in XY], r5("score"), "n_boxes")
+
+
+@query("c5_tag_crowded", by_slice(tag_sql(CROWDED)))
+def _(spark, d):
+    t = B.tag_events(crowded(spark, d, True), crowded(spark, d, False))
+    return t.select("unit", "slice_y", "tag", *XY, r6("score"), F.col("gt.x1").alias("gx1"), F.col("gt.z1").alias("gz1"))
+
+
 CAND = f"""cands AS (SELECT unit, slice_y, x1 * 1000000 + z1 * 10000 + x2 * 100 + z2 AS cand, gid AS gt, iou, round(1 - iou + cs * 1e-1, 9) AS cost FROM (
 SELECT p.unit, p.slice_y, p.x1, p.z1, p.x2, p.z2, g.x1 * 1000000 + g.z1 * 10000 + g.x2 * 100 + g.z2 AS gid, {iou_sql('p', 'g')} AS iou, p.cs
 FROM (SELECT unit, slice_y, x1, z1, x2, z2, max(score) AS cs FROM pred GROUP BY ALL) p JOIN (SELECT DISTINCT unit, slice_y, x1, z1, x2, z2 FROM gt) g USING (unit, slice_y)

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 # One window partition may hold at most this many rows; larger inputs are range-split first.
 WINDOW_ROWS = 1_000_000
-# One slice may be folded inside a single array up to this many boxes; larger slices run in rounds.
-FOLD_ROWS = 1_024
+# A grid cell of a pair join is split or dealt out beyond so many boxes of both sides; the result is the same.
+CELL_BOXES = 1_024
 
 
 def session(app: str = "foldscope", cpus: str = "*", partitions: int = 8) -> SparkSession:

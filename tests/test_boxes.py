@@ -36,9 +36,9 @@ def groups(rows):
     return out
 
 
-@pytest.mark.parametrize("fold_rows", [None, 5])
-@pytest.mark.parametrize("thr,cap", [(0.5, 100), (0.3, None), (0.5, 4)])
-def test_nms(spark, fold_rows, thr, cap):
+@pytest.mark.parametrize("thr,cap,cell_boxes", [(0.5, 100, 1024), (0.3, None, 5), (0.5, 4, 5), (0.0, None, 5), (0.0, 3, 1024)])
+def test_nms(spark, cell_boxes, thr, cap, monkeypatch):
+    monkeypatch.setattr(B.runtime, "CELL_BOXES", cell_boxes)
     rows = random_boxes(60, 1)
     want = set()
     for k, g in groups(rows).items():
@@ -47,7 +47,7 @@ def test_nms(spark, fold_rows, thr, cap):
             if (cap is None or len(kept) < cap) and all(iou(b[2:6], c[2:6]) <= thr for c in kept):
                 kept.append(b)
         want |= {(*k, *b[2:7]) for b in kept}
-    got = {tuple(r) for r in B.nms(frame(spark, rows), thr, cap, fold_rows=fold_rows).collect()}
+    got = {tuple(r) for r in B.nms(frame(spark, rows), thr, cap).collect()}
     assert got == want
 
 
@@ -69,11 +69,24 @@ def brute_wbf(rows, thr):
     return sorted(tuple(np.round(o, 6)) for o in out)
 
 
-@pytest.mark.parametrize("fold_rows", [None, 5])
-def test_wbf(spark, fold_rows):
-    rows = random_boxes(40, 2)
-    got = B.wbf(frame(spark, rows), 200, 200, 0.4, fold_rows=fold_rows).collect()
-    assert sorted(tuple(np.round(tuple(r), 6)) for r in got) == brute_wbf(rows, 0.4)
+@pytest.mark.parametrize("thr,span,cell_boxes", [(0.4, 60, 1024), (0.4, 60, 5), (0.1, 60, 1024), (0.55, 200, 5), (0.0, 300, 5), (0.999, 60, 1024), (1.0, 60, 5), (-0.5, 60, 5)])
+def test_wbf(spark, cell_boxes, thr, span, monkeypatch):
+    monkeypatch.setattr(B.runtime, "CELL_BOXES", cell_boxes)
+    rows = random_boxes(40, 2, span)
+    rows += rows[:10]  # copies of boxes and scores
+    got = B.wbf(frame(spark, rows), 400, 400, thr).collect()
+    assert sorted(tuple(np.round(tuple(r), 6)) for r in got) == brute_wbf(rows, thr)
+
+
+def test_wbf_groups_that_meet_by_fusion(spark):
+    """A third box overlaps no box of the pair by the threshold, but it does overlap their fused box."""
+    rows = [(0, 0, 0.0, 0.0, 10.0, 10.0, 0.9), (0, 0, 0.0, 0.0, 10.0, 22.0, 0.89), (0, 0, 0.0, 0.0, 17.0, 16.0, 0.5), (None, 0, 0.0, 0.0, 10.0, 10.0, 0.9), (None, 0, 0.0, 0.0, 10.0, 11.0, 0.9)]
+    assert iou(rows[0][2:6], rows[1][2:6]) > 0.45 and iou(rows[0][2:6], rows[2][2:6]) < 0.45 and iou(rows[1][2:6], rows[2][2:6]) < 0.56
+    for thr in (0.45, 0.3, 0.56):
+        got = [r for r in B.wbf(frame(spark, rows), 200, 200, thr).collect() if r.unit == 0]
+        assert sorted(tuple(np.round(tuple(r), 6)) for r in got) == brute_wbf(rows[:3], thr)
+    none = B.wbf(frame(spark, rows).limit(0), 200, 200)
+    assert none.count() == 0
 
 
 def test_wbf_golden(spark):
@@ -100,11 +113,12 @@ def brute_tags(pred, gt, thr):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("fold_rows", [None, 5])
-def test_tag_events(spark, fold_rows):
+@pytest.mark.parametrize("cell_boxes", [1024, 5])
+def test_tag_events(spark, cell_boxes, monkeypatch):
+    monkeypatch.setattr(B.runtime, "CELL_BOXES", cell_boxes)
     pred, gt = random_boxes(30, 3), random_boxes(24, 4)
     got = []
-    for r in B.tag_events(frame(spark, pred), frame(spark, gt), 0.3, fold_rows=fold_rows).collect():
+    for r in B.tag_events(frame(spark, pred), frame(spark, gt), 0.3).collect():
         base = (r.unit, r.slice_y, r.tag, r.x1, r.z1, r.x2, r.z2)
         got.append((*base, r.score, *r.gt) if r.tag == "tp" else ((*base, r.score) if r.tag == "fp" else base))
     assert sorted(got, key=repr) == brute_tags(pred, gt, 0.3)
@@ -153,18 +167,49 @@ def test_dynamic_k_contested_candidate_goes_to_cheapest_of_all(spark):
 def test_nms_extremes_and_null_keys(spark):
     rows = [(None, 1, 0, 0, 10, 10, 0.9), (None, 1, 0, 0, 10, 10, 0.5), (None, 1, 1, 1, 11, 11, 0.8), (1, 1, 5, 5, 5, 9, 0.7), (1, 1, 5, 5, 5, 9, 0.6), (1, 1, 0, 0, 4, 4, 0.4)]
     b = spark.createDataFrame(rows, "unit long, slice_y int, x1 int, z1 int, x2 int, z2 int, score double")
-    for fold_rows in (1_000, 0):
-        got = sorted((r.unit or 0, r.score) for r in B.nms(b, 0.5, fold_rows=fold_rows).collect())
-        assert got == [(0, 0.9), (1, 0.4), (1, 0.6), (1, 0.7)]
-        assert B.nms(b, 1.0, fold_rows=fold_rows).count() == 6
-        assert sorted(r.score for r in B.nms(b, 0.0, closed=True, fold_rows=fold_rows).collect()) == [0.7, 0.9]
-        assert sorted(r.score for r in B.nms(b, 0.5, max_per=1, fold_rows=fold_rows).collect()) == [0.7, 0.9]
+    got = sorted((r.unit or 0, r.score) for r in B.nms(b, 0.5).collect())
+    assert got == [(0, 0.9), (1, 0.4), (1, 0.6), (1, 0.7)]
+    assert B.nms(b, 1.0).count() == 6
+    assert sorted(r.score for r in B.nms(b, 0.0, closed=True).collect()) == [0.7, 0.9]
+    assert sorted(r.score for r in B.nms(b, 0.5, max_per=1).collect()) == [0.7, 0.9]
+
+
+def test_suppression_reaches_any_size(spark):
+    """With a threshold of 0 a box far larger than another still suppresses it."""
+    b = frame(spark, [(0, 0, 0.0, 0.0, 20000.0, 20000.0, 0.9), (0, 0, 10.0, 10.0, 11.0, 11.0, 0.8), (0, 0, 30000.0, 0.0, 30001.0, 1.0, 0.7)])
+    assert sorted(r.score for r in B.nms(b, 0.0).collect()) == [0.7, 0.9]
+
+
+@pytest.mark.parametrize("limit", [4, 64, 10_000])
+def test_pair_join_on_a_crowded_spot(spark, limit):
+    """Small boxes in one cell, large ones that no smaller cell could part, NULL keys and boxes without area."""
+    r = np.random.default_rng(7)
+    rows = []
+    for k in range(240):
+        x, z = (r.random(2) * (4 if k % 3 else 400)).round(3)
+        w, h = (r.random(2) * (0.3 if k % 3 else 30)).round(3)
+        rows.append((None if k % 5 == 0 else 1, 0, float(x), float(z), float(x + w), float(z + (h if k % 40 else 0)), 0.5))
+    rows += [(1, 0, 0.0, 0.0, 300.0 + k, 300.0, 0.5) for k in range(60)]
+    a, b = rows[::2], rows[1::2]
+    meets = lambda p, q: min(p[4], q[4]) > max(p[2], q[2]) and min(p[5], q[5]) > max(p[3], q[3]) and p[4] > p[2] and p[5] > p[3]
+    want = sorted((p[0] or 0, p[2:6], q[2:6]) for p in a for q in b if p[:2] == q[:2] and meets(p, q) and q[5] > q[3])
+    got = B.overlap_pairs(frame(spark, a), frame(spark, b), limit=limit).collect()
+    assert sorted((g.unit or 0, tuple(g.a), tuple(g.b)) for g in got for _ in range(g.na * g.nb)) == want
+
+
+def test_pair_join_deals_a_crowded_spot_evenly(spark):
+    """A third of all boxes in one cell: no leaf holds more than a few times the limit."""
+    n = 30_000
+    spot = spark.range(n).selectExpr("1 as unit", "0 as slice_y", "if(id % 3 = 0, 0.001, 1) as s", "cast(id as double) as i", "cast(id % 2 as int) as _side")
+    rows = spot.selectExpr("unit", "slice_y", "i % 173 * 30 * s as x1", "floor(i / 173) * 30 * s as z1", "(i % 173 * 30 + 40) * s as x2", "(floor(i / 173) * 30 + 40) * s as z2", "_side")
+    leaves = B._dealt(B.runtime.cut(rows), ["unit", "slice_y"], 64.0, 256)
+    sizes = leaves.groupBy("_lv", "_cx", "_cz", "_sh").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 256 and leaves.count() < 12 * n
 
 
 def test_matching_with_null_keys(spark):
     p = spark.createDataFrame([(None, 0, 0, 10, 10, 0.9), (None, 0, 0, 9, 10, 0.8), (1, 0, 0, 2, 2, 0.5)], "unit long, x1 int, z1 int, x2 int, z2 int, score double")
     g = spark.createDataFrame([(None, 0, 0, 10, 10), (1, 50, 50, 60, 60)], "unit long, x1 int, z1 int, x2 int, z2 int")
-    for fold_rows in (1_000, 0):
-        for thr in (0.0, 0.3):
-            got = sorted((r.unit or 0, r.tag) for r in B.tag_events(p, g, thr, ["unit"], fold_rows=fold_rows).collect())
-            assert got == [(0, "fp"), (0, "tp"), (1, "fn"), (1, "fp")]
+    for thr in (0.0, 0.3):
+        got = sorted((r.unit or 0, r.tag) for r in B.tag_events(p, g, thr, ["unit"]).collect())
+        assert got == [(0, "fp"), (0, "tp"), (1, "fn"), (1, "fp")]
