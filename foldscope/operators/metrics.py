@@ -397,27 +397,68 @@ def size_threshold_scores(boxes: DataFrame, units: DataFrame, by=("unit",), spli
     return runtime.join_groups(units, top, by, "left")
 
 
+def _best(lt: Column, st: Column) -> Column:
+    """Best surviving score of a unit, which follows from its two per-class maxima; 0 if none survives."""
+    return F.greatest(F.when(F.col("large_max") >= lt, F.col("large_max")), F.when(F.col("small_max") >= st, F.col("small_max")), F.lit(0.0).cast("float"))
+
+
+# Grid cells whose counts stand side by side in one histogram.
+CELLS_AT_ONCE = 32
+
+
 def grid_search(
     unit_tops: DataFrame, larges: Sequence[float], smalls: Sequence[float], fp: float = 2.0, unit="unit", by=(), limit=None
 ) -> DataFrame:
     """Sensitivity at ``fp`` for each threshold pair.
 
-    The grid is a literal array exploded on units, not on boxes: the best surviving
-    score follows from the two per-class maxima.
+    One histogram of distinct scores serves the whole grid: whatever the cell, a unit scores its large maximum, its
+    small one or 0, so a row per score counts the units of each class that have it in each cell. It is summed from the
+    top once. Units are looked at again only where the target falls inside a tie, and there in ascending order.
     """
-    f = lambda v: F.lit(float(v)).cast("float")
-    cells = F.array(*[
-        F.struct(F.lit(i * len(smalls) + j).alias("cell"), F.lit(float(lt)).alias("large_thr"), F.lit(float(st)).alias("small_thr"))
-        for i, lt in enumerate(larges) for j, st in enumerate(smalls)
+    by = list(by)
+    cells = [(i * len(smalls) + j, float(lt), float(st)) for i, lt in enumerate(larges) for j, st in enumerate(smalls)]
+    f32 = lambda v: F.lit(v).cast("float")
+    zero = f32(0.0)
+    scores = F.array_distinct(F.array(F.greatest("large_max", zero), F.greatest("small_max", zero), zero))
+    rows = unit_tops.select(*by, unit, "label", "large_max", "small_max", F.explode(scores).alias("score"))
+    totals = unit_tops.groupBy(*by).agg(F.sum("label").alias("p"), F.count("label").alias("_all"))
+    parts = [_grid_part(rows, totals, cells[k : k + CELLS_AT_ONCE], fp, by, limit) for k in range(0, len(cells), CELLS_AT_ONCE)]
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    found = runtime.cut(found)
+    keys = [*by, "cell"]
+    ties = found.filter("tie_pos > 0").select(*keys, "large_thr", "small_thr", F.col("tie").alias("score"), "before", "_all")
+    inside = runtime.join_groups(rows, ties, [*by, "score"]).filter(_best(F.col("large_thr").cast("float"), F.col("small_thr").cast("float")) == F.col("score"))
+    inside = inside.groupBy(*keys, unit, "before", "_all").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
+    swept = prefix_sum(inside, [F.col(unit)], {"tp": F.col("pos"), "fp": F.col("neg")}, keys, limit)
+    more = swept.groupBy(*keys).agg(F.max(F.when((F.col("before") + F.col("fp")) / F.col("_all") <= float(fp), F.col("tp"))).alias("more"))
+    sens = (F.col("tp") + F.coalesce("more", F.lit(0))) / F.col("p")
+    return runtime.join_groups(found, more, keys, "left").select(*keys, "large_thr", "small_thr", F.when(F.col("p") > 0, sens).alias("sens"))
+
+
+def _grid_part(rows: DataFrame, totals: DataFrame, cells: Sequence[tuple[int, float, float]], fp: float, by: list[str], limit) -> DataFrame:
+    """For each cell the true positives ``tp`` above the score ``tie`` at which the target is passed, the false
+    positives ``before`` it and the positives ``tie_pos`` at it."""
+    f32 = lambda v: F.lit(v).cast("float")
+    counts = []
+    for c, lt, st in cells:
+        here = _best(f32(lt), f32(st)) == F.col("score")
+        counts += [F.sum(F.when(here, F.col("label")).otherwise(0)).alias(f"_p{c}"), F.sum(F.when(here, 1 - F.col("label")).otherwise(0)).alias(f"_n{c}")]
+    hist = rows.groupBy(*by, "score").agg(*counts)
+    cum = prefix_sum(hist, [F.col("score").desc()], {f"{k}{c}": F.col(f"_{k}{c}") for c, _, _ in cells for k in "pn"}, by, limit)
+    cum = runtime.join_groups(cum, totals, by) if by else cum.withColumns({c: totals.select(c).scalar() for c in ("p", "_all")})
+    aggs = []
+    for c, _, _ in cells:
+        within = F.col(f"n{c}") / F.col("_all") <= float(fp)
+        tie = F.struct(F.col("score").alias("tie"), (F.col(f"n{c}") - F.col(f"_n{c}")).alias("before"), F.col(f"_p{c}").alias("tie_pos"))
+        aggs += [F.coalesce(F.max(F.when(within, F.col(f"p{c}"))), F.lit(0)).alias(f"t{c}"), F.max(F.when(~within, tie)).alias(f"b{c}")]
+    wide = cum.groupBy(*by).agg(F.max("p").alias("p"), F.max("_all").alias("_all"), *aggs)
+    each = F.array(*[
+        F.struct(F.lit(c).alias("cell"), F.lit(lt).alias("large_thr"), F.lit(st).alias("small_thr"), F.col(f"t{c}").alias("tp"), F.col(f"b{c}").alias("b"))
+        for c, lt, st in cells
     ])
-    rows = unit_tops.select("*", F.explode(cells).alias("g"))
-    lt, st = F.col("g.large_thr").cast("float"), F.col("g.small_thr").cast("float")
-    best = F.greatest(
-        F.when(F.col("large_max") >= lt, F.col("large_max")), F.when(F.col("small_max") >= st, F.col("small_max")), f(0.0)
-    )
-    scored = rows.select(*by, unit, "label", best.alias("score"), "g.*")
-    keys = [*by, "cell", "large_thr", "small_thr"]
-    return sens_at_fp(froc_curve(scored, unit, by=keys, limit=limit), [fp], keys).drop("fp_target")
+    return wide.select(*by, "p", "_all", F.explode(each).alias("g")).select(*by, "p", "_all", "g.cell", "g.large_thr", "g.small_thr", "g.tp", "g.b.*")
 
 
 def best_cell(grid: DataFrame, by=()) -> DataFrame:
@@ -467,10 +508,15 @@ def size_bin(volume: Column, edges: Sequence[float] = VOLUME_EDGES) -> Column:
     return out
 
 
-def size_strata(calls: DataFrame, edges=VOLUME_EDGES, n_boot=1000, seed=42, key=("call_id",), limit=None) -> DataFrame:
-    """Lesion sensitivity per volume bin with bootstrap interval; every bin gets a row."""
-    hits = calls.filter(F.col("call_type").isin("tp", "fn") & F.col("volume_mm3").isNotNull()).select(
-        *key, size_bin(F.col("volume_mm3"), edges).alias("bin"), (F.col("call_type") == "tp").cast("double").alias("hit")
+def size_strata(calls: DataFrame, edges=VOLUME_EDGES, n_boot=1000, seed=42, key=("call_id",), limit=None, size_of: str = "call") -> DataFrame:
+    """Lesion sensitivity per volume bin with bootstrap interval; every bin gets a row.
+
+    A TP counts in the bin of its call's volume (``size_of="call"``) or of the lesion it found (``"lesion"``); an FN
+    always in that of its lesion.
+    """
+    size = F.col({"call": "volume_mm3", "lesion": "lesion_volume_mm3"}[size_of])
+    hits = calls.filter(F.col("call_type").isin("tp", "fn") & size.isNotNull()).select(
+        *key, size_bin(size, edges).alias("bin"), (F.col("call_type") == "tp").cast("double").alias("hit")
     ).filter("bin is not null")
     stat = hits.groupBy("bin").agg(F.avg("hit").alias("value"), F.count("*").alias("n_lesions"), F.sum("hit").cast("long").alias("n_tp"))
     ci = bootstrap_ci(hits, key, "mean", "hit", None, n_boot, seed, 0.05, ["bin"], limit=limit)

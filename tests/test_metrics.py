@@ -92,6 +92,34 @@ def test_grid_search_finds_the_separating_cell(spark):
     assert best.large_thr < 0.7 and best.small_thr >= 0.7 and best.sens == 1.0
 
 
+@pytest.mark.parametrize("fp,limit", [(0.0, None), (0.05, 3), (0.2, None), (0.45, 3), (2.0, None)])
+def test_grid_search_sweeps_ties_unit_by_unit(spark, fp, limit, monkeypatch):
+    """Coarse scores make ties at every target; the curve is swept by descending score, then ascending unit."""
+    monkeypatch.setattr(M, "CELLS_AT_ONCE", 4)
+    r = np.random.default_rng(3)
+    pick = lambda: None if r.random() < 0.3 else float(np.float32(round(r.random() * 6) / 10))
+    tops = [(int(u), int(r.random() < 0.4), None if u % 7 == 0 else int(u % 2), pick(), pick()) for u in r.permutation(90)]
+    larges, smalls = [0.1, 0.25, 0.5], [0.0, 0.3]
+    df = spark.createDataFrame(tops, "unit long, label int, fold int, large_max float, small_max float").repartition(3)
+    got = {(g.fold, g.large_thr, g.small_thr): g.sens for g in M.grid_search(df, larges, smalls, fp, by=["fold"], limit=limit).collect()}
+    for fold in (None, 0, 1):
+        mine = [t for t in tops if t[2] == fold]
+        p = sum(t[1] for t in mine)
+        for lt in larges:
+            for st in smalls:
+                alive = lambda v, thr: v is not None and v >= np.float32(thr)
+                score = lambda t: max([0.0, *[v for v, thr in ((t[3], lt), (t[4], st)) if alive(v, thr)]])
+                best = tp = fps = 0
+                for t in sorted(mine, key=lambda t: (-score(t), t[0])):
+                    tp, fps = tp + t[1], fps + 1 - t[1]
+                    if fps / len(mine) <= fp:
+                        best = tp
+                assert got[fold, lt, st] == pytest.approx(best / p), (fold, lt, st)
+    assert len(got) == 18
+    alone = M.grid_search(df.filter("label = 0"), larges, smalls, fp).collect()
+    assert [g.sens for g in alone] == [None] * 6
+
+
 def test_leave_one_out_never_sees_its_own_fold(spark):
     df = spark.createDataFrame([(i, i % 5) for i in range(50)], "unit int, fold int")
     out = M.leave_one_out(df, 5)
