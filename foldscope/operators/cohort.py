@@ -418,11 +418,19 @@ def regrid(df: DataFrame, key: Sequence[str], axis: str, value: str, n_in: int |
     return sent.groupBy(*key, F.col("_j").alias(axis)).agg(F.sum(F.col(value) * F.col("_w")).alias(value))
 
 
-def crop_pad(df: DataFrame, axis: str, lo: int, hi: int, n: int) -> DataFrame:
-    """Keep axis values in [lo, hi) and centre them in a frame of ``n``; a longer extent is an error."""
-    if hi - lo > n:
-        raise ValueError(f"extent {hi - lo} exceeds frame {n}")
-    return df.filter((F.col(axis) >= lo) & (F.col(axis) < hi)).withColumn(axis, F.col(axis) - lo + (n - (hi - lo)) // 2)
+def crop_pad(df: DataFrame, axis: str, lo: int | Column, hi: int | Column, n: int | Column) -> DataFrame:
+    """Keep axis values in [lo, hi) and centre them in a frame of ``n``; a longer extent is an error.
+
+    Bounds and frame may be columns, one value per row's key; rows without bounds are dropped.
+    """
+    if not any(isinstance(v, Column) for v in (lo, hi, n)):
+        if hi - lo > n:
+            raise ValueError(f"extent {hi - lo} exceeds frame {n}")
+        return df.filter((F.col(axis) >= lo) & (F.col(axis) < hi)).withColumn(axis, F.col(axis) - lo + (n - (hi - lo)) // 2)
+    lo, hi, n = (v if isinstance(v, Column) else F.lit(v) for v in (lo, hi, n))
+    stop = F.raise_error(F.concat(F.lit("extent "), (hi - lo).cast("string"), F.lit(" exceeds frame "), n.cast("string"))).cast("int")
+    pad = F.when(hi - lo > n, stop).otherwise(F.floor((n - (hi - lo)) / 2).cast("int"))
+    return df.filter((F.col(axis) >= lo) & (F.col(axis) < hi)).withColumn(axis, F.col(axis) - lo + pad)
 
 
 def last_per_epoch(history: DataFrame, metric: str | None = None) -> DataFrame:

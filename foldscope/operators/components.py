@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldscope import runtime
+from foldscope.operators.cohort import crop_pad
 from foldscope.operators.ordering import prefix_sum, quantiles, ranked
 
 SPACING = (0.82, 1.5, 0.82)
@@ -225,7 +226,10 @@ def call_records(
     calls: DataFrame, lesions: DataFrame, run_id="run", entrypoint="cv", fold: Column | None = None,
     large: float | None = None, small: float | None = None, split_mm: float = 10.0,
 ) -> DataFrame:
-    """TP, FP and FN records in one table."""
+    """TP, FP and FN records in one table.
+
+    ``volume_mm3`` is the call's volume, for an FN the lesion's; ``lesion_volume_mm3`` is the lesion's for TP and FN.
+    """
     from foldscope.operators.boxes import passes_threshold
 
     matched = passes_threshold(match_calls(calls, lesions), large, small, split_mm)
@@ -236,20 +240,29 @@ def call_records(
     les = lambda c: F.concat(F.col("unit").cast("string"), F.lit("_lesion_"), c.cast("string"))
     found = matched.select(
         *head, F.concat(F.col("unit").cast("string"), F.lit("_pred_"), F.col("cc_id").cast("string")).alias("call_id"), "call_type", "score",
-        "passes_threshold", "volume_mm3", "voxel_count", box, centroid, les(F.col("hit_cc")).alias("gt_lesion_id"))
+        "passes_threshold", "volume_mm3", "voxel_count", box, centroid, les(F.col("hit_cc")).alias("gt_lesion_id"), "hit_cc")
+    sizes = stats.select("unit", F.col("cc_id").alias("hit_cc"), F.col("volume_mm3").alias("lesion_volume_mm3"))
+    found = found.join(sizes, ["unit", "hit_cc"], "left").drop("hit_cc")
     lost = stats.join(matched.filter("call_type = 'tp'").select("unit", F.col("hit_cc").alias("cc_id")), ["unit", "cc_id"], "left_anti")
     fn = lost.select(
         *head, F.concat(F.col("unit").cast("string"), F.lit("_fn_"), F.col("cc_id").cast("string")).alias("call_id"), F.lit("fn").alias("call_type"),
         F.lit(None).cast("double").alias("score"), F.lit(None).cast("boolean").alias("passes_threshold"), "volume_mm3", "voxel_count", box, centroid,
-        les(F.col("cc_id")).alias("gt_lesion_id"))
-    return found.unionByName(fn)
+        les(F.col("cc_id")).alias("gt_lesion_id"), F.col("volume_mm3").alias("lesion_volume_mm3"))
+    return found.select(fn.columns).unionByName(fn)
 
 
-def lesion_froc(calls_cc: DataFrame, lesions: DataFrame, n_units: int | Column, hit: str = "centroid", min_overlap: float = 0.1, limit=None) -> DataFrame:
-    """Lesion-level FROC points ``(score, fp_per_unit, sens)``; each lesion is hit once, by its best candidate."""
+def lesion_froc(
+    calls_cc: DataFrame, lesions: DataFrame, n_units: int | Column | None = None, hit: str = "centroid", min_overlap: float = 0.1, limit=None,
+    units: DataFrame | None = None, by: Sequence[str] = (),
+) -> DataFrame:
+    """Lesion-level FROC points ``(by, score, fp_per_unit, sens)``; each lesion is hit once, by its best candidate.
+
+    With ``by``, columns of ``units`` (a row per unit), every group has its own curve over its own units and lesions;
+    units without any call count all the same.
+    """
     calls = component_stats(calls_cc)
     if hit == "centroid":
-        m = match_calls(calls, lesions).select("score", (F.col("call_type") == "tp").cast("int").alias("label"))
+        m = match_calls(calls, lesions).select("unit", "score", (F.col("call_type") == "tp").cast("int").alias("label"))
     else:
         a = calls_cc.select(*ROW, F.col("x0").alias("a0"), F.col("x1").alias("a1"), F.col("cc_id").alias("call"))
         b = lesions.select(*ROW, "x0", "x1", F.col("cc_id").alias("les"))
@@ -260,7 +273,15 @@ def lesion_froc(calls_cc: DataFrame, lesions: DataFrame, n_units: int | Column,
         o = o.filter(F.col("inter") >= min_overlap * (F.col("na") + F.col("nb") - F.col("inter")))
         o = o.join(calls.select("unit", F.col("cc_id").alias("call"), "score"), ["unit", "call"])
         win = o.groupBy("unit", "les").agg(F.min(F.struct((-F.col("score")).alias("k"), "call")).alias("m")).select("unit", F.col("m.call").alias("cc_id")).distinct()
-        m = calls.join(win.withColumn("label", F.lit(1)), ["unit", "cc_id"], "left").select("score", F.coalesce("label", F.lit(0)).alias("label"))
+        m = calls.join(win.withColumn("label", F.lit(1)), ["unit", "cc_id"], "left").select("unit", "score", F.coalesce("label", F.lit(0)).alias("label"))
+    if by:
+        of = units.select("unit", *by)
+        cells = m.join(of, "unit").groupBy(*by, "score").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
+        curve = prefix_sum(cells, [F.col("score").desc()], {"tp": F.col("pos"), "fp": F.col("neg")}, by, limit)
+        held = lesions.select("unit", "cc_id").distinct().groupBy("unit").agg(F.count("*").alias("_l"))
+        totals = of.join(held, "unit", "left").groupBy(*by).agg(F.count("*").alias("_u"), F.sum("_l").alias("_l"))
+        points = runtime.join_groups(curve, totals, by)
+        return points.select(*by, "score", F.try_divide("fp", "_u").alias("fp_per_unit"), F.try_divide("tp", "_l").alias("sens"))
     cells = m.groupBy("score").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
     curve = prefix_sum(cells, [F.col("score").desc()], {"tp": F.col("pos"), "fp": F.col("neg")}, (), limit)
     n_les = lesions.select("unit", "cc_id").distinct().agg(F.count("*").alias("n")).scalar()
@@ -416,14 +437,46 @@ def cohort_local_std(voxels: DataFrame, band: DataFrame, n=100, seed=42, value="
     return quantiles(s, "local_std", {"median_local_std": 0.5}, limit=limit).withColumnRenamed("n", "n_samples")
 
 
-def crop_points(points: DataFrame, origin: Sequence[int], shape: Sequence[int]) -> DataFrame:
-    """Points moved to a window origin, those outside its shape dropped."""
+def crop_points(points: DataFrame, origin: Sequence[int | Column], shape: Sequence[int | Column]) -> DataFrame:
+    """Points moved to a window origin, those outside its shape dropped. Origins and shapes may be columns."""
     moved = points.withColumns({c: F.col(c) - o for c, o in zip("xyz", origin)})
     for c, n in zip("xyz", shape):
         moved = moved.filter((F.col(c) >= 0) & (F.col(c) < n))
     return moved
 
 
+def crop_to_frames(points: DataFrame, frames: DataFrame, key: Sequence[str] = ("unit",)) -> DataFrame:
+    """Points in the window of their own key: ``frames`` has a row per key with ox, oy, oz and nx, ny, nz.
+
+    Points of a key without a window are dropped; a repeated key is an error.
+    """
+    key = list(key)
+    window = _once(frames.select(*key, F.struct(*[f"{p}{c}" for p in "on" for c in "xyz"]).alias("_w")), key, "_w")
+    joined = runtime.join_groups(points, window, key)
+    w = F.col("_w")
+    return crop_points(joined, [w[f"o{c}"] for c in "xyz"], [w[f"n{c}"] for c in "xyz"]).drop("_w")
+
+
+def pad_to_frame(points: DataFrame, boxes: DataFrame, shape: Sequence[int], key: Sequence[str] = ("unit",)) -> DataFrame:
+    """Points inside their key's box, centred in a frame of ``shape``: ``boxes`` has x0, x1, y0, y1, z0, z1 (half-open).
+
+    A box longer than the frame on any axis is an error, as is a repeated key; points of a key without one are dropped.
+    """
+    key = list(key)
+    window = _once(boxes.select(*key, F.struct(*[f"{c}{k}" for c in "xyz" for k in "01"]).alias("_w")), key, "_w")
+    out = runtime.join_groups(points, window, key)
+    for c, n in zip("xyz", shape):
+        out = crop_pad(out, c, F.col("_w")[f"{c}0"], F.col("_w")[f"{c}1"], n)
+    return out.drop("_w")
+
+
+def _once(df: DataFrame, key: list[str], value: str) -> DataFrame:
+    """One row per key; a key that stands there twice stops the job."""
+    stop = F.raise_error(F.concat(F.lit("repeated key: "), F.to_json(F.struct(*key))))
+    return df.groupBy(*key).agg(F.count("*").alias("_n"), F.first(value).alias(value)).select(
+        *key, F.when(F.col("_n") > 1, stop.cast(df.schema[value].dataType)).otherwise(F.col(value)).alias(value))
+
+
 def slice_runs(slices: DataFrame, by=("unit",), col="slice_y", limit=None) -> DataFrame:
     """Contiguous runs of positive slices per group: first, last, length."""
     d = ranked(slices.select(*by, col).distinct(), [F.col(col)], by, "_r", limit)

@@ -173,6 +173,14 @@ def _(spark, d):
     return s.select("stratum_value", r6("value"), r6("ci_lower"), r6("ci_upper"), "n_lesions", "n_tp", "n_fn")
 
 
+# The same strata with every TP in the bin of the lesion it found.
+@query("m14_size_strata_lesion", SIZE_SQL.replace("CASE WHEN volume_mm3 < 200", "CASE WHEN vol < 200").replace("WHEN volume_mm3 <", "WHEN vol <").replace(
+    "FROM recs WHERE call_type IN ('tp', 'fn')", "FROM (SELECT r.*, l.volume_mm3 AS vol FROM recs r JOIN stats l ON NOT l.is_pred AND r.gt_lesion_id = l.unit || '_lesion_' || l.cc_id) q WHERE call_type IN ('tp', 'fn')"))
+def _(spark, d):
+    s = M.size_strata(records(spark, d), n_boot=1000, size_of="lesion")
+    return s.select("stratum_value", r6("value"), r6("ci_lower"), r6("ci_upper"), "n_lesions", "n_tp", "n_fn")
+
+
 def lf_sql(label):
     return f"""{label}, cells AS (SELECT score, sum(lb) AS pos, sum(1 - lb) AS neg FROM lf GROUP BY 1),
     curve AS (SELECT score, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp FROM cells WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING))
@@ -185,6 +193,16 @@ def _(spark, d):
     return C.lesion_froc(*cc_both(spark, d), n).select(r6("score"), r6("fp_per_unit"), r6("sens"))
 
 
+@query("m7_lesion_froc_by_fold", f"""{BASE}, {HITS}, lf AS (SELECT unit % 5 AS fold, score, CAST(tp AS INT) AS lb FROM m),
+cells AS (SELECT fold, score, sum(lb) AS pos, sum(1 - lb) AS neg FROM lf GROUP BY 1, 2),
+curve AS (SELECT fold, score, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp FROM cells WINDOW w AS (PARTITION BY fold ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+u AS (SELECT s_suppkey % 5 AS fold, count(*) AS n FROM supplier GROUP BY 1), l AS (SELECT unit % 5 AS fold, count(*) AS k FROM stats WHERE NOT is_pred GROUP BY 1)
+SELECT fold, round(score, 6) AS score, round(fp / CAST(n AS DOUBLE), 6) AS fp_per_unit, round(tp / CAST(k AS DOUBLE), 6) AS sens FROM curve JOIN u USING (fold) LEFT JOIN l USING (fold)""")
+def _(spark, d):
+    units = table(spark, d, "supplier").select(F.col("s_suppkey").alias("unit"), (F.col("s_suppkey") % 5).alias("fold"))
+    return C.lesion_froc(*cc_both(spark, d), units=units, by=["fold"]).select("fold", r6("score"), r6("fp_per_unit"), r6("sens"))
+
+
 OVL = """ov AS (SELECT a.unit, a.cc_id AS c, b.cc_id AS l, count(*) AS i FROM ccell a JOIN ccell b ON a.is_pred AND NOT b.is_pred AND a.unit = b.unit AND a.y = b.y AND a.z = b.z AND a.x = b.x GROUP BY ALL),
 ok AS (SELECT ov.unit, c, l, sc.score FROM ov JOIN stats p ON p.is_pred AND p.unit = ov.unit AND p.cc_id = c JOIN stats g ON NOT g.is_pred AND g.unit = ov.unit AND g.cc_id = l
   JOIN score sc ON sc.is_pred AND sc.unit = ov.unit AND sc.cc_id = c WHERE i >= 0.1 * (p.voxel_count + g.voxel_count - i)),
@@ -314,6 +332,29 @@ def _(spark, d):
     return digest(C.crop_points(bound(spark, d, "voxels"), (10, 2, 5), (30, 4, 40)))
 
 
+FRAMES = "frames AS (SELECT unit, min(x) + CAST(unit % 3 AS INT) AS ox, min(y) + 1 AS oy, min(z) AS oz, 20 + CAST(unit % 5 AS INT) AS nx, 4 AS ny, 30 AS nz FROM voxels WHERE unit % 7 <> 0 GROUP BY unit)"
+
+
+@query("p12_crop_per_unit", f"""{with_('voxels')}, {FRAMES}, r AS (SELECT unit, x - ox AS x, y - oy AS y, z - oz AS z FROM voxels JOIN frames USING (unit)
+WHERE x >= ox AND x < ox + nx AND y >= oy AND y < oy + ny AND z >= oz AND z < oz + nz) {DIGEST}""")
+def _(spark, d):
+    v = bound(spark, d, "voxels")
+    frames = v.filter("unit % 7 <> 0").groupBy("unit").agg(
+        (F.min("x") + F.first(F.col("unit") % 3)).cast("int").alias("ox"), (F.min("y") + 1).alias("oy"), F.min("z").alias("oz"),
+        (20 + F.first(F.col("unit") % 5)).cast("int").alias("nx"), F.lit(4).alias("ny"), F.lit(30).alias("nz"))
+    return digest(C.crop_to_frames(v, frames))
+
+
+@query("w10_crop_pad_per_unit", f"""{with_('voxels')}, b AS (SELECT unit, min(x) AS x0, max(x) + 1 AS x1, min(y) AS y0, max(y) AS y1, min(z) + 2 AS z0, max(z) AS z1 FROM voxels GROUP BY unit),
+r AS (SELECT unit, x - x0 + (64 - (x1 - x0)) // 2 AS x, y - y0 + (9 - (y1 - y0)) // 2 AS y, z - z0 + (61 - (z1 - z0)) // 2 AS z FROM voxels JOIN b USING (unit)
+WHERE x >= x0 AND x < x1 AND y >= y0 AND y < y1 AND z >= z0 AND z < z1) {DIGEST}""")
+def _(spark, d):
+    v = bound(spark, d, "voxels")
+    box = v.groupBy("unit").agg(
+        F.min("x").alias("x0"), (F.max("x") + 1).alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), (F.min("z") + 2).alias("z0"), F.max("z").alias("z1"))
+    return digest(C.pad_to_frame(v, box, (64, 9, 61)))
+
+
 @query("c14_slice_runs", """WITH s AS (SELECT DISTINCT l_suppkey AS unit, CAST(l_orderkey % 60 AS INT) AS y FROM lineitem WHERE l_returnflag = 'R'),
 g AS (SELECT unit, y, y - row_number() OVER (PARTITION BY unit ORDER BY y) AS g FROM s) SELECT unit, min(y) AS first, max(y) AS last, count(*) AS length FROM g GROUP BY unit, g""")
 def _(spark, d):

@@ -126,6 +126,22 @@ def _(spark, d):
     return v.join(st, "unit").withColumn("b", out).groupBy("unit").agg(F.round(F.avg("b"), 4).alias("blended"))
 
 
+@query("k10_paste_donors", f"""{with_('voxels')}, c AS (SELECT unit, x, y, z, v, CASE WHEN (x + z) % 17 <> 0 THEN v END AS donor, abs(x - 25) <= 4 AS inside, abs(x - 25) <= 7 AS near,
+  (abs(x - 25) - 4) * 0.4e0 AS dist FROM voxels),
+s AS (SELECT unit, avg(v) FILTER (near AND NOT inside) AS m, count(*) FILTER (near AND NOT inside) AS n, stddev_pop(v) FILTER (near AND NOT inside) AS sd, avg(v) FILTER (inside) AS i,
+  avg(donor) FILTER (inside) AS dm, stddev_pop(donor) FILTER (inside) AS ds FROM c GROUP BY 1),
+t AS (SELECT *, coalesce(m, i, 0) AS mt, greatest(CASE WHEN n > 1 THEN sd ELSE 1 END, 1e-6) AS st, CASE WHEN ds > 1e-6 THEN ds ELSE 1 END AS own FROM c JOIN s USING (unit)),
+o AS (SELECT unit, CASE WHEN inside THEN coalesce((donor - dm) / own, 0) * st + mt WHEN near AND dist < 1 THEN (1 - dist) * mt + dist * v ELSE v END AS v,
+  CASE WHEN inside THEN 'inside' WHEN near AND dist < 1 THEN 'shell' END AS part FROM t)
+SELECT unit, part, count(*) AS n, round(avg(v), 4) AS mean FROM o GROUP BY 1, 2""")
+def _(spark, d):
+    v = bound(spark, d, "voxels").drop("copies")
+    off = F.abs(F.col("x") - 25)
+    cells = v.filter(off <= 7).select(
+        "unit", "x", "y", "z", F.when((F.col("x") + F.col("z")) % 17 != 0, F.col("v")).alias("donor"), F.when(off <= 4, "inside").otherwise("shell").alias("part"), ((off - 4) * 0.4).alias("dist"))
+    return K.paste_donors(v, cells).groupBy("unit", "part").agg(F.count("*").alias("n"), F.round(F.avg("v"), 4).alias("mean"))
+
+
 @query("k12_latest_run", "SELECT o_custkey AS experiment, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS run FROM orders GROUP BY 1")
 def _(spark, d):
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("experiment"), F.col("o_orderdate").alias("mtime"), F.col("o_orderkey").alias("run"))
@@ -296,6 +312,15 @@ def _(spark, d):
     return spark.read.parquet(p)
 
 
+@query("s10_publish_table", "SELECT s_suppkey, s_acctbal + 1 AS s_acctbal FROM supplier")
+def _(spark, d):
+    p = tmp(spark, "published")
+    s = table(spark, d, "supplier").select("s_suppkey", "s_acctbal")
+    first = S.publish_table(s, p)
+    S.publish_table(S.read_published(spark, p).withColumn("s_acctbal", F.col("s_acctbal") + 1), p, expected=first)
+    return S.read_published(spark, p)
+
+
 @query("s11_upsert_by_key", "SELECT c_custkey, CASE WHEN c_nationkey < 5 THEN 'new' ELSE c_mktsegment END AS seg FROM customer")
 def _(spark, d):
     c = table(spark, d, "customer")
