@@ -61,11 +61,22 @@ def file_hashes(spark: SparkSession, root, pattern="*") -> DataFrame:
 
 
 def write_verified(df: DataFrame, path: str, fmt="parquet") -> DataFrame:
-    """Write, read back, and fail unless row count and schema survive."""
-    df.write.mode("overwrite").format(fmt).save(path)
+    """Write, read back, and fail unless schema, row count and content hash survive.
+
+    Count and hash of what was written are observed during the write, so the source is computed once.
+    """
+    from pyspark.sql import Observation
+
+    def seen(t: DataFrame) -> list[Column]:
+        # Sum of row hashes: the same in any order. Maps can't be hashed and count by their entries.
+        cols = [F.map_entries(f.name) if f.dataType.typeName() == "map" else F.col(f"`{f.name}`") for f in t.schema.fields]
+        return [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*cols).cast("decimal(38,0)")).alias("h")]
+
+    wrote = Observation()
+    df.observe(wrote, *seen(df)).write.mode("overwrite").format(fmt).save(path)
     back = df.sparkSession.read.format(fmt).load(path)
     plain = lambda s: [(f.name, f.dataType) for f in s.fields]
-    if plain(back.schema) != plain(df.schema) or back.count() != df.count():
+    if plain(back.schema) != plain(df.schema) or back.agg(*seen(back)).first().asDict() != wrote.get:
         raise RuntimeError(f"round trip of {path} does not match what was written")
     return back
 
@@ -78,7 +89,7 @@ def append_report(rows: DataFrame, path: str, run_id: str | None = None) -> str:
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Replace a table's files in one step: stage beside it, then swap the folders by rename."""
+    """Replace a table's files by two renames of whole folders: between them readers find no table (see ``publish_table``)."""
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
     stage, old = f"{path}.stage-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
@@ -96,6 +107,90 @@ def replace_table(df: DataFrame, path: str) -> None:
         fs.delete(at(old), True)
 
 
+# Folders of a published table: a file per version, and the data of each beside them.
+VERSIONS = "_versions"
+
+
+def _fs(spark: SparkSession, path: str):
+    """The Hadoop file system of ``path`` and a maker of its paths, so that any store Spark reads will do."""
+    jvm = spark.sparkContext._jvm
+    return jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+
+
+def _pointers(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """(version, data folder) in ascending order; a pointer that was begun but never written names no folder."""
+    fs, at = _fs(spark, path)
+    root = at(f"{path}/{VERSIONS}")
+    if not fs.exists(root):
+        return []
+    found = []
+    for f in fs.listStatus(root):
+        if f.getPath().getName().isdigit():
+            stream = fs.open(f.getPath())
+            try:
+                said = bytes(stream.readAllBytes()).decode()
+            finally:
+                stream.close()
+            found.append((int(f.getPath().getName()), said[:-1] if said.endswith("\n") else ""))
+    return sorted(found)
+
+
+def current_version(spark: SparkSession, path: str) -> int:
+    """Newest complete version of a published table, 0 if there is none."""
+    return max((v for v, folder in _pointers(spark, path) if folder), default=0)
+
+
+def read_published(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The newest complete version of a published table, or the one asked for."""
+    known = {v: folder for v, folder in _pointers(spark, path) if folder}
+    v = max(known, default=0) if version is None else version
+    if v not in known:
+        raise FileNotFoundError(f"{path} has no version {v}")
+    return spark.read.parquet(f"{path}/{known[v]}")
+
+
+def publish_table(df: DataFrame, path: str, expected: int | None = None, tries: int = 10) -> int:
+    """Publish ``df`` as the next version of the table at ``path`` and return its number.
+
+    The rows are written to a folder of their own; then one small file, created only if it isn't there yet, makes them
+    the newest version. A reader therefore sees the old rows or the new ones, whole, and keeps what it began to read;
+    a writer that dies at any point leaves the old version. Of two writers that reach for one number the later takes the
+    next, so the last to publish wins; with ``expected``, the version the rows were made from, it fails instead.
+    """
+    spark = df.sparkSession
+    fs, at = _fs(spark, path)
+    folder = f"data-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{folder}")
+    for _ in range(tries):
+        taken = _pointers(spark, path)
+        done = max((v for v, f in taken if f), default=0)
+        if expected is not None and done != expected:
+            break
+        number = max((v for v, _ in taken), default=0) + 1
+        try:
+            stream = fs.create(at(f"{path}/{VERSIONS}/{number}"), False)
+        except Exception as e:  # noqa: BLE001  the other writer's file is there
+            if not fs.exists(at(f"{path}/{VERSIONS}/{number}")):
+                raise RuntimeError(f"could not publish {path}") from e
+            continue
+        try:
+            stream.write(f"{folder}\n".encode())
+        finally:
+            stream.close()
+        return number
+    fs.delete(at(f"{path}/{folder}"), True)
+    raise RuntimeError(f"{path} changed while it was being written")
+
+
+def drop_versions(spark: SparkSession, path: str, keep: int = 2) -> None:
+    """Delete all but the ``keep`` newest versions and their data; readers of older ones must be done."""
+    fs, at = _fs(spark, path)
+    known = [p for p in _pointers(spark, path) if p[1]]
+    for number, folder in known[: max(len(known) - max(keep, 1), 0)]:
+        fs.delete(at(f"{path}/{VERSIONS}/{number}"), False)
+        fs.delete(at(f"{path}/{folder}"), True)
+
+
 def upsert_by_key(old: DataFrame, new: DataFrame, key) -> DataFrame:
     """Rows of processed keys replaced, all others kept."""
     keys = [key] if isinstance(key, str) else list(key)
@@ -111,9 +206,13 @@ def write_calls(df: DataFrame, path: str, fmt="json") -> None:
 
 
 def write_or_empty(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
-    if df.isEmpty():
-        df.limit(0).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """CSV whose header is there even with no rows; the source is computed once."""
+    from pyspark.sql import Observation
+
+    wrote = Observation()
+    df.observe(wrote, F.count(F.lit(1)).alias("n")).write.mode("overwrite").option("header", True).csv(path)
+    if not wrote.get["n"]:
+        df.sparkSession.createDataFrame([], df.schema).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_id_list(df: DataFrame, path: str, key="unit") -> None:
