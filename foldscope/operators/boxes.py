@@ -90,56 +90,56 @@ def affine_boxes(boxes: DataFrame, theta: Column, scale: Column, tx: Column, tz:
 # --- pair join ----------------------------------------------------------------------------------
 
 
-def _cells(rows: DataFrame, size: float) -> DataFrame:
-    """A copy of each box for every grid cell of side ``size`` that it touches."""
-    span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / F.lit(size)), F.floor(F.col(hi) / F.lit(size))))
-    return rows.select("*", span("x1", "x2").alias("_cx")).select("*", span("z1", "z2").alias("_cz"))
+def _touched(rows: DataFrame, size: Column, first: Column | None = None, last: Column | None = None) -> DataFrame:
+    """A copy of each row for every grid cell of side ``size`` that its box touches, within ``first`` to ``last`` if given."""
+    for c, lo, hi in (("_cx", "x1", "x2"), ("_cz", "z1", "z2")):
+        a, b = F.floor(F.col(lo) / size), F.floor(F.col(hi) / size)
+        if first is not None:
+            a, b = F.greatest(a, first[c]), F.least(b, last[c])
+        rows = rows.select("*", F.explode(F.sequence(a, b)).alias(c))
+    return rows
 
 
 def _dealt(rows: DataFrame, key: list[str], tile: float, limit: int) -> DataFrame:
     """Rows of both sides (``_side`` 0 or 1) dealt to leaf cells ``_lv, _cx, _cz`` and shares ``_sh`` of a cell.
 
-    A cell is split into quadrants while more than ``limit`` boxes of both sides meet in it and most of them are
-    smaller than it. Both sides follow the same table of split cells, so two boxes that overlap meet in the leaf that
-    holds the lower corner of their intersection. Where boxes are too large for smaller cells to part them, the
-    longer side is dealt out to shares and the shorter one copied to each. Cells without one side hold no pair.
+    A cell is split, 2^k by 2^k, while more than ``limit`` boxes of both sides meet in it and most of them are smaller
+    than it; k follows from the count and from the boxes' sizes. Both sides follow the same table of split cells, so two
+    boxes that overlap meet in the leaf that holds the lower corner of their intersection. Where boxes are too large for
+    smaller cells to part them, the longer side is dealt out to shares and the shorter one copied to each. Cells
+    without one side hold no pair.
     """
-    cell = [*key, "_cx", "_cz"]
-    size, level, done = float(tile), 0, None
-    todo = _cells(rows, size)
+    cell = [*key, "_lv", "_cx", "_cz"]
+    size = lambda lv: F.lit(float(tile)) / F.pow(F.lit(2.0), lv)
+    side = F.greatest(F.col("x2") - F.col("x1"), F.col("z2") - F.col("z1")).cast("double")
+    todo, done = _touched(rows.withColumn("_lv", F.lit(0)), F.lit(float(tile))), None
     while True:
-        wide = (F.col("x2") - F.col("x1") >= size) & (F.col("z2") - F.col("z1") >= size)
+        covers = F.least(F.col("x2") - F.col("x1"), F.col("z2") - F.col("z1")) >= size(F.col("_lv"))
         met = todo.groupBy(*cell).agg(
-            F.sum(F.lit(1) - F.col("_side")).alias("_na"), F.sum("_side").alias("_nb"), F.sum(F.when(wide, 1).otherwise(0)).alias("_wide"))
+            F.sum(F.lit(1) - F.col("_side")).alias("_na"), F.sum("_side").alias("_nb"), F.sum(F.when(covers, 1).otherwise(0)).alias("_wide"), F.avg(F.log2(side)).alias("_log"))
         crowded = runtime.cut(met.filter((F.col("_na") > 0) & (F.col("_nb") > 0) & (F.col("_na") + F.col("_nb") > limit)))
         if crowded.isEmpty():
-            last = todo.select("*", F.lit(level).alias("_lv"), F.lit(0).alias("_sh"))
+            last = todo.withColumn("_sh", F.lit(0))
             return last if done is None else done.unionByName(last)
-        split = F.col("_wide") * 2 <= F.col("_na") + F.col("_nb")
+        n = (F.col("_na") + F.col("_nb")).cast("double")
+        # Enough to bring the count down, but no finer than the boxes, and few copies of those that cover the cell.
+        most = F.least(F.ceil(F.log2(n / limit) / 2), F.floor(F.log2(size(F.col("_lv"))) - F.col("_log")), F.floor(F.log2(2 * n / F.greatest("_wide", F.lit(1))) / 2))
+        k = F.when(F.col("_wide") * 2 <= n, F.greatest(most, F.lit(1)).cast("int"))
         shares = F.ceil(F.greatest("_na", "_nb") / F.lit(limit)).cast("int")
-        flags = crowded.select(*cell, split.alias("_split"), F.when(~split, shares).alias("_shares"), (F.col("_nb") > F.col("_na")).cast("int").alias("_long"))
-        seen = runtime.join_groups(todo, flags, cell, "left").withColumn("_split", F.coalesce("_split", F.lit(False)))
+        flags = crowded.select(*cell, k.alias("_k"), F.when(k.isNull(), shares).alias("_shares"), (F.col("_nb") > F.col("_na")).cast("int").alias("_long"))
+        seen = runtime.join_groups(todo, flags, cell, "left")
         own = F.array(F.pmod(F.xxhash64(*XY), F.col("_shares")).cast("int"))
-        every = F.sequence(F.lit(0), F.col("_shares") - 1)
-        share = F.when(F.col("_shares").isNull(), F.array(F.lit(0))).when(F.col("_side") == F.col("_long"), own).otherwise(every)
-        leaf = seen.filter(~F.col("_split")).select(*todo.columns, F.lit(level).alias("_lv"), F.explode(share).alias("_sh"))
+        share = F.when(F.col("_shares").isNull(), F.array(F.lit(0))).when(F.col("_side") == F.col("_long"), own).otherwise(F.sequence(F.lit(0), F.col("_shares") - 1))
+        leaf = seen.filter("_k is null").select(*todo.columns, F.explode(share).alias("_sh"))
         done = leaf if done is None else done.unionByName(leaf)
-        if flags.filter("_split").isEmpty():
+        if flags.filter("_k is not null").isEmpty():
             return done
-        # Quadrants of the split cells that the box touches.
-        parent = [F.col(c).alias(f"_p{c}") for c in ("_cx", "_cz")]
-        rest = seen.filter("_split").select(*[c for c in todo.columns if c not in ("_cx", "_cz")], *parent)
-        size, level = size / 2, level + 1
-        todo = runtime.cut(_quadrants(rest, size).drop("_p_cx", "_p_cz"))
-
-
-def _quadrants(rows: DataFrame, size: float) -> DataFrame:
-    """A copy of each row for those of the four quadrants of its parent cell (``_p_cx``, ``_p_cz``) that its box touches."""
-    for c, lo, hi in (("_cx", "x1", "x2"), ("_cz", "z1", "z2")):
-        first = F.greatest(F.floor(F.col(lo) / F.lit(size)), 2 * F.col(f"_p{c}"))
-        last = F.least(F.floor(F.col(hi) / F.lit(size)), 2 * F.col(f"_p{c}") + 1)
-        rows = rows.select("*", F.explode(F.sequence(first, last)).alias(c))
-    return rows
+        parts = F.pow(F.lit(2.0), F.col("_k")).cast("long")
+        kept = [F.col(c) for c in todo.columns if c not in ("_lv", "_cx", "_cz")]
+        rest = seen.filter("_k is not null").select(*kept, (F.col("_lv") + F.col("_k")).alias("_lv"), *[(F.col(c) * parts).alias(f"_p{c}") for c in ("_cx", "_cz")], (parts - 1).alias("_in"))
+        low = {c: F.col(f"_p{c}") for c in ("_cx", "_cz")}
+        inside = _touched(rest, size(F.col("_lv")), low, {c: low[c] + F.col("_in") for c in low})
+        todo = runtime.cut(inside.select(*todo.columns))
 
 
 def pair_join(a: DataFrame, b: DataFrame, key: Sequence[str] = ("unit", "slice_y"), tile: float = 64.0, limit: int | None = None) -> DataFrame:
@@ -282,28 +282,38 @@ def _fused(src: DataFrame, key: list[str], thr: float) -> DataFrame:
         return sums.withColumns({c: F.col(f"w{c}") / F.col("sw") for c in XY}).select(*key, *names)
     if thr >= 1:  # none joins another
         return src.withColumns({"sw": F.col("score"), "n": F.lit(1).cast("long"), **{f"w{c}": F.col("score") * F.col(c) for c in XY}}).select(*key, *names)
-    uniq = runtime.cut(src.groupBy(*key, *XY, "score").agg(F.count("*").alias("_m")))
-    places = runtime.cut(uniq.select(*key, *XY).distinct().withColumn("_v", F.monotonically_increasing_id()))
-    edges = pair_join(places, places, key).filter((F.col("iou") > thr) & (F.col("a._v") < F.col("b._v"))).select(F.col("a._v").alias("a"), F.col("b._v").alias("b"))
-    named = places.join(graph_labels(edges).select(F.col("v").alias("_v"), "lab"), "_v", "left").select(*key, *XY, F.coalesce("lab", "_v").alias("_c"))
-    rows = runtime.cut(runtime.join_groups(uniq, named, [*key, *XY]))
-    done, todo = None, rows
+    # A place is a geometry of a slice. Two that share a hash would only be fused in one group, which changes nothing.
+    uniq = src.groupBy(*key, *XY, "score").agg(F.count("*").alias("_m"))
+    uniq = runtime.cut(uniq.withColumn("_v", F.xxhash64(*key, *XY)))
+    places = uniq.select(*key, *XY, "_v").distinct()
+    edges = pair_join(places, places, key).filter((F.col("iou") > thr) & (F.col("a._v") < F.col("b._v")))
+    edges = runtime.cut(edges.select(*key, F.col("a.x1").alias("_x"), F.col("a._v").alias("a"), F.col("b._v").alias("b")))
+    labels = graph_labels(edges, [*key, "_x"]).select(F.col("v").alias("_v"), "lab")
+    rows = runtime.cut(uniq.join(labels, "_v", "left").select(*key, *XY, "score", "_m", F.coalesce("lab", "_v").alias("_c"), F.col("lab").isNull().alias("_alone")))
+    done, todo = _piles(rows.filter("_alone"), key), rows.filter("not _alone")
     while True:
         fresh = runtime.cut(_fold_groups(todo, key, thr))
+        done = done.unionByName(fresh.select(*key, "_c", "clusters"))
         moved = fresh.select(*key, "_c", F.inline("moved"))
-        last = rows.groupBy(*key, *XY, "_c").agg(F.max(_turn()).alias("at"))
+        near = runtime.join_groups(rows, moved.select(*key).distinct(), key, "left_semi")
+        last = near.groupBy(*key, *XY, "_c").agg(F.max(_turn()).alias("at"))
         met = pair_join(moved, last, key).filter((F.col("iou") > thr) & (F.col("a._c") != F.col("b._c")) & (F.col("a.at") < F.col("b.at")))
         links = runtime.cut(met.select(F.col("a._c").alias("a"), F.col("b._c").alias("b")).distinct())
-        now = fresh.select(*key, "_c", "clusters")
-        done = now if done is None else done.unionByName(now)
         if links.isEmpty():
             return done.select(*key, F.inline("clusters"))
         joined = runtime.cut(graph_labels(links).select(F.col("v").alias("_c"), "lab"))
-        done = runtime.cut(done.join(joined, "_c", "left_anti"))
+        done = done.join(joined, "_c", "left_anti")
         rows = runtime.cut(rows.join(joined, "_c", "left").withColumn("_c", F.coalesce("lab", "_c")).drop("lab"))
         todo = rows.join(joined.select(F.col("lab").alias("_c")).distinct(), "_c", "left_semi")
 
 
+def _piles(rows: DataFrame, key: list[str]) -> DataFrame:
+    """``clusters`` of places that overlap no other: the boxes of such a place are one cluster, whatever their order."""
+    one = rows.groupBy(*key, *XY, "_c").agg(F.sum(F.col("score") * F.col("_m")).alias("sw"), F.sum("_m").alias("n"))
+    cluster = F.struct(*XY, "sw", *[(F.col("sw") * F.col(c)).alias(f"w{c}") for c in XY], "n").cast(CLUSTER)
+    return one.select(*key, "_c", F.array(cluster).alias("clusters"))
+
+
 def _turn() -> Column:
     """A box's place in the order of fusion."""
     return F.struct((-F.col("score")).alias("k"), *XY)
@@ -373,7 +383,13 @@ def tag_events(pred: DataFrame, gt: DataFrame, iou_thr: float = 0.3, key=("unit"
     left = seats
     while not edges.isEmpty():
         first = edges.groupBy(*key, "_pid").agg(F.min(F.struct((-F.col("iou")).alias("v"), "g")).alias("f")).select(*key, "_pid", F.col("f.g").alias("g"))
-        seat = runtime.join_groups(ranked(edges.select(*key, "_pid", "g"), [F.col("_pid")], [*key, "g"], "_rk"), left, [*key, "g"]).filter("_rk <= _cap")
+        # The strongest prediction of each geometry has a seat; further ones are ranked only where there are more seats.
+        seat = edges.groupBy(*key, "g").agg(F.min("_pid").alias("_pid"))
+        several = left.filter("_cap > 1")
+        rivals = runtime.cut(runtime.join_groups(edges.select(*key, "_pid", "g"), several.select(*key, "g"), [*key, "g"], "left_semi"))
+        if not rivals.isEmpty():
+            more = runtime.join_groups(ranked(rivals, [F.col("_pid")], [*key, "g"], "_rk"), several, [*key, "g"]).filter("_rk between 2 and _cap")
+            seat = seat.unionByName(more.select(*key, "g", "_pid"))
         won = runtime.cut(runtime.join_groups(first, seat.select(*key, "_pid", "g"), [*key, "_pid", "g"]))
         done = won if done is None else done.unionByName(won)
         used = won.groupBy(*key, "g").agg(F.count("*").alias("_u"))
