@@ -68,14 +68,14 @@ def write_verified(df: DataFrame, path: str, fmt="parquet") -> DataFrame:
     from pyspark.sql import Observation
 
     def seen(t: DataFrame) -> list[Column]:
-        # Sum of row hashes: the same in any order. Maps can't be hashed and count by their entries.
-        cols = [F.map_entries(f.name) if f.dataType.typeName() == "map" else F.col(f"`{f.name}`") for f in t.schema.fields]
+        # Sum of row hashes: the same in any order. Maps can't be hashed and count by their JSON.
+        cols = [F.to_json(F.struct(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in t.schema.fields]
         return [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*cols).cast("decimal(38,0)")).alias("h")]
 
     wrote = Observation()
     df.observe(wrote, *seen(df)).write.mode("overwrite").format(fmt).save(path)
     back = df.sparkSession.read.format(fmt).load(path)
-    plain = lambda s: [(f.name, f.dataType) for f in s.fields]
+    plain = lambda s: [(f.name, f.dataType.simpleString()) for f in s.fields]
     if plain(back.schema) != plain(df.schema) or back.agg(*seen(back)).first().asDict() != wrote.get:
         raise RuntimeError(f"round trip of {path} does not match what was written")
     return back
