@@ -372,6 +372,15 @@ def _(spark, d):
     return out.select("unit", "slice_y", F.round(F.col("ema") + 1e-9, 6).alias("ema"), "n_updates")
 
 
+@query("t1_score_ema_keyed", f"{with_('steps', recursive=True)}, {EMA} SELECT unit, slice_y, round(ema + 1e-9, 6) AS ema, n_updates FROM fin")
+def _(spark, d):
+    s = event_stream(spark, d, parts=8)
+    sink = tmp(spark, "ema")
+    T.ema_keyed_stream(s, sink, tmp(spark, "ck"))
+    out = T.ema_state(spark, sink, [s.schema["unit"], s.schema["slice_y"]])
+    return out.select("unit", "slice_y", F.round(F.col("ema") + 1e-9, 6).alias("ema"), "n_updates")
+
+
 @query("t2_progress_stream", """WITH w AS (SELECT event_type, unnest(range(0, 20)) AS k, CAST(floor(epoch(ts) / 30) AS BIGINT) * 30 AS b FROM events)
 SELECT b - k * 30 AS start_sec, CAST(sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) AS BIGINT) AS done, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS failed,
 round(sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) / 1e1, 6) AS rate_per_min FROM w GROUP BY 1""")

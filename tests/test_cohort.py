@@ -212,6 +212,37 @@ def test_ema_stream_drops_late_rows_and_resumes(spark, tmp_path):
     assert got == {1: (0.495, 3), 2: (0.2, 1)}
 
 
+def test_keyed_ema_drops_late_rows_resumes_and_replays(spark, tmp_path):
+    import shutil
+
+    src, sink, ck = (str(tmp_path / n) for n in ("src", "sink", "ck"))
+    schema = "unit int, slice_y int, step long, score double, is_positive boolean"
+    put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+    run = lambda: T.ema_keyed_stream(spark.readStream.schema(schema).parquet(src), sink, ck)
+    fields = spark.createDataFrame([], schema).schema.fields[:2]
+    read = lambda: {r.unit: (round(r.ema, 6), r.n_updates, r.last_step) for r in T.ema_state(spark, sink, fields).collect()}
+    provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    put([(1, 0, 1, 0.5, False), (1, 0, 2, 9.0, True), (None, 0, 5, 0.4, False)])
+    run()
+    put([(1, 0, 4, 0.0, False), (1, 0, 3, 1.0, False), (1, 0, 1, 7.0, False), (2, 0, 1, 0.2, False), (2, 0, 2, None, False), (None, 0, 6, 0.4, False)])
+    run()
+    want = {1: (0.495, 3, 4), 2: (0.2, 1, 1), None: (0.4, 2, 6)}
+    assert read() == want and spark.conf.get("spark.sql.streaming.stateStore.providerClass") == provider
+    # The batch that was committed last is forgotten and runs again: from the state before it, to the same rows.
+    last = max(int(n) for n in os.listdir(os.path.join(ck, "commits")) if n.isdigit())
+    for name in (str(last), f".{last}.crc"):
+        if os.path.exists(os.path.join(ck, "commits", name)):
+            os.remove(os.path.join(ck, "commits", name))
+    shutil.rmtree(os.path.join(sink, f"batch={last}"))
+    run()
+    assert read() == want
+    # Only touched keys are written.
+    put([(2, 0, 3, 0.4, False)])
+    run()
+    assert spark.read.parquet(os.path.join(sink, f"batch={last + 1}")).count() == 1
+    assert read()[2] == (round(0.9 * 0.2 + 0.1 * 0.4, 6), 2, 3)
+
+
 def test_ingest_stream_retries_failures(spark, tmp_path):
     src, sink, ck = (str(tmp_path / n) for n in ("src", "sink", "ck"))
     schema = "id int, status string, note string"
