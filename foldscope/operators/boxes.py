@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldscope import runtime
-from foldscope.operators.components import graph_labels
+from foldscope.operators.components import graph_labels, unique_rows
 from foldscope.operators.ordering import ranked, top_by
 
 IN_PLANE_MM = 0.82
@@ -452,8 +452,8 @@ def slice_max(boxes: DataFrame, aux: DataFrame, key=("unit", "slice_y"), aux_col
 
 
 def rescore(boxes: DataFrame, probs: DataFrame, key=("unit", "slice_y"), prob="prob") -> DataFrame:
-    """Multiply box scores by their slice probability; slices without one pass unchanged."""
-    return boxes.join(probs.select(*key, prob), list(key), "left").withColumn("score", F.col("score") * F.coalesce(prob, F.lit(1.0))).drop(prob)
+    """Multiply box scores by their slice probability; slices without one pass unchanged, one with two is an error."""
+    return boxes.join(unique_rows(probs.select(*key, prob), list(key), prob), list(key), "left").withColumn("score", F.col("score") * F.coalesce(prob, F.lit(1.0))).drop(prob)
 
 
 def slice_index(units: DataFrame, boxes: DataFrame, lo="lo", hi="hi") -> DataFrame:

@@ -65,8 +65,8 @@ def reclassify(df: DataFrame, evidence: DataFrame, key="unit", cohort="cohort")
 
 
 def backfill(df: DataFrame, src: DataFrame, key: str, col: str) -> DataFrame:
-    """Fill blank or NULL values of ``col`` from ``src``."""
-    s = src.select(key, F.col(col).alias("_src"))
+    """Fill blank or NULL values of ``col`` from ``src``; of several values of a key the least."""
+    s = src.groupBy(key).agg(F.min(col).alias("_src"))
     return df.join(s, key, "left").withColumn(col, F.coalesce(F.nullif(F.trim(col), F.lit("")), "_src")).drop("_src")
 
 

@@ -451,7 +451,7 @@ def crop_to_frames(points: DataFrame, frames: DataFrame, key: Sequence[str] = ("
     Points of a key without a window are dropped; a repeated key is an error.
     """
     key = list(key)
-    window = _once(frames.select(*key, F.struct(*[f"{p}{c}" for p in "on" for c in "xyz"]).alias("_w")), key, "_w")
+    window = unique_rows(frames.select(*key, F.struct(*[f"{p}{c}" for p in "on" for c in "xyz"]).alias("_w")), key, "_w")
     joined = runtime.join_groups(points, window, key)
     w = F.col("_w")
     return crop_points(joined, [w[f"o{c}"] for c in "xyz"], [w[f"n{c}"] for c in "xyz"]).drop("_w")
@@ -463,14 +463,14 @@ def pad_to_frame(points: DataFrame, boxes: DataFrame, shape: Sequence[int], key:
     A box longer than the frame on any axis is an error, as is a repeated key; points of a key without one are dropped.
     """
     key = list(key)
-    window = _once(boxes.select(*key, F.struct(*[f"{c}{k}" for c in "xyz" for k in "01"]).alias("_w")), key, "_w")
+    window = unique_rows(boxes.select(*key, F.struct(*[f"{c}{k}" for c in "xyz" for k in "01"]).alias("_w")), key, "_w")
     out = runtime.join_groups(points, window, key)
     for c, n in zip("xyz", shape):
         out = crop_pad(out, c, F.col("_w")[f"{c}0"], F.col("_w")[f"{c}1"], n)
     return out.drop("_w")
 
 
-def _once(df: DataFrame, key: list[str], value: str) -> DataFrame:
+def unique_rows(df: DataFrame, key: list[str], value: str) -> DataFrame:
     """One row per key; a key that stands there twice stops the job."""
     stop = F.raise_error(F.concat(F.lit("repeated key: "), F.to_json(F.struct(*key))))
     return df.groupBy(*key).agg(F.count("*").alias("_n"), F.first(value).alias(value)).select(

@@ -406,11 +406,11 @@ def _(spark, d):
 
 
 @query("x1_bootstrap_udf", f"""{with_('units_small')}, idx AS (SELECT *, row_number() OVER (ORDER BY unit) - 1 AS i, count(*) OVER () AS n0 FROM units_small),
-rep AS (SELECT b, quantile_cont(score, 0.5) AS s FROM (SELECT b, {HASH("'42'", 'b', 'i', digits=15)} % n0 AS i FROM idx, range(40) r(b)) d JOIN idx USING (i) GROUP BY b) SELECT round(quantile_cont(s, 0.025), 6) AS ci_lower, round(quantile_cont(s, 0.975), 6) AS ci_upper FROM rep""")
+rep AS (SELECT b, quantile_cont(score, 0.5) AS s FROM (SELECT b, {HASH("'42'", 'b', 'i', digits=15)} % n0 AS i FROM idx, range(1000) r(b)) d JOIN idx USING (i) GROUP BY b) SELECT round(quantile_cont(s, 0.025), 6) AS ci_lower, round(quantile_cont(s, 0.975), 6) AS ci_upper FROM rep""")
 def _(spark, d):
     import numpy as np
 
-    return M.bootstrap_udf(bound(spark, d, "units_small"), ["unit"], np.median, ["score"], 40).select(r6("ci_lower"), r6("ci_upper"))
+    return M.bootstrap_udf(bound(spark, d, "units_small"), ["unit"], np.median, ["score"], 1000).select(r6("ci_lower"), r6("ci_upper"))
 
 
 @query("x2_score_batches", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) * i)) / 64, 5) AS score FROM embeddings")
