@@ -59,13 +59,23 @@ class Block:
 
     def __init__(self, row: dict) -> None:
         self.dim, self.ids = row["dim"], np.frombuffer(row["vec_ids"], "<i8")
-        self.x = np.frombuffer(row["x"], "<i8").reshape(len(self.ids), self.dim).astype(np.float64)  # exact below 2^53
+        self.x = np.frombuffer(row["x"], "<i8").reshape(len(self.ids), self.dim)
+        self.largest = float(np.abs(self.x.astype(np.float64)).max(initial=0.0))
+        self.floats: np.ndarray | None = None
         self.postings, self.seg_dim, self.start = (np.frombuffer(row[c], "<i4") for c in ("postings", "seg_dim", "seg_start"))
         self.low, self.high = (np.frombuffer(row[c], "<i8") for c in ("seg_low", "seg_high"))
         self.end = np.r_[self.start[1:], len(self.postings)] if len(self.start) else self.start
         self.segments = [self.postings[a:b] for a, b in zip(self.start, self.end, strict=True)]
         self.first = np.searchsorted(self.seg_dim, np.arange(self.dim)) if self.dim else np.zeros(0, int)
 
+    def factors(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors and query for products: doubles where every sum is exact in them, else integers."""
+        if self.dim * self.largest * float(np.abs(q.astype(np.float64)).max(initial=0.0)) >= 2.0**53:
+            return self.x, q
+        if self.floats is None:
+            self.floats = self.x.astype(np.float64)
+        return self.floats, q.astype(np.float64)
+
     def search(self, own: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k best rows but those of id ``own``: by score, ties to the smaller id."""
         n, q = len(self.ids), q.astype(np.int64)
@@ -82,36 +92,44 @@ class Block:
         by_dim = order[np.argsort(self.seg_dim[order], kind="stable")]
         same = self.seg_dim[by_dim[1:]] == self.seg_dim[by_dim[:-1]]
         following[by_dim[:-1][same]] = gains[by_dim[1:][same]]
-        others, factor = self.ids != own, q.astype(np.float64)
+        others, (x, factor) = self.ids != own, self.factors(q)
         for at in range(0, len(order), TRY_EVERY):
             for s in order[at : at + TRY_EVERY]:
                 added[self.segments[s]] += gains[s]
                 ahead[self.seg_dim[s]] = following[s]
-            possible = self._possible(added, base + int(ahead.sum()), others, factor, k)
+            possible = self._possible(added, base + int(ahead.sum()), others, x, factor, k)
             if FEW * len(possible) <= n:
                 break
         else:
-            possible = self._possible(added, base, others, factor, k)
-        scores = (self.x[possible] @ factor).astype(np.int64)
+            possible = self._possible(added, base, others, x, factor, k)
+        scores = (x[possible] @ factor).astype(np.int64)
         best = np.lexsort((self.ids[possible], -scores))[:k]
         return self.ids[possible][best], scores[best]
 
-    def _possible(self, added: np.ndarray, rest: int, others: np.ndarray, q: np.ndarray, k: int) -> np.ndarray:
+    def _possible(self, added: np.ndarray, rest: int, others: np.ndarray, x: np.ndarray, q: np.ndarray, k: int) -> np.ndarray:
         """Rows whose bound reaches the k-th of some exact scores; all rows if there are fewer than k."""
         lead = np.argpartition(-added, min(len(added) - 1, 2 * k))[: 2 * k + 1]
         lead = lead[others[lead]]
         if len(lead) < k:
             return np.flatnonzero(others)
-        sure = np.sort(self.x[lead] @ q)[-k]
+        sure = np.sort(x[lead] @ q)[-k]
         return np.flatnonzero(others & (added + rest >= sure))
 
 
+def largest(rows: DataFrame) -> tuple[float, int]:
+    """The largest absolute component and the most dimensions of the quantised vectors."""
+    ends = [F.abs(f("x").cast("double")) for f in (F.array_max, F.array_min)]
+    found = rows.agg(F.coalesce(F.max(F.greatest(*ends)), F.lit(0.0)), F.coalesce(F.max(F.size("x")), F.lit(0))).first()
+    return found[0], found[1]
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k rows of ``vectors`` with the highest integer inner product.
 
     Both tables have vec_id and embedding. Rows with a NULL id or an unsound vector take no part; vectors of other
     lengths than the query's aren't compared with it; rows that repeat an id and vector count once, and rows with
     the query's id are its own. Queries and vectors meet in blocks of bounded size, each pair of blocks once.
+    Scores are exact 64-bit integers; vectors so large that a sum might not fit are an error, not a wrong score.
     """
     spark = vectors.sparkSession
 
@@ -120,6 +138,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 25
         return rows.filter("vec_id is not null and x is not null").dropDuplicates(["vec_id", "x"])
 
     v, q = cut(sound(vectors)), cut(sound(queries))
+    (big, dim), (asked_big, _) = largest(v), largest(q)
+    if 2 * dim * big * asked_big >= 2.0**63:
+        raise ValueError(f"components up to {big:g} and {asked_big:g} in {dim} dimensions: inner products may not fit 64 bits")
     blocks, groups = max(1, -(-v.count() // BLOCK_ROWS)), max(1, -(-q.count() // QUERY_ROWS))
 
     def index(key, rows: pd.DataFrame) -> pd.DataFrame:

@@ -121,6 +121,20 @@ def test_topk_equals_brute_force(spark, monkeypatch, block, try_every):
     assert topk.search(table.limit(0), table.limit(0)).count() == 0
 
 
+def test_topk_of_large_components(spark):
+    """Sums beyond 2^53 stay exact; those that might not fit 64 bits are refused."""
+    rng = np.random.default_rng(8)
+    vectors = [(i, [float(x) for x in rng.integers(-1_000_000, 1_000_000, 12) + rng.random(12)]) for i in range(120)]
+    vectors += [(200 + i, [x + (i % 3) * 2.0**-8 for x in vectors[0][1]]) for i in range(9)]  # scores a few units apart near 2^58
+    table = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    got = topk.search(table, table.filter("vec_id % 10 = 0"), k=5)
+    assert Counter(tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()) == brute_topk(vectors, lambda q: q % 10 == 0, 5)
+    for large in (1e8, 1e30, -1e300):
+        wild = table.union(spark.createDataFrame([(999, [large] * 12)], table.schema))
+        with pytest.raises(ValueError, match="64 bits"):
+            topk.search(wild, wild)
+
+
 def test_proof_ends_early():
     """On clustered vectors the proof comes before all segments are added, with the same result."""
     rng = np.random.default_rng(1)
