@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldscope.llm import linear
+from foldscope.llm import linear, tokens
 from foldscope.llm.common import packed, row_key
 from foldscope.runtime import cut
 
@@ -85,6 +85,7 @@ def features(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key("doc_id", "text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"), "text")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()  # a worker may have encoded texts before, and the words it remembers are of no use here
         for batch in batches:
             x = [text_view(t.as_py()).tobytes() for t in batch.column(6)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(x, pa.binary())], [*batch.schema.names[:6], "x"])

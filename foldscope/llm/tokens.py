@@ -170,6 +170,11 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def forget() -> None:
+    """Free this worker's memos, where other work follows in it."""
+    _encoders.clear()
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, percentile: int = 90, shards: int | None = None) -> None:
     """Encode ``docs`` (doc_id, text) into a table of chunks at ``path``.
 
