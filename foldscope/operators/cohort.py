@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foldscope import runtime
 from foldscope.functions.hashing import hash32
 from foldscope.operators.ordering import quantiles, ranked, top_by
 from foldscope.runtime import join_groups
@@ -244,7 +245,7 @@ def nearest_match(masks: DataFrame, series: DataFrame, tol: int = 2, unit="unit"
     """
     near = masks.select(unit, mask, F.explode(dims).alias("_d")).withColumn("_o", F.explode(F.sequence(F.lit(-tol), F.lit(tol))))
     near = near.groupBy(unit, mask, (F.col("_d") + F.col("_o")).alias("_n")).agg(F.min(F.abs("_o")).alias("diff"))
-    j = near.join(series.select(unit, name, F.col(n).alias("_n")), [unit, "_n"])
+    j = runtime.spread(near).join(series.select(unit, name, F.col(n).alias("_n")), [unit, "_n"])
     one = j.groupBy(unit, mask).agg(F.count_distinct(name).alias("_k"), F.min(name).alias(name), F.min("diff").alias("diff"))
     return one.filter("_k = 1").drop("_k")
 
