@@ -252,7 +252,7 @@ def resample(
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     draws = slots.repartition(parts, "_i").select(*by, "_n", "_i", reps).select(*by, "_b", hashing.index(F.col("_n"), seed, F.col("_b"), F.col("_i")).alias("_i"))
     counts = draws.groupBy(*by, "_b", "_i").agg(F.count("*").alias("_wt"))
-    return runtime.join_groups(counts, idx, [*by, "_i"]).drop("_i")
+    return runtime.join_groups(runtime.spread(counts), idx, [*by, "_i"]).drop("_i")
 
 
 def _replicate_stat(rep: DataFrame, stat: str, score, label, keys, limit) -> DataFrame:
