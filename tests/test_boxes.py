@@ -213,3 +213,30 @@ def test_matching_with_null_keys(spark):
     for thr in (0.0, 0.3):
         got = sorted((r.unit or 0, r.tag) for r in B.tag_events(p, g, thr, ["unit"]).collect())
         assert got == [(0, "fp"), (0, "tp"), (1, "fn"), (1, "fp")]
+
+
+def fold_wbf(boxes, thr):
+    """Fused boxes (x1, z1, x2, z2, score, n), with running sums as the check SQL has them."""
+    cl = []
+    for *b, s in boxes:
+        v = [iou(c[0], b) for c in cl]
+        if v and max(v) > thr:
+            c = cl[v.index(max(v))]
+            c[1:] = [c[1] + s, [w + s * x for w, x in zip(c[2], b)], c[3] + 1]
+            c[0] = [w / c[1] for w in c[2]]
+        else:
+            cl.append([b, s, [s * x for x in b], 1])
+    return [(*c[0], c[1] / c[3], c[3]) for c in cl]
+
+
+def test_wbf_places_at_the_threshold(spark):
+    """Equal boxes sum up to a fused box an ulp off, which decides where another box overlaps by exactly the threshold."""
+    x, z = 26.341796875, 0.1484375
+    big, small = (x, z, x + 20 / 1024, z + 21 / 1024), (x, z, x + 12 / 1024, z + 14 / 1024)
+    r = np.random.default_rng(3)
+    piles = [((u, 0), sorted(r.uniform(0.5, 1, 2), reverse=True)) for u in range(60)] + [((u, 1), [r.uniform(0.5, 1)] * 3) for u in range(60)]
+    slices = {k: [(*big, float(s)) for s in scores] + [(*small, 0.0131)] for k, scores in piles}
+    want = sorted(tuple(np.round((*k, *o), 6)) for k, boxes in slices.items() for o in fold_wbf(boxes, 0.4))
+    rows = [(*k, *b) for k, boxes in slices.items() for b in boxes]
+    assert sorted(tuple(np.round(tuple(r), 6)) for r in B.wbf(frame(spark, rows), 400, 400, 0.4).collect()) == want
+    assert all(max(w[-1] for w in want if w[1] == s) > n for s, n in ((0, 2), (1, 3)))
