@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from foldscope.functions import hashing as H
@@ -75,10 +77,18 @@ def _(spark, d):
     return table(spark, d, "customer").select(k.alias("id"), S.mnemonic(k, F.lit(0), WORDS).alias("name"))
 
 
+def name_words(n: int) -> list[list[str]]:
+    """The words with four endings, and with numbered ones besides until there are two names for each of ``n`` ids."""
+    ends = ["", "er", "ly", "ish"]
+    while math.prod(len(w) * len(ends) for w in WORDS) < 2 * n:
+        ends.append(str(len(ends)))
+    return [[a + b for a in w for b in ends] for w in WORDS]
+
+
 @query("f8_assign_mnemonics")
 def _(spark, d):
-    words = [[a + b for a in w for b in ("", "er", "ly", "ish")] for w in WORDS]
-    return S.assign_mnemonics(table(spark, d, "customer").select(F.col("c_custkey").alias("id")), words)
+    ids = table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
+    return S.assign_mnemonics(ids, name_words(ids.count()))
 
 
 @query("f9_replace_once", "SELECT page_id, CASE WHEN strpos(html, 'li') > 0 THEN sha256(substr(html, 1, strpos(html, 'li') - 1) || url || substr(html, strpos(html, 'li') + 2)) ELSE sha256(html) END AS h FROM pages")
