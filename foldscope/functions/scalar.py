@@ -94,7 +94,7 @@ def assign_mnemonics(ids: DataFrame, words: Sequence[Sequence[str]], key="id", m
     for _ in range(max_rounds):
         named = cur.withColumn("name", mnemonic(F.col(key), F.col("attempt"), words))
         own = named.groupBy("name").agg(F.min(key).alias("_own"))
-        nxt = runtime.cut(named.join(own, "name").select(key, "name", F.when(F.col(key) == F.col("_own"), F.col("attempt")).otherwise(F.col("attempt") + 1).alias("attempt"),
+        nxt = runtime.cut(runtime.spread(named).join(own, "name").select(key, "name", F.when(F.col(key) == F.col("_own"), F.col("attempt")).otherwise(F.col("attempt") + 1).alias("attempt"),
                                                          (F.col(key) != F.col("_own")).alias("lost")))
         if nxt.filter("lost").isEmpty():
             return nxt.select(key, "name", "attempt")
