@@ -263,9 +263,13 @@ def cascade_match(masks: DataFrame, series: DataFrame, tol=2, unit="unit", mask=
 
 
 def shape_match(masks: DataFrame, volumes: DataFrame, unit="unit", mask="mask", dims="dims", name="file", pref="pref") -> DataFrame:
-    """First preferred volume with the same dimensions in any axis order."""
+    """First preferred volume with the same dimensions in any axis order.
+
+    Of the volumes of a unit with equal dimensions only the first can be anyone's, so no mask meets the others.
+    """
     s = lambda df: df.withColumn("_s", F.array_sort(dims)).drop(dims)
-    j = s(masks.select(unit, mask, dims)).join(s(volumes.select(unit, name, pref, dims)), [unit, "_s"])
+    firsts = top_by(s(volumes.select(unit, name, pref, dims)), [unit, "_s"], [F.col(pref), F.col(name)], [pref, name])
+    j = s(masks.select(unit, mask, dims)).join(firsts, [unit, "_s"])
     return top_by(j.drop("_s"), [unit, mask], [F.col(pref), F.col(name)])
 
 

@@ -28,3 +28,13 @@ def test_candidate_counts_are_shuffled(spark):
 def test_ring_cells_are_shuffled(spark):
     v = spark.range(30).select(F.lit(1).alias("unit"), F.col("id").alias("x"), F.lit(0).alias("y"), F.lit(0).alias("z"), F.col("id").cast("double").alias("v"))
     assert _plan(components.ring_contrast(v, v.filter("v > 20"))).count("SortMergeJoin") == 2
+
+
+def test_one_volume_per_shape_meets_the_masks(spark):
+    ids = spark.range(300)
+    dims = lambda *v: F.array(*[F.lit(x) for x in v])
+    masks = ids.select(F.lit(1).alias("unit"), F.col("id").alias("mask"), dims(2, 3, 1).alias("dims"))
+    volumes = ids.select(F.lit(1).alias("unit"), F.concat(F.lit("v"), F.col("id")).alias("file"), (F.col("id") % 7).alias("pref"), dims(3, 1, 2).alias("dims"))
+    out = cohort.shape_match(masks, volumes)
+    assert "Aggregate" in _plan(out).split("Join", 1)[1]
+    assert [tuple(r) for r in out.groupBy("file").count().collect()] == [("v0", 300)]
