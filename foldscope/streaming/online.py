@@ -104,50 +104,59 @@ def ema_stream(stream: DataFrame, state: str, checkpoint: str, key: Sequence[str
     _run(stream.writeStream.foreachBatch(fold), checkpoint)
 
 
+# A fixed number of bundles of keys share a state each; it belongs to a checkpoint and must not change under it.
+BUNDLES = 1 << 14
+
+
 def ema_keyed_stream(
     stream: DataFrame, sink: str, checkpoint: str, key: Sequence[str] = ("unit", "slice_y"), step="step", score="score", positive="is_positive", decay=0.9,
+    bundles: int = BUNDLES,
 ) -> None:
-    """The moving average of ``ema_stream`` with the state in Spark's state store: a batch reads the keys it touches.
+    """The moving average of ``ema_stream`` with the state in Spark's state store: a batch reads the bundles it touches.
 
     Rows at or behind a key's last step are dropped, positives ignored, rows of one batch folded by (step, score); NULL
     scores and steps are no rows. Updated keys go to ``sink``, read by ``ema_state``. A batch that is run again after a
     failure starts from the state before it and rewrites its own delta. The state is three numbers a key and is kept for
-    good. One batch's rows of a key are one task's; size the batches (files or bytes a trigger) where a key is hot.
+    good. Keys meet in ``bundles`` by hash and a call folds a bundle, because a call costs far more than a row. One batch's
+    rows of a bundle are one task's; size the batches (files or bytes a trigger) where a key is hot.
     """
+    import pickle
+
     import pandas as pd
-    from pyspark.sql.streaming import StatefulProcessor
 
     spark, key = stream.sparkSession, list(key)
-    schema = _ema_schema([stream.schema[k] for k in key])
-    held = "ema double, n_updates long, last_step long"
-
-    class Average(StatefulProcessor):
-        def init(self, handle) -> None:
-            self.state = handle.getValueState("ema", held)
-
-        def handleInputRows(self, key, rows, timerValues):  # the names are Spark's
-            ema, n, last = self.state.get() if self.state.exists() else (None, 0, None)
-            new = pd.concat([r[[step, score]] for r in rows]).dropna()
-            new = new if last is None else new[new[step] > last]
-            for value in new.sort_values([step, score])[score].tolist():
-                ema = value if ema is None else decay * ema + (1 - decay) * value
-            if len(new):
-                n, last = n + len(new), int(new[step].max())
-                self.state.update((ema, n, last))
-                yield pd.DataFrame([(*key, ema, n, last)], columns=schema.names)
-
-        def close(self) -> None:
-            pass
+    fields = [stream.schema[k] for k in key]
+    stamp = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
+    def fold(bundle, batches, state):
+        held = pickle.loads(state.get[0]) if state.exists else {}
+        rows = pd.concat(list(batches)).sort_values([step, score])
+        since, seen = {}, {}
+        for k, at, value in zip(rows["_key"].tolist(), rows[step].tolist(), rows[score].tolist()):
+            if k not in since:
+                since[k] = held.get(k)
+            ema, n, _ = seen.get(k) or since[k] or (None, 0, None)
+            if since[k] is None or at > since[k][2]:
+                seen[k] = value if ema is None else decay * ema + (1 - decay) * value, n + 1, at
+        if seen:
+            held.update(seen)
+            state.update((pickle.dumps(held),))
+            yield pd.DataFrame([(k, *v) for k, v in seen.items()], columns=["_key", "ema", "n_updates", "last_step"])
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        typed = F.from_json("_key", StructType([StructField(f"k{i}", f.dataType) for i, f in enumerate(fields)]), stamp)
+        batch.withColumn("_key", typed).select(*[F.col(f"_key.k{i}").alias(k) for i, k in enumerate(key)], "ema", "n_updates", "last_step").write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
     setting = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(setting)
     spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        kept = stream.filter(~F.col(positive)).select(*key, F.col(step).cast("long").alias(step), F.col(score).cast("double").alias(score)).groupBy(*key)
-        out = kept.transformWithStateInPandas(Average(), schema, "Update", "None")
+        named = F.to_json(F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(key)]), stamp).alias("_key")
+        kept = stream.filter(~F.col(positive)).select(named, F.col(step).cast("long").alias(step), F.col(score).cast("double").alias(score))
+        kept = kept.filter(F.col(step).isNotNull() & F.col(score).isNotNull() & ~F.isnan(score))
+        bundled = kept.withColumn("_bundle", F.pmod(F.xxhash64("_key"), F.lit(bundles)))
+        out = bundled.groupBy("_bundle").applyInPandasWithState(
+            fold, "_key string, ema double, n_updates long, last_step long", "held binary", "update", "NoTimeout")
         _run(out.writeStream.outputMode("update").foreachBatch(save), checkpoint)
     finally:
         spark.conf.set(setting, before)
