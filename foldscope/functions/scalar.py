@@ -175,21 +175,31 @@ def flatten_json(df: DataFrame, col: str, depth: int | None = None) -> DataFrame
     deeper levels where it is known; a deeper object is then an error.
     """
     kind = "map<string,string>"
-    is_obj = F.coalesce(F.col("value").startswith("{") & (F.size(F.from_json("value", kind)) > 0), F.lit(False))
-    level = df.select(F.lit("").alias("path"), F.col(col).alias("value"))
-    done, levels = None, 0
+    entries = lambda text: F.transform(F.map_entries(F.from_json(text, kind)), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v")))
+    # The entries of an object, none of other text: each text is parsed once a level.
+    inner = F.when(F.col("value").startswith("{"), entries(F.col("value")))
+    level = df.select(F.lit("").alias("path"), F.explode(entries(F.col(col))).alias("e"))
+    level = level.select(F.col("e.k").alias("path"), F.col("e.v").alias("value"))
+    done, levels = None, 1
     while True:
-        kv = level.select("path", F.explode(F.from_json("value", kind)).alias("k", "v"))
-        kv = kv.select(F.concat("path", F.when(F.col("path") != "", ".").otherwise(""), "k").alias("path"), F.col("v").alias("value"))
-        kv = kv if depth else runtime.cut(kv)
-        leaf, level = kv.filter(~is_obj), kv.filter(is_obj)
-        done = leaf if done is None else done.unionByName(leaf)
-        levels += 1
-        if depth == levels:
+        last = depth is not None and levels == depth
+        seen = level.withColumn("_in", inner)
+        is_obj = F.coalesce(F.size("_in") > 0, F.lit(False))
+        if last:
             deeper = F.raise_error(F.concat(F.lit("an object lies deeper than stated: "), "path")).cast("string")
-            return done.unionByName(level.select("path", deeper.alias("value")))
-        if depth is None and level.isEmpty():
-            return done
+            return seen.select("path", F.when(is_obj, deeper).otherwise(F.col("value")).alias("value"))
+        # A leaf goes on as its own only entry.
+        own = F.array(F.struct(F.lit(None).cast("string").alias("k"), F.col("value").alias("v")))
+        opened = seen.select("path", F.explode(F.when(is_obj, F.col("_in")).otherwise(own)).alias("e"), is_obj.alias("_open"))
+        path = F.when(F.col("_open"), F.concat("path", F.when(F.col("path") != "", ".").otherwise(""), "e.k")).otherwise(F.col("path"))
+        level = opened.select(path.alias("path"), F.col("e.v").alias("value"), "_open")
+        if depth is None:
+            level = runtime.cut(level)
+            leaf, level = level.filter(~F.col("_open")), level.filter("_open")
+            done = leaf if done is None else done.unionByName(leaf)
+            if level.isEmpty():
+                return done.select("path", "value")
+        levels += 1
 
 
 def status_of(exit_code: Column, n_files: Column, n_slices: Column, min_slices: int = 30) -> Column:

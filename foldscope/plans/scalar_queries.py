@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from foldscope import runtime
 from foldscope.functions import hashing as H
 from foldscope.functions import scalar as S
 from foldscope.plans.bindings import bound, table, with_
@@ -169,7 +170,7 @@ CFG = """a AS (SELECT 'events.' || event_id || '.k' AS path, json_extract_string
 @query("f22_config_diff", f"WITH {CFG} SELECT coalesce(a.path, b.path) AS path, a.value AS old, b.value AS new FROM a FULL JOIN b ON a.path = b.path WHERE a.value IS DISTINCT FROM b.value")
 def _(spark, d):
     doc = F.concat(F.lit('{"events":{"'), F.col("event_id").cast("string"), F.lit('":'), F.col("props"), F.lit('},"logging":{"level":"'), F.col("event_type"), F.lit('"}}'))
-    a = S.flatten_json(table(spark, d, "events").select(doc.alias("doc")), "doc", 3)
+    a = runtime.cut(S.flatten_json(table(spark, d, "events").select(doc.alias("doc")), "doc", 3))
     b = a.filter("value <> '9'").withColumn("value", F.when(F.col("value") == "7", "8").otherwise(F.col("value")))
     return S.config_diff(a.filter("path not like 'logging%'"), b.filter("path not like 'logging%'"))
 
