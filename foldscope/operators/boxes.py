@@ -17,6 +17,8 @@ from foldscope.operators.ordering import ranked, top_by
 
 IN_PLANE_MM = 0.82
 XY = ("x1", "z1", "x2", "z2")
+# A cell of a pair join is split as long as that brings its boxes nearer to this number.
+CELL_MATES = 32
 
 
 # --- geometry -----------------------------------------------------------------------------------
@@ -107,23 +109,31 @@ def _dealt(rows: DataFrame, key: list[str], tile: float, limit: int) -> DataFram
     than it; k follows from the count and from the boxes' sizes. Both sides follow the same table of split cells, so two
     boxes that overlap meet in the leaf that holds the lower corner of their intersection. Where boxes are too large for
     smaller cells to part them, the longer side is dealt out to shares and the shorter one copied to each. Cells
-    without one side hold no pair.
+    without one side hold no pair. Cells below the limit are split too, a few times, while smaller cells save many
+    comparisons for each box.
     """
     cell = [*key, "_lv", "_cx", "_cz"]
     size = lambda lv: F.lit(float(tile)) / F.pow(F.lit(2.0), lv)
     side = F.greatest(F.col("x2") - F.col("x1"), F.col("z2") - F.col("z1")).cast("double")
     todo, done = _touched(rows.withColumn("_lv", F.lit(0)), F.lit(float(tile))), None
+    few, total, finer = min(CELL_MATES, limit), rows.count(), 4
+    n = (F.col("_na") + F.col("_nb")).cast("double")
+    work = F.col("_na") * F.col("_nb")
+    # Enough to bring the count down, but no finer than the boxes, and few copies of those that cover the cell.
+    most = F.least(F.ceil(F.log2(n / few) / 2), F.floor(F.log2(size(F.col("_lv"))) - F.col("_log")), F.floor(F.log2(2 * n / F.greatest("_wide", F.lit(1))) / 2))
+    over = n > limit
     while True:
         covers = F.least(F.col("x2") - F.col("x1"), F.col("z2") - F.col("z1")) >= size(F.col("_lv"))
         met = todo.groupBy(*cell).agg(
             F.sum(F.lit(1) - F.col("_side")).alias("_na"), F.sum("_side").alias("_nb"), F.sum(F.when(covers, 1).otherwise(0)).alias("_wide"), F.avg(F.log2(side)).alias("_log"))
-        crowded = runtime.cut(met.filter((F.col("_na") > 0) & (F.col("_nb") > 0) & (F.col("_na") + F.col("_nb") > limit)))
+        gains = (F.col("_wide") * 2 <= n) & (most >= 1) & (work > few * n) & F.lit(finer > 0)
+        crowded = runtime.cut(met.filter((F.col("_na") > 0) & (F.col("_nb") > 0) & (over | gains)))
+        saved = crowded.filter(~over).agg(F.sum(work.cast("double"))).first()[0] or 0.0
+        finer = finer - 1 if saved > few * total else 0
+        crowded = crowded if finer else crowded.filter(over)
         if crowded.isEmpty():
             last = todo.withColumn("_sh", F.lit(0))
             return last if done is None else done.unionByName(last)
-        n = (F.col("_na") + F.col("_nb")).cast("double")
-        # Enough to bring the count down, but no finer than the boxes, and few copies of those that cover the cell.
-        most = F.least(F.ceil(F.log2(n / limit) / 2), F.floor(F.log2(size(F.col("_lv"))) - F.col("_log")), F.floor(F.log2(2 * n / F.greatest("_wide", F.lit(1))) / 2))
         k = F.when(F.col("_wide") * 2 <= n, F.greatest(most, F.lit(1)).cast("int"))
         shares = F.ceil(F.greatest("_na", "_nb") / F.lit(limit)).cast("int")
         flags = crowded.select(*cell, k.alias("_k"), F.when(k.isNull(), shares).alias("_shares"), (F.col("_nb") > F.col("_na")).cast("int").alias("_long"))
