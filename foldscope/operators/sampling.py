@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from foldscope import runtime
 from foldscope.functions import hashing
 from foldscope.functions.scalar import decay
-from foldscope.operators.ordering import ranked
+from foldscope.operators import components as C
+from foldscope.operators.ordering import prefix_sum, ranked, top_by
 
 
 def hard_pool(slices: DataFrame, index: DataFrame, thr=0.05, k=1000, score="score", key=("unit", "slice_y")) -> DataFrame:
@@ -117,46 +119,63 @@ def place_donors(
 ) -> DataFrame:
     """Accepted pastes ``(unit, paste, attempt, donor, sx, sy, sz)``.
 
-    ``targets`` has (unit, n_pastes); ``band`` candidate sites; ``donors`` voxels
+    ``targets`` has (unit, n_pastes); ``band`` candidate sites, as cells or ``columns``; ``donors`` voxels
     (donor, dx, dy, dz) about the centroid, donor ids dense from 0; ``occupied`` taken cells.
-    Units run side by side. Only the paste number is sequential, because a later paste
-    sees the cells of the earlier ones; an attempt fails on too much clipping or a collision.
+    Units run side by side. An attempt fails on too much clipping or a collision. Clipping and the taken cells don't depend
+    on other pastes, so the attempts of all pastes meet them at once; only what is left goes by paste number, against
+    the cells of the earlier ones. Of the donors only those that are drawn travel.
     """
-    site = runtime.cut(ranked(band.select("unit", "x", "y", "z").distinct(), [F.col(c) for c in ("x", "y", "z")], ["unit"], "_i", limit).withColumn("_i", F.col("_i") - 1))
-    n_site = site.groupBy("unit").agg(F.count("*").alias("_n"))
-    dv = runtime.cut(donors.groupBy("donor", "dx", "dy", "dz").agg(F.lit(1).alias("one")).drop("one"))
+    band = C.columns(band)
+    site = runtime.cut(prefix_sum(band, [F.col("x"), F.col("y"), F.col("_tz")], {"_end": F.bit_count("bits").cast("long")}, ["unit"], limit))
+    n_site = site.groupBy("unit").agg(F.max("_end").alias("_n"))
+    # The sites of a column are numbers [_from, _end), at most 2^TZ of them, so they lie in one block of that length or two.
+    site = site.withColumn("_from", F.col("_end") - F.bit_count("bits"))
+    block = F.array_distinct(F.array(F.shiftright("_from", C.TZ), F.shiftright(F.col("_end") - 1, C.TZ)))
+    site = site.withColumn("_b", F.explode(block))
+    n_donor = donors.agg(F.max("donor") + 1).first()[0]
+    draws = targets.filter("n_pastes > 0").join(n_site, "unit").select("unit", "_n", F.explode(F.sequence(F.lit(1), F.col("n_pastes"))).alias("paste"))
+    draws = runtime.cut(draws.withColumn("donor", hashing.index(F.lit(n_donor), seed, F.col("unit"), F.col("paste"), "donor")))
+    dv = runtime.cut(donors.select("donor", "dx", "dy", "dz").join(draws.select("donor").distinct(), "donor", "left_semi").distinct())
     total = dv.groupBy("donor").agg(F.count("*").alias("_total"))
-    n_donor = dv.agg(F.max("donor") + 1).first()[0]
-    rounds = targets.agg(F.max("n_pastes")).first()[0] or 0
-    taken, placed = occupied.select("unit", "x", "y", "z"), None
+    n_cells = draws.join(total, "donor").agg(F.sum("_total")).first()[0] or 0
+    rounds = draws.agg(F.max("paste")).first()[0] or 0
     nx, ny, nz = frame
     inside = (F.col("x") >= 0) & (F.col("x") < nx) & (F.col("y") >= 0) & (F.col("y") < ny) & (F.col("z") >= 0) & (F.col("z") < nz)
+    cell, found = ["unit", "x", "y", "z"], ["unit", "attempt", "paste", "donor", "sx", "sy", "sz"]
     moved = lambda df, *cols: df.join(dv, "donor").select(
         "unit", *cols, (F.col("sx") + F.col("dx")).alias("x"), (F.col("sy") + F.col("dy")).alias("y"), (F.col("sz") + F.col("dz")).alias("z")).filter(inside)
 
-    def tries(t: DataFrame, lo: int, hi: int) -> DataFrame:
-        """First valid attempt number in [lo, hi] of every unit that has one."""
+    def valid(t: DataFrame, lo: int, hi: int) -> DataFrame:
+        """Attempts in [lo, hi] of the pastes ``t`` that are clipped little enough and leave the taken cells alone."""
         a = t.withColumn("attempt", F.explode(F.sequence(F.lit(lo), F.lit(hi))))
         a = a.withColumn("_i", hashing.index(F.col("_n"), seed, F.col("unit"), F.col("paste"), F.col("attempt"), "site"))
-        a = runtime.cut(a.join(site, ["unit", "_i"]).select("unit", "paste", "attempt", "donor", F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("z").alias("sz")))
-        hit = taken.distinct().withColumn("_t", F.lit(1))
-        ok = moved(a, "attempt", "donor").join(hit, ["unit", "x", "y", "z"], "left").groupBy("unit", "attempt", "donor").agg(
-            F.count("*").alias("_keep"), F.sum("_t").alias("_hit"))
-        ok = ok.join(total, "donor").filter((1.0 - F.col("_keep") / F.col("_total") <= max_clip) & F.col("_hit").isNull())
-        return a.join(ok.groupBy("unit").agg(F.min("attempt").alias("attempt")), ["unit", "attempt"])
-
+        a = runtime.spread(a.withColumn("_b", F.shiftright("_i", C.TZ))).join(site, ["unit", "_b"]).filter("_i >= _from and _i < _end")
+        z = F.shiftleft("_tz", C.TZ) + F.get(F.expr(C.BITS), (F.col("_i") - F.col("_from")).cast("int"))
+        a = runtime.cut(a.select("unit", "attempt", "paste", "donor", F.col("x").alias("sx"), F.col("y").alias("sy"), z.alias("sz")))
+        hit = occupied.select(*cell).distinct().withColumn("_t", F.lit(1))
+        ok = runtime.spread(moved(a, *found[1:])).join(hit, cell, "left").groupBy(*found).agg(F.count("*").alias("_keep"), F.sum("_t").alias("_hit"))
+        ok = ok.filter("_hit is null").join(total, "donor").filter(1.0 - F.col("_keep") / F.col("_total") <= max_clip)
+        return runtime.cut(ok.select(*found))
+
+    def first(a: DataFrame) -> DataFrame:
+        """First of a unit's valid attempts that leaves its earlier pastes alone."""
+        for cells in pasted:
+            hit = moved(a, "attempt").join(cells, cell, "left_semi").select("unit", "attempt").distinct()
+            a = a.join(hit, ["unit", "attempt"], "left_anti")
+        return top_by(a, ["unit"], [F.col("attempt")]).select(*found)
+
+    # Most pastes succeed early. All attempts go at once only where their cells are fewer than a second look at the taken ones.
+    early = attempts if n_cells * attempts <= occupied.count() else min(4, attempts)
+    ok, placed, pasted = valid(draws, 1, early), [], []
     for j in range(1, rounds + 1):
-        t = targets.filter(F.col("n_pastes") >= j).join(n_site, "unit").select("unit", "_n", F.lit(j).alias("paste"))
-        t = t.withColumn("donor", hashing.index(F.lit(n_donor), seed, F.col("unit"), j, "donor"))
-        # Most units succeed early: only the rest expand their remaining attempts.
-        early = min(4, attempts)
-        win = runtime.cut(tries(t, 1, early))
-        if attempts > early:
-            win = runtime.cut(win.unionByName(tries(t.join(win.select("unit"), "unit", "left_anti"), early + 1, attempts)))
-        placed = win if placed is None else placed.unionByName(win)
-        fresh = moved(win)
-        taken = runtime.cut(taken.unionByName(fresh))
-    return placed
+        win = runtime.cut(first(ok.filter(F.col("paste") == j)))
+        rest = draws.filter(F.col("paste") == j).join(win.select("unit"), "unit", "left_anti")
+        if early < attempts and not rest.isEmpty():
+            win = runtime.cut(win.unionByName(first(valid(rest, early + 1, attempts))))
+        placed.append(win)
+        if j < rounds:
+            pasted = [runtime.cut(functools.reduce(DataFrame.unionByName, [*pasted, moved(win)]))]
+    return functools.reduce(DataFrame.unionByName, placed, ok.limit(0))
 
 
 def blend_donor(v: Column, target: Column, dist: Column, mu_d: Column, sd_d: Column, mu_t: Column, sd_t: Column) -> Column:

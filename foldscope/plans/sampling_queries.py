@@ -15,7 +15,7 @@ from foldscope.operators import components as C
 from foldscope.operators import metrics as M
 from foldscope.operators import quality as Q
 from foldscope.operators import sampling as K
-from foldscope.operators.ordering import ranked
+from foldscope.operators.ordering import prefix_sum, ranked
 from foldscope.plans.bindings import bound, table, with_
 from foldscope.plans.box_queries import INDEX, SPLIT, pred, slice_idx
 from foldscope.plans.cohort_queries import EMA, HIST, ema, history
@@ -105,14 +105,17 @@ def _(spark, d):
 
 @query("k9_place_donors")
 def _(spark, d):
-    v = bound(spark, d, "voxels")
-    cc = C.connected_components(C.voxel_runs(v))
-    st = C.component_stats(cc)
-    st = ranked(st, [F.col("unit"), F.col("cc_id")], (), "donor").withColumn("donor", F.col("donor") - 1)
-    lab = C.label_voxels(v.select("unit", "x", "y", "z"), cc).join(st.select("unit", "cc_id", "donor", "cx", "cy", "cz"), ["unit", "cc_id"])
-    dn = lab.select("donor", *[(F.col(c) - F.rint(f"c{c}")).cast("int").alias(f"d{c}") for c in "xyz"])
+    v = runtime.cut(bound(spark, d, "voxels").select("unit", "x", "y", "z"))
+    cc = C.connected_components(C.voxel_cells(v))
+    # Components are numbered from 1 in each unit, so a donor's number is that plus the components of the units before.
+    many = cc.groupBy("unit").agg(F.max("cc_id").cast("long").alias("_c"))
+    before = prefix_sum(many, [F.col("unit")], {"_upto": F.col("_c")}).select("unit", (F.col("_upto") - F.col("_c")).alias("_before"))
+    lab = cc.join(before, "unit").withColumn("donor", F.col("_before") + F.col("cc_id") - 1)
+    cells = lab.select("donor", "y", "z", F.explode(F.sequence(F.col("x0"), F.col("x1") - 1)).alias("x"))
+    mid = C.component_stats(lab, by=("donor",)).select("donor", "cx", "cy", "cz")
+    dn = cells.join(mid, "donor", "left").select("donor", *[(F.col(c) - F.rint(f"c{c}")).cast("int").alias(f"d{c}") for c in "xyz"])
     t = v.select("unit").distinct().withColumn("n_pastes", K.n_pastes(0.9, 1.0, 7, 42, F.col("unit")))
-    return K.place_donors(t, C.border_band(v), dn, v, (50, 10, 55))
+    return K.place_donors(t, C.band_columns(v), dn, v, (50, 10, 55))
 
 
 @query("k10_blend_donor", f"""{with_('voxels')}, s AS (SELECT unit, avg(v) AS m, stddev_pop(v) AS sd FROM voxels GROUP BY 1), g AS (SELECT avg(v) AS gm, stddev_pop(v) AS gs FROM voxels),
