@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from foldscope import runtime
+
 GT_BOXES = "unit string, slice_y int, cc_id int, x1 int, z1 int, x2 int, z2 int, box_max_dim_mm float"
 
 
@@ -54,10 +57,145 @@ def list_files(spark: SparkSession, root, pattern="*", min_bytes=0) -> DataFrame
     return df.select("path", name.alias("name"), "length", "modificationTime").filter(~name.startswith(".") & (F.col("length") >= min_bytes))
 
 
-def file_hashes(spark: SparkSession, root, pattern="*") -> DataFrame:
-    """sha256 of every file's content."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    return df.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length", F.sha2("content", 256).alias("sha256"))
+class Sha256:
+    """sha256 whose state another task can take up: OpenSSL's context, 112 bytes of plain memory, where Python has that library."""
+
+    def __init__(self, state: bytes | None = None):
+        import ctypes
+
+        self.lib = self.library()
+        self.ctx = ctypes.create_string_buffer(state or bytes(112), 112)
+        if state is None:
+            self.lib.SHA256_Init(self.ctx)
+
+    @staticmethod
+    def library():
+        """The library that ``hashlib`` itself uses, or None if it keeps its context to itself."""
+        import ctypes
+
+        try:
+            import _hashlib
+
+            lib = ctypes.CDLL(_hashlib.__file__)
+            lib.SHA256_Update.argtypes = [ctypes.c_char_p, ctypes.c_char_p, ctypes.c_size_t]
+            return lib if lib.SHA256_Init and lib.SHA256_Final else None
+        except (ImportError, AttributeError, OSError):
+            return None
+
+    def update(self, data: bytes) -> None:
+        self.lib.SHA256_Update(self.ctx, data, len(data))
+
+    def state(self) -> bytes:
+        return self.ctx.raw
+
+    def hexdigest(self) -> str:
+        import ctypes
+
+        out = ctypes.create_string_buffer(32)
+        self.lib.SHA256_Final(out, ctypes.create_string_buffer(self.ctx.raw, 112))
+        return out.raw.hex()
+
+
+# Bytes of a file that one task takes on, from where the task before it left off.
+HASH_STEP = 128 << 20
+BOM = b"\xef\xbb\xbf"
+
+
+def _hash_helper(first: bool):
+    """Arrow helper: rows by file and place, each file's state ahead of its lines, become a row per file with its new state or its digest."""
+    import hashlib
+
+    import numpy as np
+    import pyarrow as pa
+
+    handed = Sha256.library() is not None
+
+    def run(batches):
+        path = sha = how = None
+        bare = False
+
+        def done():
+            if how & 1:
+                sha.update(b"\n")
+            last = bool(how & 2)
+            state, hexed = (None, sha.hexdigest()) if last else (sha.state(), None)
+            return pa.RecordBatch.from_pydict({"file": [path], "state": pa.array([state], pa.binary()), "sha256": pa.array([hexed], pa.string())})
+
+        for batch in batches:
+            files = batch.column("file").dictionary_encode()
+            at = np.r_[0, np.flatnonzero(np.diff(files.indices.to_numpy())) + 1, len(files)] if len(files) else []
+            for a, b in zip(at[:-1], at[1:]):
+                lines = batch.column("value").slice(a, b - a).to_pylist()
+                if (name := batch.column("file")[a].as_py()) != path:
+                    if path is not None:
+                        yield done()
+                    path, how, bare, state = name, batch.column("at")[a].as_py(), first, lines.pop(0)
+                    sha = (Sha256() if handed else hashlib.sha256()) if first else Sha256(state)
+                    if first:
+                        sha.update(state)
+                if lines:
+                    if not bare:
+                        sha.update(b"\n")
+                    sha.update(b"\n".join(lines))
+                    bare = False
+        if path is not None:
+            yield done()
+
+    return run
+
+
+def _codec_suffixes(spark: SparkSession) -> list[str]:
+    """Endings by which Hadoop's line reader would unpack a file."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory.getCodecClasses(conf)
+    return [jvm.org.apache.hadoop.util.ReflectionUtils.newInstance(c, conf).getDefaultExtension() for c in codecs]
+
+
+def file_hashes(spark: SparkSession, root, pattern="*", step: int | None = None) -> DataFrame:
+    """sha256 of every file's content.
+
+    A file's bytes are read in splits, as lines without regard to what they mean, and kept with their places. The digest is a
+    fold over them in order: round by round a task takes up each file's state and ``step`` more bytes, so no task reads a
+    whole large file. A stretch without a newline is one row; files whose names end like a packed file's, which Spark would
+    unpack, are read whole. Spark's readers leave out empty files.
+    """
+    step = step or HASH_STEP
+    binary = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+    file = F.col("_metadata.file_path").alias("file")
+    whole = F.lit(False)
+    for suffix in _codec_suffixes(spark):
+        whole = whole | F.lower("_metadata.file_path").endswith(suffix)
+    name = F.regexp_extract("path", r"([^/]+)$", 1).alias("name")
+    listed = runtime.cut(binary.filter(~whole).select("path", name, "length", file))
+    most = listed.agg(F.max("length")).first()[0] or 0
+    if Sha256.library() is None:
+        step = max(step, most)
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("lineSep", "\n").text(root).filter(~whole)
+    start = F.col("_metadata.file_block_start")
+    rows = text.select(file, start.alias("start"), F.monotonically_increasing_id().alias("at"), F.col("value").cast("binary").alias("value"),
+                       F.octet_length("value").cast("long").alias("n"), F.floor(start / step).cast("int").alias("round"))
+    kept = f"{runtime.shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    rows.write.partitionBy("round").parquet(kept)
+    rows = spark.read.schema(rows.schema).parquet(kept)
+    # Every line of a file ends by a newline, but for the last, which may lack it; Hadoop skips a byte order mark at the start.
+    held = listed.join(rows.groupBy("file").agg(F.sum(F.col("n") + 1).alias("_n")), "file", "left")
+    over = F.coalesce("_n", F.lit(0)) - F.col("length")
+    off = F.raise_error(F.concat(F.lit("changed while it was read: "), F.col("file"))).cast("int")
+    state = F.when(over.isin(0, 1), F.lit(b"")).when(over.isin(-3, -2), F.lit(BOM)).otherwise(off.cast("string").cast("binary"))
+    state = runtime.cut(held.select("file", "length", (over.isin(0, -3) & F.col("_n").isNotNull()).cast("long").alias("newline"), state.alias("state"), F.lit(None).cast("string").alias("sha256")))
+    done = []
+    for k in range(max(1, -(-most // step))):
+        last = F.col("length") <= (k + 1) * step
+        how = F.when(last, F.col("newline") + 2).otherwise(0)
+        ahead = state.select("file", F.lit(-1).cast("long").alias("start"), how.cast("long").alias("at"), F.col("state").alias("value"))
+        size = state.agg(F.sum(F.least(F.col("length"), F.lit(step)))).first()[0] or 0
+        both = ahead.unionByName(rows.filter(F.col("round") == k).select(ahead.columns))
+        both = both.repartition(4 * max(1, -(-size // step)), "file").sortWithinPartitions("file", "start", "at")
+        new = runtime.cut(both.mapInArrow(_hash_helper(k == 0), "file string, state binary, sha256 string"))
+        done.append(new.filter("sha256 is not null").select("file", "sha256"))
+        state = runtime.cut(state.drop("state", "sha256").join(new.filter("sha256 is null"), "file"))
+    hashed = listed.join(functools.reduce(DataFrame.unionByName, done), "file").select("path", "name", "length", "sha256")
+    return hashed.unionByName(binary.filter(whole).select("path", name, "length", F.sha2("content", 256).alias("sha256")))
 
 
 def write_verified(df: DataFrame, path: str, fmt="parquet") -> DataFrame:
