@@ -278,6 +278,61 @@ def bootstrap_ci(
     return quantiles(s, "_s", {"ci_lower": alpha / 2, "ci_upper": 1 - alpha / 2}, by, limit=limit).withColumnRenamed("n", "n_reps")
 
 
+def _rate_helper(n_boot: int, blocks: int, seed: int, span: int):
+    """Arrow helper: one block of replicates and the words of hits that it meets become hits drawn by group and replicate.
+
+    All groups draw from the same hashes, so a draw is hashed once, for the largest group.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def run(key, t):
+        block, part = (k.as_py() for k in key)
+        group, at, bits, n = (t[c].to_numpy() for c in ("_group", "_at", "_bits", "_n"))
+        least, held, out = part * span, [], []
+        for g in np.unique(group):
+            mine = group == g
+            words = np.zeros(int(at[mine].max()) - least + 1, np.uint64)
+            words[at[mine] - least] = bits[mine].view(np.uint64)
+            held.append((int(g), int(n[mine][0]), words))
+        for b in range(block * n_boot // blocks, (block + 1) * n_boot // blocks):
+            hits = [0] * len(held)
+            for first, drawn in hashing.hash60_range(f"{seed}:{b}", max(most for _, most, _ in held)):
+                for k, (_, most, words) in enumerate(held):
+                    i = drawn[: max(most - first, 0)] % np.uint64(most)
+                    w = (i >> np.uint64(6)).astype(np.int64) - least
+                    if least or most > 64 * span:
+                        here = (w >= 0) & (w < len(words))
+                        i, w = i[here], w[here]
+                    hits[k] += int((words[w] >> (i & np.uint64(63)) & np.uint64(1)).sum())
+            out += [(g, b, most, h) for (g, most, _), h in zip(held, hits)]
+        return pa.table([pa.array(c, pa.int64()) for c in zip(*out)], names=["_group", "_b", "_n", "_hits"])
+
+    return run
+
+
+def bootstrap_rate(df: DataFrame, key: Sequence[str], hit: str, group: str, n_boot=1000, seed=42, alpha=0.05, limit=None) -> DataFrame:
+    """``bootstrap_ci`` of the mean of ``hit`` (0 or 1) by ``group``, a whole number: the same draws, but none of them travels.
+
+    Hits go as bits, 64 units a row, to every block of replicates; draws are made and looked up there. A task holds the bits
+    of at most 64 x ``RATE_WORDS`` units of each group; where a group has more, every such part makes the draws for itself.
+    """
+    idx = ranked(df.select(*key, group, hit), [F.col(k) for k in key], [group], "_i", limit).select(F.col(group).cast("long").alias("_group"), (F.col("_i") - 1).alias("_i"), F.col(hit).alias("_hit"))
+    bits = F.expr("bit_or(CASE WHEN _hit = 1 THEN shiftleft(1L, CAST(_i & 63 AS INT)) ELSE 0L END)").alias("_bits")
+    words = runtime.cut(idx.groupBy("_group", F.shiftright("_i", 6).alias("_at")).agg(bits, F.count("*").alias("_c")))
+    sizes = runtime.cut(words.groupBy("_group").agg(F.sum("_c").alias("_n")))
+    most = sizes.agg(F.max("_n")).first()[0] or 1
+    # Enough blocks for every task slot, none with more draws than a task makes in some 15 s, but a replicate is never cut.
+    slots, span = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), runtime.RATE_WORDS
+    blocks = -(-n_boot // max(1, min(n_boot // slots, 2**26 // most)))
+    met = words.join(sizes, "_group").select(
+        "_group", "_at", "_bits", "_n", F.floor(F.col("_at") / span).alias("_part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
+    met = met.repartitionByRange(blocks * -(-most // (64 * span)), "_block", "_part").groupBy("_block", "_part")
+    drawn = met.applyInArrow(_rate_helper(n_boot, blocks, seed, span), "_group long, _b long, _n long, _hits long")
+    s = drawn.groupBy("_group", "_b").agg((F.sum("_hits") / F.max("_n")).alias("_s")).withColumnRenamed("_group", group)
+    return quantiles(s, "_s", {"ci_lower": alpha / 2, "ci_upper": 1 - alpha / 2}, [group], limit=limit).withColumnRenamed("n", "n_reps")
+
+
 def bootstrap_froc(
     df, unit="unit", score="score", label="label", targets=FP_POINTS, n_boot=1000, seed=42, alpha=0.05, by=(), method="exact", limit=None
 ) -> DataFrame:
@@ -518,8 +573,9 @@ def size_strata(calls: DataFrame, edges=VOLUME_EDGES, n_boot=1000, seed=42, key=
     hits = calls.filter(F.col("call_type").isin("tp", "fn") & size.isNotNull()).select(
         *key, size_bin(size, edges).alias("bin"), (F.col("call_type") == "tp").cast("double").alias("hit")
     ).filter("bin is not null")
+    hits = runtime.cut(hits)
     stat = hits.groupBy("bin").agg(F.avg("hit").alias("value"), F.count("*").alias("n_lesions"), F.sum("hit").cast("long").alias("n_tp"))
-    ci = bootstrap_ci(hits, key, "mean", "hit", None, n_boot, seed, 0.05, ["bin"], limit=limit)
+    ci = bootstrap_rate(hits, key, "hit", "bin", n_boot, seed, 0.05, limit)
     rows = F.array(*[F.struct(F.lit(i).alias("bin"), F.lit(label).alias("stratum_value")) for i, label in enumerate(size_bin_labels(edges))])
     base = calls.sparkSession.range(1).select(F.explode(rows).alias("b")).select("b.*")
     return base.join(stat, "bin", "left").join(ci, "bin", "left").select(
