@@ -33,7 +33,7 @@ def test_regions_equal_whole_slices(spark, monkeypatch, limit):
 
 
 def test_no_box_crosses_a_line(spark, monkeypatch):
-    monkeypatch.setattr(runtime, "FOLD_BOXES", 12)
+    monkeypatch.setattr(runtime, "FOLD_BOXES", 3)
     b = boxes(spark).withColumn("_m", F.lit(1)).filter("unit = 1")
     small, crowds = B._regions(b, ["unit", "slice_y"])
     by = {}
